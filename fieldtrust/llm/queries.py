@@ -7,8 +7,11 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from fieldtrust.llm.common import documents
+from fieldtrust.llm.minhash_dedup import near_duplicates
 from fieldtrust.llm.packing import pack
+from fieldtrust.llm.sharding import shard_rows
 from fieldtrust.llm.token_count import count_tokens
+from fieldtrust.llm.warc import round_trip
 
 
 def tokenizer_file(name: str) -> str:
@@ -17,6 +20,10 @@ def tokenizer_file(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+def op1_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_duplicates(documents(spark, sf_dir), width=3, percent=85)
+
+
 def op3_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = count_tokens(documents(spark, sf_dir).select("doc_id", "text"), tokenizer_file("piece_bpe_32k.model"))
     return out.select("doc_id", "n_bytes", "n_tokens", "over_limit")
@@ -26,8 +33,20 @@ def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(documents(spark, sf_dir), tokenizer_file("word_bpe_49k.json"))
 
 
+def op9_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = spark.read.parquet(f"{sf_dir}/pages.parquet")
+    return round_trip(spark, pages).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
+def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return shard_rows(documents(spark, sf_dir), shards=40)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_minhash_dedup": op1_minhash_dedup,
     "op3_token_counts": op3_token_counts,
     "op7_packing": op7_packing,
+    "op9_warc": op9_warc,
+    "op10_sharding": op10_sharding,
 }
 ORACLE_SQL: dict[str, str] = {}
