@@ -7,10 +7,12 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from fieldtrust.llm.common import documents
+from fieldtrust.llm.decontaminate import contamination
 from fieldtrust.llm.minhash_dedup import near_duplicates
 from fieldtrust.llm.packing import pack
 from fieldtrust.llm.sharding import shard_rows
 from fieldtrust.llm.token_count import count_tokens
+from fieldtrust.llm.url_filter import judge, rule
 from fieldtrust.llm.warc import round_trip
 
 
@@ -24,11 +26,24 @@ def op1_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(documents(spark, sf_dir), width=3, percent=85)
 
 
+#: The rule list of op2: verdict, host and path.
+URL_RULES = [rule("allow", "org/"), rule("block", "example.org/es/"), rule("block", "example.org/en/1"), rule("allow", "com/fr/"), rule("block", "com/de/")]
+
+
+def op2_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = spark.read.parquet(f"{sf_dir}/pages.parquet").select("page_id", "url")
+    return judge(pages, URL_RULES).select("page_id", "host", "path", "rule", "verdict")
+
+
 def op3_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = count_tokens(documents(spark, sf_dir).select("doc_id", "text"), tokenizer_file("piece_bpe_32k.model"))
     return out.select("doc_id", "n_bytes", "n_tokens", "over_limit")
 
 
+def op5_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return contamination(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+
+
 def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(documents(spark, sf_dir), tokenizer_file("word_bpe_49k.json"))
 
@@ -44,7 +59,9 @@ def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_minhash_dedup": op1_minhash_dedup,
+    "op2_url_filters": op2_url_filters,
     "op3_token_counts": op3_token_counts,
+    "op5_decontamination": op5_decontamination,
     "op7_packing": op7_packing,
     "op9_warc": op9_warc,
     "op10_sharding": op10_sharding,
