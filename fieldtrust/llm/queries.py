@@ -10,6 +10,8 @@ from fieldtrust.llm.common import documents
 from fieldtrust.llm.decontaminate import contamination
 from fieldtrust.llm.minhash_dedup import near_duplicates
 from fieldtrust.llm.packing import pack
+from fieldtrust.llm.quality_fm import scored
+from fieldtrust.llm.quality_rules import judged
 from fieldtrust.llm.sharding import shard_rows
 from fieldtrust.llm.token_count import count_tokens
 from fieldtrust.llm.url_filter import judge, rule
@@ -40,10 +42,19 @@ def op3_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_bytes", "n_tokens", "over_limit")
 
 
+def op4_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    labels = spark.read.parquet(f"{sf_dir}/labels.parquet").selectExpr("doc_id", "quality AS label")
+    return scored(documents(spark, sf_dir).select("doc_id", "text"), labels).select("doc_id", "held_out", "score", "predicted")
+
+
 def op5_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return contamination(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
 
+def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return judged(documents(spark, sf_dir)).drop("distance")
+
+
 def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(documents(spark, sf_dir), tokenizer_file("word_bpe_49k.json"))
 
@@ -61,7 +72,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_minhash_dedup": op1_minhash_dedup,
     "op2_url_filters": op2_url_filters,
     "op3_token_counts": op3_token_counts,
+    "op4_quality_classifier": op4_quality_classifier,
     "op5_decontamination": op5_decontamination,
+    "op6_quality_rules": op6_quality_rules,
     "op7_packing": op7_packing,
     "op9_warc": op9_warc,
     "op10_sharding": op10_sharding,
