@@ -6,8 +6,10 @@
 2. Texts with the same set are one class, represented by its smallest id; only representatives go on.
 3. In each bucket all members are compared with one hub, the member that shares most buckets with others: a linear
    number of pairs, verified on full sets. Verified links are joined to components.
-4. Buckets that still hold several components get all their cross-component pairs compared by their minima, in blocks
-   of bounded size; plausible pairs are verified on full sets and joined to the components. Nothing is capped.
+   Twice more, members outside a bucket's main component are compared with another member of that component.
+4. In buckets that still hold several components, all members outside the main one are compared with all others, in
+   blocks of bounded size: minima first, full sets where they allow a link. A block gives one link for each pair of
+   components that it joins. Nothing is capped.
 5. Components come from alternating large-star and small-star steps, each written to the shared folder.
 """
 
@@ -29,6 +31,8 @@ from fieldtrust.llm.shingles import mixed, shingle_sets
 ROWS = 6
 #: Members of a block in which all pairs of a bucket are compared.
 BLOCK = 256
+#: Further members of a bucket's main component with which its other members are compared before the blocks.
+MORE_HUBS = 2
 #: Texts are hashed in groups of at most so many bytes.
 GROUP_BYTES = 1 << 20
 
@@ -142,7 +146,7 @@ def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
     return current.select(F.col("a").alias("node"), F.col("b").alias("component"))
 
 
-def verified(pairs: DataFrame, docs: DataFrame, sizes: DataFrame, width: int, percent: int) -> DataFrame:
+def verified(pairs: DataFrame, docs: DataFrame, width: int, percent: int) -> DataFrame:
     """Those pairs a, b whose full sets satisfy 100 * intersection >= percent * union."""
     pairs = saved(pairs, "pairs")
     nodes = saved(pairs.select(F.col("a").alias("doc_id")).union(pairs.select("b")).distinct(), "nodes")
@@ -153,22 +157,66 @@ def verified(pairs: DataFrame, docs: DataFrame, sizes: DataFrame, width: int, pe
     return saved(both.select("a", "b", common.alias("common"), F.size("sa").alias("na"), F.size("sb").alias("nb")).where(f"100 * common >= {percent} * (na + nb - common)").select("a", "b"), "links")
 
 
-def _close(pdf: pd.DataFrame, percent: int) -> pd.DataFrame:
-    """Pairs of a block pair that lie in different components and whose minima and sizes allow a link."""
-    i, j = pdf["i"].iloc[0], pdf["j"].iloc[0]
-    left, right = pdf[pdf["block"] == i], pdf[pdf["block"] == j]
+def pairs_with(rows: DataFrame, percent: int) -> DataFrame:
+    """Distinct pairs a > b of node and hub whose sizes (n_shingles, hub_n) allow a link."""
+    fit = rows.where(f"node <> hub and 100 * least(n_shingles, hub_n) >= {percent} * greatest(n_shingles, hub_n)")
+    return fit.select(F.greatest("node", "hub").alias("a"), F.least("node", "hub").alias("b")).distinct()
+
+
+def block_links(pdf: pd.DataFrame, percent: int) -> pd.DataFrame:
+    """Links between the rows of side 0 and those of side 1 (of side 0 among themselves if alone), one for each pair of
+    components that meets here."""
+    left = pdf[pdf["side"] == 0].drop_duplicates("node")
+    alone = bool(pdf["alone"].iloc[0])
+    right = left if alone else pdf[pdf["side"] == 1].drop_duplicates("node")
+    if not len(left) or not len(right):
+        return pd.DataFrame({"a": [], "b": []}, dtype="int64")
     ml, mr = (np.frombuffer(b"".join(x["minima"]), np.uint8).reshape(len(x), -1) for x in (left, right))
-    (nl, cl, rl), (nr, cr, rr) = ((x["n_shingles"].to_numpy(), x["component"].to_numpy(), x["node"].to_numpy()) for x in (left, right))
-    # of m minima so many agree unless the chance of that, for a pair that is linked, is below 1e-9
+    (nl, cl, rl, sl), (nr, cr, rr, sr) = (tuple(x[c].to_numpy() for c in ("n_shingles", "component", "node", "shingles")) for x in (left, right))
+    names, place = np.unique(np.concatenate([cl, cr]), return_inverse=True)
+    own = np.arange(len(names))  # the component that each one has been joined to within this block
+    pl, pr = place[: len(cl)], place[len(cl) :]
+    # of m minima fewer agree, for a pair that is linked, with a chance below 1e-9
     m, p = ml.shape[1], percent / 100
     least = math.floor(m * p - 6.5 * math.sqrt(m * p * (1 - p)))
-    a, b = [], []
+    links = []
     for k in range(len(left)):
-        at = np.flatnonzero((cr != cl[k]) & (100 * np.minimum(nr, nl[k]) >= percent * np.maximum(nr, nl[k])) & ((rr > rl[k]) if i == j else True))
-        at = at[(mr[at] == ml[k]).sum(axis=1) >= least]
-        a.append(np.full(len(at), rl[k]))
-        b.append(rr[at])
-    return pd.DataFrame({"a": np.concatenate(a) if a else [], "b": np.concatenate(b) if b else []}, dtype="int64")
+        fit = (100 * np.minimum(nr, nl[k]) >= percent * np.maximum(nr, nl[k])) & (own[pr] != own[pl[k]])
+        if alone:
+            fit[: k + 1] = False
+        at = np.flatnonzero(fit)
+        agree = (mr[at] == ml[k]).sum(axis=1)
+        for j in at[agree >= least][np.argsort(-agree[agree >= least], kind="stable")]:
+            if own[pr[j]] == own[pl[k]]:
+                continue
+            common = len(np.intersect1d(sl[k], sr[j], assume_unique=True))
+            if 100 * common >= percent * (nl[k] + nr[j] - common):
+                links.append((max(rl[k], rr[j]), min(rl[k], rr[j])))
+                own[own == own[pr[j]]] = own[pl[k]]
+    return pd.DataFrame(links, columns=["a", "b"], dtype="int64")
+
+
+def with_main(members: DataFrame, found: DataFrame) -> DataFrame:
+    """members of the buckets that hold several components, with component and the bucket's main one and counts."""
+    placed = members.join(found, "node", "left").withColumn("component", F.coalesce("component", "node"))
+    each = placed.groupBy("key", "component").agg(F.count("*").alias("n"))
+    split = each.groupBy("key").agg(F.max(F.struct("n", (-F.col("component")).alias("no"))).alias("most"), F.sum("n").alias("m")).where("m > most.n")
+    return saved(placed.join(split.select("key", (-F.col("most.no")).alias("main"), F.col("most.n").alias("n_main"), (F.col("m") - F.col("most.n")).alias("n_minor")), "key"), "split")
+
+
+def block_rows(split: DataFrame) -> DataFrame:
+    """The rows of with_main dealt to blocks (key, i, j, alone): members outside the main component are side 0 and meet
+    each other and, on side 1, the main component's members."""
+    minor, main = split.where("component <> main"), split.where("component = main")
+    count = lambda c: F.greatest(F.lit(1).cast("long"), F.ceil(F.col(c) / BLOCK))
+    block = lambda c: F.pmod(F.xxhash64("node"), count(c))
+    upto = lambda c: F.explode(F.sequence(F.lit(0).cast("long"), count(c) - 1))
+    columns = ["key", "i", "j", "alone", "side", "node", "component", "n_shingles"]
+    among = minor.withColumn("own", block("n_minor")).withColumn("other", upto("n_minor")).withColumns({"i": F.least("own", "other"), "j": F.greatest("own", "other")})
+    among = among.withColumns({"alone": F.col("i") == F.col("j"), "side": F.when(F.col("own") == F.col("i"), 0).otherwise(1)}).where("n_minor > 1").select(columns)
+    asked = minor.withColumn("i", block("n_minor")).withColumn("j", upto("n_main")).withColumns({"j": -1 - F.col("j"), "alone": F.lit(False), "side": F.lit(0)}).select(columns)
+    asked_of = main.withColumn("j", -1 - block("n_main")).withColumn("i", upto("n_minor")).withColumns({"alone": F.lit(False), "side": F.lit(1)}).select(columns)
+    return among.unionByName(asked).unionByName(asked_of)
 
 
 def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
@@ -189,26 +237,25 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataF
     members = saved(keys.join(shared, "key"), "members")
     weight = members.groupBy("node").agg(F.sum("n").alias("weight"))
     hubs = members.join(weight, "node").groupBy("key").agg(F.max(F.struct("weight", (-F.col("node")).alias("no"), "n_shingles")).alias("hub"))
-    pairs = (
-        members.join(hubs, "key")
-        .select("node", (-F.col("hub.no")).alias("hub"), "n_shingles", F.col("hub.n_shingles").alias("hub_n"))
-        .where(f"node <> hub and 100 * least(n_shingles, hub_n) >= {percent} * greatest(n_shingles, hub_n)")
-        .select(F.greatest("node", "hub").alias("a"), F.least("node", "hub").alias("b"))
-        .distinct()
-    )
-    links = verified(pairs, docs, members, width, percent)
-    found = saved(components(links), "found")
-
-    # buckets that still hold more than one component
-    placed = saved(members.join(found, "node", "left").withColumn("component", F.coalesce("component", "node")), "placed")
-    split = placed.groupBy("key").agg(F.count("*").alias("m"), F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo < hi").select("key", F.ceil(F.col("m") / BLOCK).alias("blocks"))
-    open_rows = placed.join(split, "key").join(named.select(F.col("doc_id").alias("node"), "minima").dropDuplicates(["node"]), "node").withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")))
-    dealt = open_rows.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1))).select(
-        "key", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "node", "component", "n_shingles", "minima"
-    )
-    close = dealt.groupBy("key", "i", "j").applyInPandas(lambda pdf: _close(pdf, percent), "a long, b long").distinct()
-    more = verified(close, docs, members, width, percent)
-    # all links again: the few edges of `more` join components of `found`
+    first = members.join(hubs, "key").select("node", (-F.col("hub.no")).alias("hub"), "n_shingles", F.col("hub.n_shingles").alias("hub_n"))
+    edges = verified(pairs_with(first, percent), docs, width, percent)
+    found = components(edges)
+    split = with_main(members, found)
+    for turn in range(MORE_HUBS):
+        # a hub that is the same in many buckets keeps the number of different pairs small
+        other = split.where("component = main").groupBy("key").agg(F.max(F.struct(F.xxhash64("node", F.lit(turn)).alias("order"), "node", "n_shingles")).alias("hub"))
+        asked = split.where("component <> main").join(other, "key").select("node", F.col("hub.node").alias("hub"), "n_shingles", F.col("hub.n_shingles").alias("hub_n"))
+        links = verified(pairs_with(asked, percent), docs, width, percent)
+        found = components(found.select(F.col("node").alias("a"), F.col("component").alias("b")).union(links))
+        split = with_main(members, found)
+
+    # every link that is left, in blocks
+    open_nodes = saved(split.select(F.col("node").alias("doc_id")).distinct(), "open")
+    sets = full_sets(keep_ids(docs.select("doc_id", "text"), open_nodes, "doc_id"), width).dropDuplicates(["node"])
+    low = named.select(F.col("doc_id").alias("node"), "minima").join(open_nodes.withColumnRenamed("doc_id", "node"), "node", "left_semi").dropDuplicates(["node"])
+    known = saved(sets.join(low, "node"), "known")
+    dealt = block_rows(split).join(known, "node")
+    more = saved(dealt.groupBy("key", "i", "j").applyInPandas(lambda pdf: block_links(pdf, percent), "a long, b long").distinct(), "links")
     joined = components(found.select(F.col("node").alias("a"), F.col("component").alias("b")).union(more))
     grouped = saved(classes.join(joined, "node", "left").select("set_key", F.coalesce("component", "node").alias("component_id")), "grouped")
     out = base.select("doc_id", "n_shingles", "set_key").join(grouped, "set_key", "left")
