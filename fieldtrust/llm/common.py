@@ -55,8 +55,9 @@ def keep_ids(df: DataFrame, ids: DataFrame, on: str, limit: int = BROADCAST_ROWS
     return df.join(F.broadcast(ids) if ids.count() <= limit else ids, on, "left_semi")
 
 
-def text_column(column: pa.ChunkedArray | pa.Array) -> list[str]:
-    return [x or "" for x in column.to_pylist()]
+def drop_ids(df: DataFrame, ids: DataFrame, on: str, limit: int = BROADCAST_ROWS) -> DataFrame:
+    """Rows of df whose key is not in ids (a saved table); the counterpart of keep_ids."""
+    return df.join(F.broadcast(ids) if ids.count() <= limit else ids, on, "left_anti").select(df.columns)
 
 
 def byte_groups(sizes: list[int], most: int) -> Iterator[slice]:
