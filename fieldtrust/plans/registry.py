@@ -2,9 +2,8 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from fieldtrust.plans import merge_queries
 
-from pyspark.sql import DataFrame, SparkSession
-
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLE_SQL: dict[str, str] = {}
+MODULES = (merge_queries,)
+QUERIES = {k: v for m in MODULES for k, v in m.R.queries.items()}
+ORACLE_SQL = {k: v for m in MODULES for k, v in m.R.sql.items()}
