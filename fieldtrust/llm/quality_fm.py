@@ -16,7 +16,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from fieldtrust.llm.common import byte_groups, small_batches
+from fieldtrust.llm.common import byte_groups, hash_sample, small_batches
 from fieldtrust.llm.quality_rules import P, statistics
 from fieldtrust.llm.shingles import word_hashes
 
@@ -140,7 +140,8 @@ SAMPLE = "doc_id long, label int, sparse_index binary, sparse_value binary, dens
 
 def sample_rows(docs: DataFrame, labels: DataFrame, most: int) -> tuple[Rows, np.ndarray]:
     """Features and labels of at most `most` labelled rows, in the order of a hash of their ids."""
-    chosen = labels.where(~held_out() & F.col("doc_id").isNotNull() & F.col("label").isin(0, 1)).groupBy("doc_id").agg(F.min("label").cast("int").alias("label")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(most)
+    usable = labels.where(~held_out() & F.col("doc_id").isNotNull() & F.col("label").isin(0, 1)).groupBy("doc_id").agg(F.min("label").cast("int").alias("label"))
+    chosen = hash_sample(usable, "doc_id", most)
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
