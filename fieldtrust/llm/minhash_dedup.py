@@ -33,6 +33,8 @@ ROWS = 6
 BLOCK = 256
 #: Further members of a bucket's main component with which its other members are compared before the blocks.
 MORE_HUBS = 2
+#: Rows that go to Python in one piece, about; a block adds at most 2 * BLOCK of one bucket.
+DEALT_ROWS = 1000
 #: Texts are hashed in groups of at most so many bytes.
 GROUP_BYTES = 1 << 20
 
@@ -163,37 +165,60 @@ def pairs_with(rows: DataFrame, percent: int) -> DataFrame:
     return fit.select(F.greatest("node", "hub").alias("a"), F.least("node", "hub").alias("b")).distinct()
 
 
-def block_links(pdf: pd.DataFrame, percent: int) -> pd.DataFrame:
-    """Links between the rows of side 0 and those of side 1 (of side 0 among themselves if alone), one for each pair of
-    components that meets here."""
-    left = pdf[pdf["side"] == 0].drop_duplicates("node")
-    alone = bool(pdf["alone"].iloc[0])
-    right = left if alone else pdf[pdf["side"] == 1].drop_duplicates("node")
-    if not len(left) or not len(right):
-        return pd.DataFrame({"a": [], "b": []}, dtype="int64")
-    ml, mr = (np.frombuffer(b"".join(x["minima"]), np.uint8).reshape(len(x), -1) for x in (left, right))
-    (nl, cl, rl, sl), (nr, cr, rr, sr) = (tuple(x[c].to_numpy() for c in ("n_shingles", "component", "node", "shingles")) for x in (left, right))
-    names, place = np.unique(np.concatenate([cl, cr]), return_inverse=True)
+class Side:
+    """Some rows of a block as arrays, each node once."""
+
+    def __init__(self, rows: dict[str, np.ndarray], at: np.ndarray):
+        _, first = np.unique(rows["node"][at], return_index=True)
+        at = at[first]
+        self.node, self.component, self.size, self.sets = (rows[c][at] for c in ("node", "component", "n_shingles", "shingles"))
+        self.minima = np.frombuffer(b"".join(rows["minima"][at]), np.uint8).reshape(len(at), -1) if len(at) else np.zeros((0, 1), np.uint8)
+
+
+def block_links(left: Side, right: Side, percent: int) -> list[tuple[int, int]]:
+    """Links between the rows of two sides (of a side among themselves if both are one), one for each pair of components
+    that meets here."""
+    alone = left is right
+    if not len(left.node) or not len(right.node):
+        return []
+    names, place = np.unique(np.concatenate([left.component, right.component]), return_inverse=True)
     own = np.arange(len(names))  # the component that each one has been joined to within this block
-    pl, pr = place[: len(cl)], place[len(cl) :]
+    pl, pr = place[: len(left.node)], place[len(left.node) :]
     # of m minima fewer agree, for a pair that is linked, with a chance below 1e-9
-    m, p = ml.shape[1], percent / 100
+    m, p = left.minima.shape[1], percent / 100
     least = math.floor(m * p - 6.5 * math.sqrt(m * p * (1 - p)))
     links = []
-    for k in range(len(left)):
-        fit = (100 * np.minimum(nr, nl[k]) >= percent * np.maximum(nr, nl[k])) & (own[pr] != own[pl[k]])
+    for k, n in enumerate(left.size):
+        fit = (100 * np.minimum(right.size, n) >= percent * np.maximum(right.size, n)) & (own[pr] != own[pl[k]])
         if alone:
             fit[: k + 1] = False
         at = np.flatnonzero(fit)
-        agree = (mr[at] == ml[k]).sum(axis=1)
-        for j in at[agree >= least][np.argsort(-agree[agree >= least], kind="stable")]:
+        if not len(at):
+            continue
+        agree = (right.minima[at] == left.minima[k]).sum(axis=1)
+        near = agree >= least
+        for j in at[near][np.argsort(-agree[near], kind="stable")]:
             if own[pr[j]] == own[pl[k]]:
                 continue
-            common = len(np.intersect1d(sl[k], sr[j], assume_unique=True))
-            if 100 * common >= percent * (nl[k] + nr[j] - common):
-                links.append((max(rl[k], rr[j]), min(rl[k], rr[j])))
+            common = len(np.intersect1d(left.sets[k], right.sets[j], assume_unique=True))
+            if 100 * common >= percent * (n + right.size[j] - common):
+                links.append((int(max(left.node[k], right.node[j])), int(min(left.node[k], right.node[j]))))
                 own[own == own[pr[j]]] = own[pl[k]]
-    return pd.DataFrame(links, columns=["a", "b"], dtype="int64")
+    return links
+
+
+def dealt_links(pdf: pd.DataFrame, percent: int) -> pd.DataFrame:
+    """Links of the blocks that were dealt together, one block (key, i, j) after another."""
+    pdf = pdf.sort_values(["key", "i", "j"], kind="stable")
+    rows = {c: pdf[c].to_numpy() for c in ("side", "node", "component", "n_shingles", "shingles", "minima", "alone")}
+    keys = pdf[["key", "i", "j"]].to_numpy()
+    starts = np.flatnonzero(np.concatenate(([True], (keys[1:] != keys[:-1]).any(axis=1))))
+    links = []
+    for a, b in zip(starts, np.append(starts[1:], len(pdf)), strict=True):
+        at = np.arange(a, b)
+        left = Side(rows, at[rows["side"][a:b] == 0])
+        links += block_links(left, left if rows["alone"][a] else Side(rows, at[rows["side"][a:b] == 1]), percent)
+    return pd.DataFrame(sorted(set(links)), columns=["a", "b"], dtype="int64")
 
 
 def with_main(members: DataFrame, found: DataFrame) -> DataFrame:
@@ -254,8 +279,11 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataF
     sets = full_sets(keep_ids(docs.select("doc_id", "text"), open_nodes, "doc_id"), width).dropDuplicates(["node"])
     low = named.select(F.col("doc_id").alias("node"), "minima").join(open_nodes.withColumnRenamed("doc_id", "node"), "node", "left_semi").dropDuplicates(["node"])
     known = saved(sets.join(low, "node"), "known")
-    dealt = block_rows(split).join(known, "node")
-    more = saved(dealt.groupBy("key", "i", "j").applyInPandas(lambda pdf: block_links(pdf, percent), "a long, b long").distinct(), "links")
+    blocks = saved(block_rows(split), "blocks")
+    # most buckets are small: many are handed to Python together
+    together = F.pmod(F.xxhash64("key", "i", "j"), F.lit(max(1, blocks.count() // DEALT_ROWS)))
+    dealt = blocks.withColumn("dealt", together).join(known, "node")
+    more = saved(dealt.groupBy("dealt").applyInPandas(lambda pdf: dealt_links(pdf, percent), "a long, b long").distinct(), "links")
     joined = components(found.select(F.col("node").alias("a"), F.col("component").alias("b")).union(more))
     grouped = saved(classes.join(joined, "node", "left").select("set_key", F.coalesce("component", "node").alias("component_id")), "grouped")
     out = base.select("doc_id", "n_shingles", "set_key").join(grouped, "set_key", "left")
