@@ -42,7 +42,7 @@ def _(spark: SparkSession, sf_dir: str) -> DataFrame:
     return O.missing_uploads(slots, fx(spark, sf_dir, DOCUMENTS)).select("session_id", "slot")
 
 
-@R.add("ops_04_session_view", over(DOCUMENTS, ", h AS (" + HISTORY + "), l AS (SELECT session_id, slot, field, max(version) AS version, arg_max(value, version) AS value, arg_max(source, version) AS source FROM h GROUP BY ALL) SELECT fx.session_id, fx.slot, l.field, l.value, CASE WHEN l.version > 1 THEN 'ok' ELSE 'low_confidence' END AS status FROM fx JOIN l ON fx.session_id = l.session_id AND fx.slot = l.slot AND NOT superseded"))
+@R.add("ops_04_session_view", over(DOCUMENTS, ", h AS (" + HISTORY + "), l AS (SELECT session_id, slot, field, max(version) AS version, arg_max(value, (version, value)) AS value, arg_max(source, (version, value)) AS source FROM h GROUP BY ALL) SELECT fx.session_id, fx.slot, l.field, l.value, CASE WHEN l.version > 1 THEN 'ok' ELSE 'low_confidence' END AS status FROM fx JOIN l ON fx.session_id = l.session_id AND fx.slot = l.slot AND NOT superseded"))
 def _(spark: SparkSession, sf_dir: str) -> DataFrame:
     latest = O.latest_version(fx(spark, sf_dir, HISTORY), ["session_id", "slot", "field"]).withColumn("status", F.lit("low_confidence"))
     return O.session_view(fx(spark, sf_dir, DOCUMENTS), latest).select("session_id", "slot", "field", "value", "status")
