@@ -9,6 +9,7 @@ from fieldtrust.operators import bakeoff as B
 from fieldtrust.operators import classify as C
 from fieldtrust.operators import crossdoc as X
 from fieldtrust.operators import merge as M
+from fieldtrust.operators import review as V
 from fieldtrust.operators import synth as Y
 from fieldtrust.plans.base import Registry, for_spark
 from fieldtrust.sources import tables as S
@@ -165,3 +166,57 @@ PRINTED = "SELECT o_orderkey AS session_id, 'Order' AS title, f.n AS field_order
 @R.add("syn_06_printed_lines", over(PRINTED, "SELECT session_id, 'Order|' || string_agg(label || ': ' || value, '|' ORDER BY field_order) || '|SPECIMEN' AS lines FROM fx WHERE value IS NOT NULL GROUP BY session_id"))
 def _(spark: SparkSession, sf_dir: str) -> DataFrame:
     return Y.printed_lines(fx(spark, sf_dir, PRINTED), ["session_id"]).select("session_id", F.array_join("lines", "|").alias("lines"))
+
+
+STATES = "SELECT o_orderkey AS session_id, 'order' AS slot, f.n AS field_order, f.field, f.field AS label, o_orderkey % 2 = 0 OR f.n = 0 AS required, CASE (o_orderkey + f.n) % 4 WHEN 0 THEN 'unreadable' WHEN 1 THEN 'not_present' ELSE 'ok' END AS status, CASE WHEN o_orderkey % 3 = 0 THEN 'glare' END AS obstruction, (o_orderkey % 7) / 100.0E0 AS x0 FROM {orders} CROSS JOIN (VALUES (0, 'name'), (1, 'day'), (2, 'number')) AS f(n, field)"
+
+
+@R.add(
+    "dec_06_fallback_brief",
+    over(STATES, ", r AS (SELECT session_id, field_order AS n, label || ' on order: ' || status || ' (' || status || ').' AS line FROM fx WHERE status <> 'ok' AND (required OR status <> 'not_present') UNION ALL SELECT o_orderkey, 1000, 'order: photo issues (blur, glare); consider requesting a retake.' FROM {orders} WHERE o_orderkey % 8 = 0 "
+    "UNION ALL SELECT o_orderkey, 2000, 'session: late' FROM {orders} WHERE o_orderkey % 23 = 0) SELECT session_id, string_agg(line, '|' ORDER BY n) AS lines FROM r GROUP BY session_id"),
+)
+def _(spark: SparkSession, sf_dir: str) -> DataFrame:
+    fields = fx(spark, sf_dir, STATES).withColumns({"slot_order": F.lit(0), "reason": F.lit(None).cast("string")})
+    quality = fx(spark, sf_dir, "SELECT o_orderkey AS session_id, 0 AS slot_order, 'order' AS slot FROM {orders} WHERE o_orderkey % 8 = 0").withColumn("issues", F.array(F.lit("blur"), F.lit("glare")))
+    cross = fx(spark, sf_dir, "SELECT o_orderkey AS session_id, 0 AS n, 'r' AS rule, 'match' AS status, '' AS detail FROM {orders}")
+    checks = fx(spark, sf_dir, "SELECT o_orderkey AS session_id, 0 AS n, CAST(NULL AS STRING) AS slot, 'late' AS message, 'warn' AS severity, CAST(NULL AS STRING) AS field FROM {orders} WHERE o_orderkey % 23 = 0")
+    return V.fallback_brief(fields, quality, cross, checks).withColumn("lines", F.array_join("lines", "|"))
+
+
+@R.add(
+    "dec_07_retake_requests",
+    over(STATES, "SELECT session_id, field, CASE WHEN x0 <= 0.005 THEN 'cut_off' WHEN obstruction = 'glare' THEN 'glare' ELSE 'unreadable' END AS code, CASE WHEN x0 <= 0.005 THEN 'The ' || label || ' is cut off; fit the whole document in the frame' WHEN obstruction = 'glare' THEN 'Glare over the ' || label || '; tilt the document and retake' ELSE 'The ' || label || ' is unreadable; retake' END AS text FROM fx WHERE required AND status = 'unreadable'"),
+)
+def _(spark: SparkSession, sf_dir: str) -> DataFrame:
+    boxes = fx(spark, sf_dir, STATES).withColumns({"y0": F.lit(0.3), "x1": F.lit(0.5), "y1": F.lit(0.6)})
+    return V.retake_requests(boxes).select("session_id", "field", "code", "text")
+
+
+BULLETS = "SELECT o_orderkey AS session_id, b.pos, CASE b.pos WHEN 0 THEN 'Status is {{field:order.status}}' WHEN 1 THEN 'Key ends in 7' ELSE CASE WHEN o_orderkey % 2 = 0 THEN 'Look at {{field:order.unknown}}' ELSE 'Ask for {{field:order.priority}}' END END AS text FROM {orders} CROSS JOIN (VALUES (0), (1), (2)) AS b(pos)"
+
+
+@R.add("dec_05_render_brief", "SELECT o_orderkey AS session_id, 'Status is ' || o_orderstatus || CASE WHEN o_orderkey % 2 = 1 THEN '|Ask for ' || CASE WHEN o_orderkey % 3 = 0 THEN '[unreadable]' ELSE o_orderpriority END ELSE '' END AS lines FROM {orders}")
+def _(spark: SparkSession, sf_dir: str) -> DataFrame:
+    values = fx(spark, sf_dir, "SELECT o_orderkey AS session_id, 'order.status' AS ref, o_orderstatus AS value FROM {orders} UNION ALL SELECT o_orderkey, 'order.priority', CASE WHEN o_orderkey % 3 = 0 THEN NULL ELSE o_orderpriority END FROM {orders}")
+    return V.rendered_brief(fx(spark, sf_dir, BULLETS), values).withColumn("lines", F.array_join("lines", "|"))
+
+
+ACTIONS = "SELECT o_orderkey AS session_id, CASE o_orderkey % 4 WHEN 1 THEN 'approve' WHEN 2 THEN 'reject' ELSE 'request_retake' END AS action FROM {orders} WHERE o_orderkey % 4 > 0"
+
+
+@R.add("ops_09_apply_review_actions", "SELECT o_orderkey AS session_id, CASE WHEN o_orderstatus <> 'O' THEN 'closed' WHEN o_orderkey % 4 IN (1, 2) THEN 'closed' WHEN o_orderkey % 4 = 3 THEN 'retake' ELSE 'open' END AS state, CASE WHEN o_orderstatus = 'O' AND o_orderkey % 4 = 1 THEN 'approved' WHEN o_orderstatus = 'O' AND o_orderkey % 4 = 2 THEN 'rejected' END AS final_outcome FROM {orders}")
+def _(spark: SparkSession, sf_dir: str) -> DataFrame:
+    items = fx(spark, sf_dir, "SELECT o_orderkey AS session_id, CASE WHEN o_orderstatus = 'O' THEN 'open' ELSE 'closed' END AS state FROM {orders}")
+    return V.apply_review_actions(items, fx(spark, sf_dir, ACTIONS))[0]
+
+
+@R.add("ops_11_identifier_hash", "SELECT c_nationkey AS nation, count(*) AS n, true AS same FROM {customer} GROUP BY c_nationkey")
+def _(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from fieldtrust.functions.text import ARABIC_DIGITS, western_digits
+    from fieldtrust.operators.ops import identifier_hash
+
+    rows = fx(spark, sf_dir, "SELECT c_nationkey AS nation, CAST(c_nationkey AS STRING) AS t FROM {customer}")
+    own = identifier_hash(F.lit("id"), F.col("t"), "test key")
+    other = identifier_hash(F.lit("id"), western_digits(F.translate("t", "0123456789", ARABIC_DIGITS[:10])), "test key")
+    return rows.groupBy("nation").agg(F.count("*").alias("n"), F.bool_and(own == other).alias("same"))
