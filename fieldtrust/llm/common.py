@@ -36,16 +36,6 @@ def saved(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def drop_saved(*tables: DataFrame) -> None:
-    """Deletes scratch tables that later results no longer read."""
-    for df in tables:
-        spark = df.sparkSession
-        for path in {p.rsplit("/", 1)[0] for p in df.inputFiles()}:
-            if path.split(":")[-1].lstrip("/").startswith(scratch_root(spark).split(":")[-1].lstrip("/")):
-                target = spark._jvm.org.apache.hadoop.fs.Path(path)
-                target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
-
-
 def small_batches(spark: SparkSession, rows: int = BATCH_ROWS) -> None:
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
 
