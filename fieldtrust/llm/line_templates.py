@@ -4,9 +4,12 @@ A line is parsed at fixed depth: by its number of tokens, then by its first toke
 from the start. Lines that share such a leaf and most of their tokens belong to one template, whose other places become
 variable. Templates that recur across documents are boilerplate and their lines are dropped.
 
-A document that is a copy shares all its lines with its copies. It is left for document-level dedup: a line is dropped
-only if its template stands in clearly more documents than the template of the document's own typical (lower median)
-line. Long lines (passages) need fewer documents and a smaller distance.
+A document that is a copy shares its lines with its copies and is left for document-level dedup. Copies are told from
+boilerplate by what else stands in the documents: a document is apart from a template's others if more than a ninth of
+its tokens (less would make it a near copy at 0.8) lies in lines that are clearly rarer than the template, both as
+templates and by their three-token pieces, so that a changed word makes no line rare. Documents apart are counted by
+their rarest lines, so copies among them count once; all others of the template count as one. Long lines (passages)
+need fewer documents and a smaller distance. Short lines count too, but only equal ones.
 """
 
 from __future__ import annotations
@@ -18,7 +21,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from fieldtrust.llm.common import keep_ids, saved, small_batches
@@ -30,9 +33,15 @@ LEAF_ROWS = 3000
 DEALT_ROWS = 2000
 #: Share of equal tokens that joins a line to a template.
 SIMILAR = 0.8
-#: Lines of fewer tokens are no evidence of a template and stay.
+#: Lines of fewer tokens are no evidence of a template and are matched exactly; without a letter they stay.
 LEAST_TOKENS = 4
-#: Documents, and times the document's typical line, from which a template is dropped; the same for long lines.
+#: A line without spaces in a script beyond PLAIN is taken by characters, from so many.
+PLAIN, LEAST_CHARACTERS = "\u0e00", 10
+#: Minima of three-token pieces that stand for a line.
+SKETCH = 4
+#: A document is apart if more than one in SHARE of its tokens lies in rarer lines: 1 - 2/9 over 1 is similarity 0.8.
+SHARE = 9
+#: Documents that count, and times the document's rarest lines, from which a template is dropped; the same for long lines.
 DOCS, TIMES = 3, 3
 LONG_TOKENS, LONG_DOCS, LONG_TIMES = 50, 2, 2
 #: Documents with dropped lines whose lists are broadcast; more are joined by a shuffle.
@@ -40,7 +49,7 @@ LISTS = 300_000
 
 _DIGIT = re.compile(r"\d")
 VARIABLE = "<*>"
-LINES = "doc_id long, line_no int, n_tokens int, leaf long, template long"
+LINES = "doc_id long, line_no int, n_tokens int, leaf long, template long, sketch array<long>"
 TOKENS = "doc_id long, line_no int, deep long, tokens binary"
 
 
@@ -51,26 +60,65 @@ def _hash(text: str) -> int:
 def masked(line: str) -> list[str]:
     """The tokens of a line, those with digits as variables; as they are where that would be more than half of them."""
     tokens = line.split()
+    if len(tokens) == 1 and len(tokens[0]) >= LEAST_CHARACTERS and max(tokens[0]) >= PLAIN:
+        tokens = list(tokens[0])
     if not _DIGIT.search(line):
         return tokens
     out = [VARIABLE if _DIGIT.search(t) else t for t in tokens]
     return out if 2 * out.count(VARIABLE) <= len(out) else tokens
 
 
+def _mixed(x: np.ndarray) -> np.ndarray:
+    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    return x ^ (x >> np.uint64(31))
+
+
+def sketches(tokens: list[int], lengths: list[int]) -> np.ndarray:
+    """SKETCH minima of the three-token pieces of each line (the last pieces are shorter). tokens: hashes, each line's
+    followed by two zeros; lengths: with those."""
+    h, n = np.array(tokens, np.uint64), np.array(lengths)
+    ends = np.cumsum(n)
+    pieces = _mixed(h + _mixed(np.roll(h, -1) + _mixed(np.roll(h, -2))))
+    out = np.empty((len(n), SKETCH), np.int64)
+    for k in range(SKETCH):
+        x = _mixed(pieces + np.uint64((k + 1) * 0x9E3779B97F4A7C15 & 0xFFFFFFFFFFFFFFFF))
+        x[ends - 1] = x[ends - 2] = np.uint64(0xFFFFFFFFFFFFFFFF)
+        out[:, k] = np.minimum.reduceat(x, ends - n).view(np.int64)
+    return out
+
+
 def parsed_lines(docs: DataFrame) -> DataFrame:
-    """LINES of docs: those of at least LEAST_TOKENS tokens, numbered from 0 among all lines of the text."""
+    """LINES of docs, numbered from 0 among all lines of the text; short ones (a leaf each) only if they have a letter."""
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known: dict[str, int] = {}
         for batch in batches:
-            out = []
+            out, flat, lengths = [], [], []
             for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 for i, line in enumerate((text or "").split("\n")):
                     t = masked(line)
                     if len(t) >= LEAST_TOKENS:
                         out.append((doc_id, i, len(t), _hash(f"{len(t)} {' '.join(t[:DEPTH])}"), _hash(" ".join(t))))
+                    elif any(map(str.isalpha, line)):
+                        t = line.split()
+                        same = _hash("= " + " ".join(t))
+                        out.append((doc_id, i, len(t), same, same))
+                    else:
+                        continue
+                    if len(known) > 300_000:
+                        known = {}
+                    for x in t:
+                        if x not in known:
+                            known[x] = _hash(x) & 0xFFFFFFFFFFFFFFFF
+                    flat += [known[x] for x in t]
+                    flat += (0, 0)
+                    lengths.append(len(t) + 2)
             columns = list(zip(*out, strict=True)) if out else [()] * 5
             types = [pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.int64()]
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types, strict=True)], names=[x.split()[0] for x in LINES.split(", ")])
+            minima = sketches(flat, lengths) if out else np.empty((0, SKETCH), np.int64)
+            sketch = pa.ListArray.from_arrays(pa.array(np.arange(len(out) + 1) * SKETCH, pa.int32()), pa.array(minima.ravel()))
+            yield pa.RecordBatch.from_arrays([*(pa.array(c, t) for c, t in zip(columns, types, strict=True)), sketch], names=[x.split()[0] for x in LINES.split(", ")])
 
     return docs.select("doc_id", "text").where("doc_id is not null").mapInArrow(rows, LINES)
 
@@ -162,19 +210,40 @@ def dropped_lines(docs: DataFrame) -> DataFrame:
     small_batches(docs.sparkSession)
     lines = saved(parsed_lines(docs), "lines")
     grown = saved(templates(docs, lines), "grown")
-    named = saved(lines.join(grown, ["leaf", "template"], "left").withColumn("grown", F.coalesce("grown", "template")), "named")
+    named = saved(lines.drop("sketch").join(grown, ["leaf", "template"], "left").withColumn("grown", F.coalesce("grown", "template")), "named")
     counts = named.select("leaf", "grown", "doc_id").distinct().groupBy("leaf", "grown").agg(F.count("*").alias("n")).where("n > 1")
-    counted = named.select("doc_id", "line_no", "n_tokens", "leaf", "grown").join(saved(counts, "counts"), ["leaf", "grown"], "left").withColumn("n", F.coalesce("n", F.lit(1)))
-    listed = counted.groupBy("doc_id").agg(F.array_sort(F.collect_list("n")).alias("ns"), F.collect_set(F.when(F.col("n") > 1, F.struct("line_no", "n", "n_tokens"))).alias("shared"))
-    typical = F.get("ns", ((F.size("ns") - 1) / 2).cast("int"))
-
-    def goes(x):
-        common = (x["n"] >= DOCS) & (x["n"] >= TIMES * F.col("typical"))
-        passage = (x["n_tokens"] >= LONG_TOKENS) & (x["n"] >= LONG_DOCS) & (x["n"] >= LONG_TIMES * F.col("typical"))
-        return common | passage
-
-    chosen = listed.withColumn("typical", typical).select("doc_id", F.array_sort(F.transform(F.filter("shared", goes), lambda x: x["line_no"])).alias("dropped"))
-    return saved(chosen.where("size(dropped) > 0"), "dropped")
+    counted = saved(named.select("doc_id", "line_no", "n_tokens", "leaf", "grown").join(saved(counts, "counts"), ["leaf", "grown"], "left").withColumn("n", F.coalesce("n", F.lit(1))), "counted")
+    shared = counted.where("n > 1")
+    concerned = saved(shared.select("doc_id").distinct(), "concerned")
+    apart = saved(rarest(keep_ids(lines, concerned, "doc_id"), keep_ids(counted, concerned, "doc_id")), "apart")
+    rarer = F.when(F.col("n_tokens") >= LONG_TOKENS, F.lit(LONG_TIMES)).otherwise(F.lit(TIMES))
+    beside = saved(shared.join(apart, "doc_id").withColumn("own", F.col("n") >= rarer * F.col("rare")), "beside")
+    # the documents that are not apart have a null key together
+    classes = beside.select("leaf", "grown", F.when(F.col("own"), F.col("key")).alias("key")).distinct().groupBy("leaf", "grown").agg(F.count("*").alias("classes"))
+    least = F.when(F.col("n_tokens") >= LONG_TOKENS, F.lit(LONG_DOCS)).otherwise(F.lit(DOCS))
+    # a document that is not apart may consist of boilerplate only: then most of the others are
+    goes = (F.col("classes") >= least) & (F.col("own") | (F.col("classes") * TIMES >= F.col("n")))
+    found = beside.join(saved(classes.where(F.col("classes") >= min(DOCS, LONG_DOCS)), "classes"), ["leaf", "grown"]).where(goes)
+    return saved(found.groupBy("doc_id").agg(F.array_sort(F.collect_set("line_no")).alias("dropped")), "dropped")
+
+
+def rarest(lines: DataFrame, counted: DataFrame) -> DataFrame:
+    """doc_id, rare, key: how common the rarest lines are that hold more than one in SHARE of the document's tokens,
+    and a name of the document by them (the least hash of their templates)."""
+    pieces = lines.select("doc_id", "line_no", F.explode("sketch").alias("piece"))
+    common = saved(pieces.select("piece", "doc_id").distinct().groupBy("piece").agg(F.count("*").alias("m")).where("m > 1"), "pieces")
+    soft = pieces.join(common, "piece").groupBy("doc_id", "line_no").agg(F.max("m").alias("m"))
+    each = counted.join(soft, ["doc_id", "line_no"], "left").select("doc_id", "n_tokens", F.greatest("n", F.coalesce("m", F.lit(1))).alias("n"), F.xxhash64("leaf", "grown").alias("key"))
+    listed = each.groupBy("doc_id").agg(F.sum("n_tokens").alias("total"), F.array_sort(F.collect_list(F.struct("n", "n_tokens", "key"))).alias("ns"))
+    start = F.struct(F.lit(0).cast("long").alias("tokens"), F.lit(0).cast("long").alias("rare"), F.lit(None).cast("long").alias("key"))
+
+    def step(state: Column, x: Column) -> Column:
+        more = (SHARE * state["tokens"] <= F.col("total")) | (state["rare"] == x["n"])
+        key = F.when(more, F.least(state["key"], x["key"])).otherwise(state["key"])
+        return F.struct((state["tokens"] + x["n_tokens"]).alias("tokens"), F.when(more, x["n"]).otherwise(state["rare"]).alias("rare"), key.alias("key"))
+
+    at = F.aggregate("ns", start, step)
+    return listed.select("doc_id", at["rare"].alias("rare"), at["key"].alias("key"))
 
 
 def without_recurring_lines(docs: DataFrame) -> DataFrame:

@@ -222,6 +222,26 @@ def test_line_dedup(spark):
     assert got[70]["text"] is None and got[70]["n_lines"] == 0 and got[71]["text"] == "" and got[None]["n_dropped"] == 0
 
 
+def test_line_dedup_tells_copies_from_boilerplate(spark):
+    rng = random.Random(9)
+    name = lambda: "".join(rng.choice("bcdfghklmnprst") + rng.choice("aeiou") for _ in range(4))
+    line = lambda n=12: " ".join(name() for _ in range(n))
+    head, foot, chinese = line(8), line(8), "\u672c\u7ad9\u6240\u6709\u6587\u7ae0\u5747\u4e3a\u539f\u521b\u5185\u5bb9"
+    pages = {i: "\n".join([head, line(), foot]) for i in range(30)} | {100 + i: f"{head}\n{foot}" for i in range(3)}
+    short = {200 + i: "\n".join(["Read more", line(), chinese, line(), "---"]) for i in range(5)}
+    first = [line(20) for _ in range(3)]
+    near = {}
+    for i in range(20):
+        own = [x.split(" ") for x in first]
+        own[i % 3].insert(rng.randrange(20), name())  # another length, so another leaf
+        near[300 + i] = "\n".join(map(" ".join, own))
+    texts = pages | short | near | {400 + i: pages[0] for i in range(6)}
+    got = {r["doc_id"]: r for r in rows_of(line_templates.without_recurring_lines(spark.createDataFrame(list(texts.items()), "doc_id long, text string")))}
+    assert all(got[i]["text"] == pages[i].split("\n")[1] for i in [*range(30)]) and all(got[100 + i]["emptied"] for i in range(3))
+    assert all("Read more" not in got[i]["text"] and chinese not in got[i]["text"] and got[i]["n_dropped"] == 2 for i in short)
+    assert all(got[i]["text"] == near[i] for i in near)
+
+
 def test_classifier(spark, docs):
     rng = random.Random(5)
     rows = [(i, " ".join(words(rng, 30)) if i % 3 else " ".join(x + "###" for x in words(rng, 30)), "en", "s", 1) for i in range(600)]
