@@ -15,11 +15,13 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from fieldtrust.llm.common import hash_sample
+from fieldtrust.llm.common import hash_sample, saved
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 #: Rules become one expression each; a longer list belongs in a table.
 MOST_RULES = 1000
+#: A suffix table of at most so many rows is broadcast; a larger one is joined by a shuffle.
+BROADCAST_SUFFIXES = 200_000
 
 
 class Rule(NamedTuple):
@@ -75,13 +77,17 @@ FEATURES = ["url_length", "host_length", "path_length", "depth", "labels", "digi
 
 
 def with_features(df: DataFrame, suffixes: DataFrame | None, url: str = "url") -> DataFrame:
-    """Adds the lexical features; suffixes (suffix, seen) is a small table of logarithmic counts of host suffixes."""
+    """Adds the lexical features; suffixes (suffix, seen) are logarithmic counts of host suffixes, a
+    saved table: broadcast behind a count."""
     u = F.coalesce(F.col(url), F.lit(""))
     length = F.greatest(F.char_length(u), F.lit(1)).cast("double")
     digits = F.char_length(u) - F.char_length(F.regexp_replace(u, "[0-9]", ""))
     query = F.regexp_extract(u, r"(?s)\?([^#]*)", 1)
     out = df.withColumn("suffix", F.regexp_extract("host", r"([^.]*)$", 1))
-    out = out.join(F.broadcast(suffixes), "suffix", "left") if suffixes is not None else out.withColumn("seen", F.lit(0.0))
+    if suffixes is None:
+        out = out.withColumn("seen", F.lit(0.0))
+    else:
+        out = out.join(F.broadcast(suffixes) if suffixes.count() <= BROADCAST_SUFFIXES else suffixes, "suffix", "left")
     values = {
         "url_length": F.char_length(u),
         "host_length": F.char_length("host"),
@@ -121,20 +127,20 @@ def fit(labelled: DataFrame, trees: int = 12, depth: int = 4) -> GBTClassificati
     return GBTClassifier(maxIter=trees, maxDepth=depth, stepSize=0.3, seed=11, maxBins=64).fit(vectors.cache())
 
 
-def judge(pages: DataFrame, rules: list[Rule], most_rows: int = 4000, most_suffixes: int = 2000, threshold: float = 0.5) -> DataFrame:
+def judge(pages: DataFrame, rules: list[Rule], most_rows: int = 4000, threshold: float = 0.5) -> DataFrame:
     """pages with host, path, rule, verdict (allow or block) and block_score (the trees' probability of block).
 
     A rule's verdict goes before the trees'. Null urls and those without :// have empty parts and are judged by the
     trees. Without labelled rows everything the rules leave open is allowed. Rows repeat as given; columns of pages
     with the added names are replaced. The trees are fitted to at most most_rows labelled rows; suffix statistics
-    cover all rows and keep the most_suffixes commonest.
+    cover all rows and all suffixes.
     """
     names = ["host", "path", "rule", "verdict", "block_score", "rule_verdict", "label", *FEATURES]
     held = pages.drop(*names)
     parts = with_rule(with_parts(held), rules)
     counts = parts.groupBy(F.regexp_extract("host", r"([^.]*)$", 1).alias("suffix")).agg(F.log1p(F.count("*").cast("double")).alias("seen"))
     total = F.log1p(F.lit(float(parts.count())))
-    suffixes = counts.orderBy(F.desc("seen"), "suffix").limit(most_suffixes).withColumn("seen", F.round(F.col("seen") - total, 3))
+    suffixes = saved(counts.withColumn("seen", F.round(F.col("seen") - total, 3)), "suffixes")
     scored = with_features(parts, suffixes)
     # one row of a URL is enough to learn from
     urls = hash_sample(parts.where("rule_verdict is not null and url is not null").select("url", "host", "path", "rule_verdict"), "url", most_rows)

@@ -284,6 +284,22 @@ def test_url_filter(spark, capsys):
     assert empty.count() == 0
 
 
+def test_url_suffixes_are_all_counted(spark, monkeypatch):
+    seen = []
+    features = url_filter.with_features
+    monkeypatch.setattr(url_filter, "with_features", lambda df, suffixes, url="url": (seen.append(suffixes), features(df, suffixes, url))[1])
+    pages = spark.range(2600).selectExpr("id AS page_id", "concat('http://host.s', if(id < 100, 0, id), '/en/', id) AS url")
+    parts = url_filter.with_parts(pages)
+    url_filter.judge(pages, URL_RULES)
+    rare = np.round(np.log1p(1) - np.log1p(2600), 3)
+    got = {}
+    for most in (200_000, 100):  # broadcast, then by a shuffle
+        monkeypatch.setattr(url_filter, "BROADCAST_SUFFIXES", most)
+        got[most] = {r.page_id: r.suffix_seen for r in features(parts, seen[0]).select("page_id", "suffix_seen").collect()}
+    assert got[100] == got[200_000] and len(got[100]) == 2600
+    assert all(got[100][i] == pytest.approx(rare) for i in range(100, 2600)) and got[100][0] == pytest.approx(np.round(np.log1p(100) - np.log1p(2600), 3))
+
+
 def test_warc_round_trip(spark):
     big = "ü" * 700
     rows = [(i, f"http://x/{i}", big if i % 3 == 0 else f"page {i} " * (i % 7), "other") for i in range(60)] + [(100, None, None, "o"), (101, "u\r\nv", "", "o"), (-5, "n", big, "o"), (None, "q", "p" * 1200, "o"), (57, "again", big, "o")]
