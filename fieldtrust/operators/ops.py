@@ -2,8 +2,15 @@
 
 from __future__ import annotations
 
+import hashlib
+from collections.abc import Callable, Iterator
+from typing import Any
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import StructType
 
 # fixed values: seconds between delivery attempts, and how long they go on
 RETRY_SECONDS, RETRY_HOURS = [30, 120, 600, 1800, 3600, 7200, 14400], 24
@@ -131,53 +138,71 @@ def retry_schedule(deliveries: DataFrame) -> DataFrame:
     return deliveries.withColumns({"status": status, "next_at": F.when(status == "pending", at)})
 
 
+def carried(rows: DataFrame, keys: list[str], order: list[str], schema: str, start: Callable[[dict], Any], step: Callable[[Any, dict], tuple[Any, tuple]]) -> DataFrame:
+    """keys and the values that step returns for each row, in the order given within its key. Spark sorts; only the
+    state of the key at hand is carried from row to row (start makes it from the key's first row)."""
+    kinds = rows.select(*keys).schema.add("_", StructType.fromDDL(schema))
+    out_schema = StructType([*kinds.fields[:-1], *kinds["_"].dataType.fields])
+
+    def folded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        current, state = None, None
+        for batch in batches:
+            values = []
+            for r in batch.to_pylist():
+                key = tuple(r[k] for k in keys)
+                if key != current:
+                    current, state = key, start(r)
+                state, value = step(state, r)
+                values.append(value)
+            types = to_arrow_schema(kinds["_"].dataType)
+            made = list(zip(*values, strict=True)) if values else [()] * len(types)
+            columns = [*(batch.column(k) for k in keys), *(pa.array(c, f.type) for c, f in zip(made, types, strict=True))]
+            yield pa.RecordBatch.from_arrays(columns, names=out_schema.names)
+
+    placed = rows.repartition(*keys).sortWithinPartitions(*keys, *[F.asc_nulls_last(x) for x in order])
+    return placed.mapInArrow(folded, out_schema)
+
+
 def idempotent(requests: DataFrame, hours: int = 24) -> DataFrame:
     """Adds verdict to requests (tenant_id, key, ts, request_id, hash): run starts a window of some hours for its key;
-    within it the same hash is a replay, another one a conflict. One fold over the ordered requests of each key."""
-    rows = F.array_sort(F.collect_list(F.struct("ts", "request_id", "hash")))
+    within it the same hash is a replay, another one a conflict. One pass over the ordered requests of each key."""
     span = hours * 3_600_000_000
-    kind = "struct<at: bigint, hash: string, out: array<struct<request_id: bigint, verdict: string>>>"
-    start = F.struct(F.lit(None).cast("long").alias("at"), F.lit(None).cast("string").alias("hash"), F.array().cast("array<struct<request_id: bigint, verdict: string>>").alias("out"))
 
-    def step(state: Column, x: Column) -> Column:
-        micros = F.unix_micros(x["ts"].cast("timestamp"))
-        fresh = state["at"].isNull() | (micros >= state["at"] + span)
-        verdict = F.when(fresh, "run").when(state["hash"] == x["hash"], "replay").otherwise("conflict")
-        return F.struct(F.when(fresh, micros).otherwise(state["at"]).alias("at"), F.when(fresh, x["hash"]).otherwise(state["hash"]).alias("hash"), F.array_append(state["out"], F.struct(x["request_id"].cast("long").alias("request_id"), verdict.alias("verdict"))).alias("out")).cast(kind)
+    def step(state: tuple, r: dict) -> tuple[tuple, tuple]:
+        at, first = state
+        if at is None or (r["micros"] is not None and r["micros"] >= at + span):
+            return (r["micros"], r["hash"]), (r["request_id"], "run")
+        return state, (r["request_id"], "replay" if first is not None and first == r["hash"] else "conflict")
 
-    folded = requests.groupBy("tenant_id", "key").agg(F.aggregate(rows, start, step)["out"].alias("out"))
-    return folded.select("tenant_id", "key", F.inline("out"))
+    rows = requests.select("tenant_id", "key", F.unix_micros(F.col("ts").cast("timestamp")).alias("micros"), F.col("request_id").cast("long").alias("request_id"), "hash")
+    return carried(rows, ["tenant_id", "key"], ["micros", "request_id", "hash"], "request_id long, verdict string", lambda r: (None, None), step)
 
 
 def rate_limit(events: DataFrame, per_minute: int) -> DataFrame:
     """event_id, allowed, wait_seconds of a token bucket for each key (key, event_id, ts), refilled evenly, full at first."""
-    rows = F.array_sort(F.collect_list(F.struct("ts", "event_id")))
-    out = "array<struct<event_id: bigint, allowed: boolean, wait_seconds: double>>"
-    start = F.struct(F.lit(float(per_minute)).alias("tokens"), F.lit(None).cast("long").alias("at"), F.array().cast(out).alias("out"))
     rate = per_minute / 60e6
 
-    def step(state: Column, x: Column) -> Column:
-        now = F.unix_micros(x["ts"].cast("timestamp"))
-        have = F.least(F.lit(float(per_minute)), state["tokens"] + F.coalesce(now - state["at"], F.lit(0)) * rate)
+    def step(state: tuple, r: dict) -> tuple[tuple, tuple]:
+        tokens, at = state
+        now = r["micros"]
+        have = min(float(per_minute), tokens + (0 if now is None or at is None else now - at) * rate)
         ok = have >= 1
-        row = F.struct(x["event_id"].cast("long").alias("event_id"), ok.alias("allowed"), F.when(ok, 0.0).otherwise((1 - have) / (rate * 1e6)).alias("wait_seconds"))
-        return F.struct((have - ok.cast("int")).alias("tokens"), now.alias("at"), F.array_append(state["out"], row).alias("out"))
+        return (have - ok, now), (r["event_id"], ok, 0.0 if ok else (1 - have) / (rate * 1e6))
 
-    return events.groupBy("key").agg(F.aggregate(rows, start, step)["out"].alias("out")).select("key", F.inline("out"))
+    rows = events.select("key", F.unix_micros(F.col("ts").cast("timestamp")).alias("micros"), F.col("event_id").cast("long").alias("event_id"))
+    return carried(rows, ["key"], ["micros", "event_id"], "event_id long, allowed boolean, wait_seconds double", lambda r: (float(per_minute), None), step)
 
 
 def append_audit(events: DataFrame, heads: DataFrame | None = None) -> DataFrame:
     """tenant_id, id, body, prev_hash, hash: each tenant's new events (tenant_id, id, body) chained to its last hash."""
-    kind = "array<struct<id: bigint, body: string, prev_hash: string, hash: string>>"
-    rows = events.groupBy("tenant_id").agg(F.array_sort(F.collect_list(F.struct("id", "body"))).alias("rows"))
+    rows = events.select("tenant_id", F.col("id").cast("long").alias("id"), "body")
     rows = rows.withColumn("head", F.lit(GENESIS)) if heads is None else rows.join(heads.select("tenant_id", F.col("hash").alias("head")), "tenant_id", "left").withColumn("head", F.coalesce("head", F.lit(GENESIS)))
 
-    def step(state: Column, x: Column) -> Column:
-        digest = F.sha2(F.concat(state["head"], x["body"]), 256)
-        return F.struct(digest.alias("head"), F.array_append(state["out"], F.struct(x["id"].cast("long").alias("id"), x["body"].alias("body"), state["head"].alias("prev_hash"), digest.alias("hash"))).alias("out"))
+    def step(head: str | None, r: dict) -> tuple[str | None, tuple]:
+        digest = None if head is None or r["body"] is None else hashlib.sha256((head + r["body"]).encode()).hexdigest()
+        return digest, (r["id"], r["body"], head, digest)
 
-    chained = F.aggregate("rows", F.struct(F.col("head").alias("head"), F.array().cast(kind).alias("out")), step)["out"]
-    return rows.select("tenant_id", chained.alias("out")).select("tenant_id", F.inline("out"))
+    return carried(rows, ["tenant_id"], ["id", "body"], "id long, body string, prev_hash string, hash string", lambda r: r["head"], step)
 
 
 def verify_audit(log: DataFrame) -> DataFrame:

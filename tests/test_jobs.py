@@ -130,3 +130,12 @@ def test_session_assembly(spark, tmp_path):
     source = spark.readStream.schema("session_id long, slot string, ts timestamp").parquet(str(tmp_path / "in"))
     got = run(spark, T.assemble_sessions(source.withWatermark("ts", "1 minute"), 2), tmp_path, "assembled").collect()
     assert [(r.session_id, r.slots, r.complete) for r in got if r.complete] == [(1, ["a", "b"], True)]
+
+
+def test_hot_keys_are_not_gathered_in_one_row(spark):
+    events = spark.range(20_000).selectExpr("'t' AS tenant_id", "'k' AS key", "id", "id AS event_id", "id AS request_id", "cast(id AS string) AS body", "'h' AS hash", "timestamp_seconds(id * 10) AS ts")
+    made = [O.idempotent(events), O.rate_limit(events, 3), O.append_audit(events)]
+    assert not any("collect_list" in x._jdf.queryExecution().toString() for x in made)
+    ids = {r.request_id for r in made[0].where("verdict = 'run'").collect()}
+    assert ids == {0, 8640, 17280} and made[0].count() == 20_000
+    assert 10_000 <= made[1].where("allowed").count() <= 10_004 and made[2].select("hash").distinct().count() == 20_000
