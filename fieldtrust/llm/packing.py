@@ -1,52 +1,103 @@
 """Vector bin packing of token sequences.
 
-Each task cuts its documents into pieces: runs of a whole sequence length stand alone, what is left over is packed. An
-item has a vector (tokens, segments, loss-bearing tokens); a bin has one limit for each. The dot-product heuristic fills
-one bin at a time with the item whose vector has the largest dot product with what is still free. Pieces of the emptiest
-bins are then cut to fill the others, and the last bin of a task is cut into powers of two, which need no padding.
+Each task cuts its documents into pieces: runs that fill a whole sequence stand alone, what is left over is packed. An
+item has a vector (tokens, segments, loss-bearing tokens); a bin has a limit of its own for each. The dot-product
+heuristic fills one bin at a time with the item whose vector has the largest dot product with what is still free. Pieces
+of the emptiest bins are then cut to fill the others as far as every limit allows, and the last bins of a task are cut
+into powers of two, which need no padding.
+
+A document's first tokens (its prompt, for instruction data) bear no loss, its others do.
 
 Everything stays in the task that reads a document: no shuffle, and at most `window` open items in memory.
 """
 
 from __future__ import annotations
 
+import json
 import re
-import struct
 import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import lru_cache
-from itertools import filterfalse
+from itertools import chain, filterfalse
 
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from fieldtrust.llm.common import small_batches
 
-SCHEMA = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
+SCHEMA = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, loss_tokens long"
 #: Bound of the words whose ids a Python worker keeps (about 200 bytes each).
 WORDS_KEPT = 1_000_000
 #: Below this character lower case and composition are the same one by one.
 BEYOND_LATIN = re.compile("[^\x00-\u024f]")
+#: Words of which regular expression engines agree what is a letter, a number or white space.
+SIMPLE = re.compile("[\x21-\x7e\xa1-\u024f]+")
+#: Parts of words that are encoded together, and texts or words in one call.
+TOGETHER, CALL = 256, 4096
 
 
 class WordIds:
-    """Ids of texts as little-endian bytes, by a tokenizer whose pre-tokens never hold a space or a line feed."""
+    """Ids of texts as little-endian bytes, by a tokenizer whose pre-tokens never hold a space or a line feed.
+
+    Words are cut into pre-tokens by the tokenizer's own pattern, and new pre-tokens are encoded many at a time, with
+    spaces between them; as each ends in one token with the end-of-word mark, the ids come apart again. Whether a
+    tokenizer is of this kind is asked of it on load; others encode word by word, or text by text.
+    """
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.kept: dict[str, bytes] = {"": b""}
+        self.words: dict[str, bytes] = {"": b""}
 
         def ids(text: str) -> list[int]:
             return self.tokenizer.encode(text, add_special_tokens=False).ids
 
         probe = "One two\nthree  4!"
         self.by_word = ids(probe) == [i for w in probe.replace("\n", " ").split(" ") for i in ids(w)]
-        self.lower = ids("ÀB c.") == ids("àb c.")
+        self.lower = ids("\u00c0B c.") == ids("\u00e0b c.")
+        self.pattern, self.ends = self._splitter() if self.by_word and self.lower else (None, None)
+        if self.pattern:
+            odd = "it's 1st,ab.c'd -- \u00e9t\u00e9's n'ayant x2y (z) ' 't"
+            if self._encoded_parts(self.pattern.findall(odd)) != [self._ids(x) for x in self.pattern.findall(odd)] or b"".join(self._encoded_parts(self.pattern.findall(odd))) != self._ids(odd):
+                self.pattern = None
+
+    def _ids(self, text: str) -> bytes:
+        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
+
+    def _splitter(self) -> tuple:
+        """The pattern that cuts words into pre-tokens, and which ids end one; (None, None) if there is no such pattern."""
+        import regex
+
+        spec = json.loads(self.tokenizer.to_str())
+        pre, suffix = spec.get("pre_tokenizer") or {}, spec["model"].get("end_of_word_suffix")
+        steps = pre.get("pretokenizers", [pre])
+        splits = [x for x in steps if x.get("type") == "Split" and x.get("invert") and x.get("behavior") == "Removed" and "Regex" in x.get("pattern", {})]
+        if not suffix or len(splits) != 1 or any(x.get("type") not in ("Split", "ByteLevel") for x in steps):
+            return None, None
+        ends = np.zeros(self.tokenizer.get_vocab_size(), bool)
+        for token, i in self.tokenizer.get_vocab().items():
+            ends[i] = token.endswith(suffix)
+        return regex.compile(splits[0]["pattern"]["Regex"]), ends
+
+    def _encoded_parts(self, parts: list[str]) -> list[bytes] | None:
+        """The ids of each pre-token; None if they do not come apart."""
+        out: list[bytes] = []
+        joined = [parts[i : i + TOGETHER] for i in range(0, len(parts), TOGETHER)]
+        for own, found in zip(joined, self.tokenizer.encode_batch_fast([" ".join(x) for x in joined], add_special_tokens=False), strict=True):
+            ids = np.array(found.ids, "<u4")
+            last = np.flatnonzero(self.ends[ids]) + 1
+            if len(last) != len(own) or last[-1] != len(ids):
+                return None
+            data, first = ids.tobytes(), 0
+            for end in last.tolist():
+                out.append(data[4 * first : 4 * end])
+                first = end
+        return out
 
     def plain(self, text: str) -> str:
         """A text with the same ids and fewer different words."""
@@ -54,20 +105,41 @@ class WordIds:
             return text
         return text.lower()
 
+    def learn(self, words: set[str]) -> None:
+        """Puts new words into the table, and their pre-tokens, which are words as well."""
+        rest = words
+        if self.pattern:
+            simple = {w for w in words if SIMPLE.fullmatch(w) and "<|" not in w}
+            letters = set(filter(str.isalpha, simple))  # each is one pre-token
+            mixed = simple - letters
+            cut = self.pattern.findall
+            parts = letters.union(filterfalse(self.words.__contains__, set(chain.from_iterable(map(cut, mixed)))))
+            new = list(parts)
+            found = self._encoded_parts(new)
+            if found is not None:
+                self.words.update(zip(new, found, strict=True))
+                get = self.words.__getitem__
+                for w in mixed:
+                    self.words[w] = b"".join(map(get, cut(w)))
+                rest = words - simple
+        rest = list(rest)
+        for i in range(0, len(rest), CALL):  # offsets are not needed, which the fast call leaves out
+            own = rest[i : i + CALL]
+            for word, got in zip(own, self.tokenizer.encode_batch_fast(own, add_special_tokens=False), strict=True):
+                self.words[word] = np.array(got.ids, "<u4").tobytes()
+
     def ids(self, texts: list[str]) -> list[bytes]:
         if not self.by_word:
             return [np.array(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
-        words = [self.plain(t).replace("\n", " ").split(" ") for t in texts]
-        if len(self.kept) > WORDS_KEPT:
-            self.kept = {"": b""}
-        new = list({w for own in words for w in filterfalse(self.kept.__contains__, own)})
-        for i in range(0, len(new), 4096):  # offsets are not needed, which the fast call leaves out
-            part = new[i : i + 4096]
-            for word, found in zip(part, self.tokenizer.encode_batch_fast(part, add_special_tokens=False), strict=True):
-                ids = found.ids
-                self.kept[word] = struct.pack(f"<{len(ids)}I", *ids)
-        get = self.kept.__getitem__
-        return [b"".join(map(get, w)) for w in words]
+        own = [self.plain(t).replace("\n", " ").split(" ") for t in texts]
+        if len(self.words) > WORDS_KEPT:
+            self.words = {"": b""}
+        new: set[str] = set()
+        for w in own:
+            new.update(filterfalse(self.words.__contains__, w))
+        self.learn(new)
+        get = self.words.__getitem__
+        return [b"".join(map(get, w)) for w in own]
 
 
 @lru_cache(maxsize=2)
@@ -77,103 +149,144 @@ def word_ids(path: str) -> WordIds:
 
 @dataclass
 class Piece:
+    """Some of a document's ids. Those before `prompt` (counted from the document's begin) bear no loss."""
+
     doc_id: int | None
     start: int
     ids: bytes
     doc_tokens: int
+    prompt: int = 1
 
     @property
     def length(self) -> int:
         return len(self.ids) // 4
 
+    @property
+    def loss(self) -> int:
+        return min(self.length, max(0, self.start + self.length - self.prompt))
+
     def cut(self, at: int) -> tuple[Piece, Piece]:
-        return (Piece(self.doc_id, self.start, self.ids[: 4 * at], self.doc_tokens), Piece(self.doc_id, self.start + at, self.ids[4 * at :], self.doc_tokens))
+        return (Piece(self.doc_id, self.start, self.ids[: 4 * at], self.doc_tokens, self.prompt), Piece(self.doc_id, self.start + at, self.ids[4 * at :], self.doc_tokens, self.prompt))
 
+    def fitting(self, tokens: int, loss: int) -> int:
+        """How many of the first tokens fit what is free of both limits."""
+        return min(self.length, tokens, max(0, self.prompt - self.start) + loss)
 
-def loss_tokens(piece: Piece) -> int:
-    """Tokens that are predicted from another one: all but a document's first."""
-    return piece.length - (piece.start == 0)
+
+@dataclass
+class Limits:
+    tokens: int
+    segments: int
+    loss: int
+
+    def free(self, own: list[Piece]) -> tuple[int, int, int]:
+        return self.tokens - sum(p.length for p in own), self.segments - len(own), self.loss - sum(p.loss for p in own)
 
 
 def place(vectors: np.ndarray, limits: np.ndarray) -> list[list[int]]:
     """Bins of item numbers by the dot-product heuristic; each item alone must fit the limits."""
     demand = vectors / limits
-    left = np.ones(len(demand), bool)
-    bins = []
-    for seed in np.lexsort((np.arange(len(demand)), -demand.max(axis=1))):
-        if not left[seed]:
-            continue
-        left[seed] = False
-        own, free = [int(seed)], 1 - demand[seed]
-        while True:
-            fits = np.flatnonzero(left & (demand <= free + 1e-12).all(axis=1))
-            if not len(fits):
-                break
-            best = int(fits[np.argmax(demand[fits] @ free)])
+    order = np.lexsort((np.arange(len(demand)), -demand.max(axis=1)))
+    rest, bins = demand[order], []
+    while len(order):
+        own, free = [int(order[0])], 1 - rest[0]
+        left = np.ones(len(order), bool)
+        left[0] = False
+        at = np.flatnonzero((rest <= free + 1e-12).all(axis=1) & left)
+        while len(at):
+            best = at[np.argmax(rest[at] @ free)]
             left[best] = False
-            own.append(best)
-            free = free - demand[best]
+            own.append(int(order[best]))
+            free = free - rest[best]
+            at = at[left[at] & (rest[at] <= free + 1e-12).all(axis=1)]
         bins.append(own)
+        order, rest = order[left], rest[left]
     return bins
 
 
-def filled(bins: list[list[Piece]], size: int, segments: int) -> tuple[list[list[Piece]], list[Piece]]:
-    """Cuts the pieces of the emptiest bins to fill the others; gives the full bins and the pieces that are over."""
-    rest = sorted(bins, key=lambda b: sum(p.length for p in b))
-    rest.reverse()
-    full: list[list[Piece]] = []
+def filled(bins: list[list[Piece]], limits: Limits) -> tuple[list[list[Piece]], list[Piece]]:
+    """Cuts the pieces of the emptiest bins to fill the others; gives the bins that no piece at hand can add to, and the
+    pieces that are over."""
+    rest = sorted(bins, key=lambda b: -sum(p.length for p in b))
+    done: list[list[Piece]] = []
     loose: list[Piece] = []
     first = 0
     while first < len(rest):
         own = rest[first]
         first += 1
-        gap = size - sum(p.length for p in own)
-        while gap and len(own) < segments:
-            if not loose:
-                if first >= len(rest):
-                    break
+        tokens, segments, loss = limits.free(own)
+        passed: list[Piece] = []
+        while tokens and segments:
+            if not loose and loss and first < len(rest):
                 loose = rest.pop()
+            if not loose:
+                break
             piece = loose.pop()
-            if piece.length > gap:
-                piece, over = piece.cut(gap)
+            n = piece.fitting(tokens, loss)
+            if not n:  # no loss-bearing token is free: only what is left of a prompt fits
+                passed.append(piece)
+                continue
+            if n < piece.length:
+                piece, over = piece.cut(n)
                 loose.append(over)
             own.append(piece)
-            gap -= piece.length
-        if gap and len(own) < segments:
-            return full, own
-        full.append(own)
-    return full, loose
-
-
-def in_powers(pieces: list[Piece], size: int, segments: int) -> list[list[Piece]]:
-    """Sequences whose lengths are powers of two of at most `size`."""
-    queue, out = list(reversed(pieces)), []
-    total = sum(p.length for p in queue)
-    while total:
-        room = min(size, 1 << (total.bit_length() - 1))
+            tokens, segments, loss = tokens - n, segments - 1, loss - piece.loss
+        loose += passed
+        if tokens and segments and first >= len(rest):
+            return done, own + loose
+        done.append(own)
+    return done, loose
+
+
+def in_powers(pieces: list[Piece], limits: Limits) -> list[list[Piece]]:
+    """Sequences within the limits whose lengths are powers of two of at most limits.tokens, the longest first."""
+    queue, out = sorted(pieces, key=lambda p: p.length), []
+    while queue:
         own: list[Piece] = []
-        while room and len(own) < segments:
+        passed: list[Piece] = []
+        tokens, segments, loss = limits.free(own)
+        while queue and tokens and segments:
             piece = queue.pop()
-            if piece.length > room:
-                piece, over = piece.cut(room)
-                queue.append(over)
-            own.append(piece)
-            room -= piece.length
+            n = piece.fitting(tokens, loss)
+            if n:
+                piece, over = piece.cut(n)
+                own.append(piece)
+                tokens, segments, loss = tokens - n, segments - 1, loss - piece.loss
+                if over.length:
+                    passed.append(over)
+            else:
+                passed.append(piece)
+        too_many = (limits.tokens - tokens) - (1 << (limits.tokens - tokens).bit_length() - 1)
+        if tokens:
+            while too_many:  # the last ones wait for another sequence
+                piece = own.pop()
+                keep, over = piece.cut(max(0, piece.length - too_many))
+                too_many -= over.length
+                passed.append(over)
+                if keep.length:
+                    own.append(keep)
         out.append(own)
-        total -= sum(p.length for p in own)
+        queue = sorted(queue + passed, key=lambda p: p.length)
     return out
 
 
-def pack(docs: DataFrame, tokenizer_path: str, size: int = 2048, segments: int = 512, loss: int | None = None, end_id: int = 1, window: int = 1024) -> DataFrame:
+def pack(docs: DataFrame, tokenizer_path: str, size: int = 2048, segments: int = 512, loss: int | None = None, end_id: int = 1, window: int = 1024, prompt: str | None = None) -> DataFrame:
     """Pieces of the documents' ids (with end_id after each document) and their places in sequences.
 
     Columns: see SCHEMA. Null and empty texts are one piece holding end_id. Each row of docs is a document of its own,
-    repeated ids included; a null doc_id stays null. Sequence ids are unique over all tasks. Extra columns are ignored.
-    `segments` and `loss` (size by default) bound the pieces and the loss-bearing tokens of a sequence; a smaller
-    loss bound keeps sequences shorter and cuts are then made at it.
+    repeated ids included; a null doc_id stays null. Sequence ids are unique over all tasks. Extra columns are ignored,
+    unless `prompt` names one: the text that comes before `text` in each document and bears no loss (null: none). A
+    document's first token bears none in any case, as nothing predicts it.
+    No sequence has more than `size` tokens, `segments` pieces or `loss` (size by default) loss-bearing tokens; the three
+    limits hold apart from each other. A sequence is shorter than `size` only where another limit stops it, or as one of
+    a task's last, whose length is then a power of two. With loss = size, as for plain documents, the loss limit cannot
+    bind before the token limit.
     """
     small_batches(docs.sparkSession)
-    limit = min(size, loss or size)
+    limits = Limits(size, segments, size if loss is None else loss)
+    if min(limits.tokens, limits.segments, limits.loss) < 1:
+        raise ValueError("each limit must be 1 at least")
+    names = [c.split()[0] for c in SCHEMA.split(", ")]
 
     def packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words = word_ids(tokenizer_path)
@@ -187,7 +300,7 @@ def pack(docs: DataFrame, tokenizer_path: str, size: int = 2048, segments: int =
             nonlocal number
             offset = 0
             for p in sequence:
-                rows.append((p.doc_id, p.start, p.length, zlib.crc32(p.ids), p.doc_tokens, number, offset))
+                rows.append((p.doc_id, p.start, p.length, zlib.crc32(p.ids), p.doc_tokens, number, offset, p.loss))
                 offset += p.length
             number += 1
 
@@ -195,30 +308,33 @@ def pack(docs: DataFrame, tokenizer_path: str, size: int = 2048, segments: int =
             nonlocal open_items
             if not open_items:
                 return
-            vectors = np.array([(p.length, 1, loss_tokens(p)) for p in open_items], float)
-            bins = [[open_items[i] for i in own] for own in place(vectors, np.array([limit, segments, limit], float))]
-            full, open_items = filled(bins, limit, segments)
-            for own in full:
+            vectors = np.array([(p.length, 1, p.loss) for p in open_items], float)
+            bins = [[open_items[i] for i in own] for own in place(vectors, np.array([limits.tokens, limits.segments, limits.loss], float))]
+            done, open_items = filled(bins, limits)
+            for own in done:
                 put(own)
             if last:
-                for own in in_powers(open_items, limit, segments):
+                for own in in_powers(open_items, limits):
                     put(own)
                 open_items = []
 
         def batch_out() -> pa.RecordBatch:
             nonlocal rows
-            columns = list(zip(*rows, strict=True)) if rows else [()] * 7
-            names = [c.split()[0] for c in SCHEMA.split(", ")]
+            columns = list(zip(*rows, strict=True)) if rows else [()] * len(names)
             rows = []
             return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], names=names)
 
         for batch in batches:
             found = words.ids([x or "" for x in batch.column(1).to_pylist()])
-            for doc_id, ids in zip(batch.column(0).to_pylist(), found, strict=True):
-                whole = Piece(doc_id, 0, ids + end, len(ids) // 4 + 1)
-                while whole.length >= limit:
-                    one, whole = whole.cut(limit)
-                    put([one])
+            before = words.ids([x or "" for x in batch.column(2).to_pylist()]) if prompt else [b""] * len(found)
+            for doc_id, ids, asked in zip(batch.column(0).to_pylist(), found, before, strict=True):
+                whole = Piece(doc_id, 0, asked + ids + end, len(asked + ids) // 4 + 1, max(1, len(asked) // 4))
+                while (n := whole.fitting(limits.tokens, limits.loss)) < whole.length or n == limits.tokens:
+                    one, whole = whole.cut(n)
+                    if n == limits.tokens:
+                        put([one])
+                    else:
+                        open_items.append(one)
                 if whole.length:
                     open_items.append(whole)
                 if len(open_items) >= window:
@@ -227,4 +343,4 @@ def pack(docs: DataFrame, tokenizer_path: str, size: int = 2048, segments: int =
         flush(True)
         yield batch_out()
 
-    return docs.select("doc_id", "text").mapInArrow(packed, SCHEMA)
+    return docs.select("doc_id", "text", *([F.col(prompt).alias("prompt")] if prompt else [])).mapInArrow(packed, SCHEMA)

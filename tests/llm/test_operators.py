@@ -146,6 +146,87 @@ def test_placing_respects_every_limit():
     assert all((vectors[b].sum(axis=0) <= limits).all() for b in bins)
 
 
+def fewest_bins(vectors, limits):
+    """By trying every bin for every item, the largest first."""
+    items = sorted(map(tuple, vectors), reverse=True)
+    best = len(items)
+
+    def put(k, bins):
+        nonlocal best
+        if len(bins) >= best:
+            return
+        if k == len(items):
+            best = len(bins)
+            return
+        for i, b in enumerate(bins):
+            both = tuple(x + y for x, y in zip(b, items[k], strict=True))
+            if both not in bins[:i] and all(x <= y for x, y in zip(both, limits, strict=True)):
+                put(k + 1, [*bins[:i], both, *bins[i + 1 :]])
+        put(k + 1, [*bins, items[k]])
+
+    put(0, [])
+    return best
+
+
+def test_placing_is_near_the_fewest_bins():
+    rng = np.random.default_rng(3)
+    made = least = 0
+    for _ in range(60):
+        n = int(rng.integers(1, 9))
+        tokens = rng.integers(1, 90, n)
+        vectors = np.stack([tokens, np.ones(n), (tokens * rng.random(n)).astype(int)], axis=1).astype(float)
+        limits = np.array([100, 3, 55], float)
+        own, best = len(packing.place(vectors, limits)), fewest_bins(vectors, limits)
+        assert best <= own <= best + 1
+        made, least = made + own, least + best
+    assert made <= 1.08 * least
+
+
+@pytest.mark.parametrize("binds", ["tokens", "segments", "loss", "none"])
+def test_each_limit_binds_alone(spark, binds):
+    rng = random.Random(len(binds))
+    rows = [(i, " ".join(words(rng, rng.randint(0, 25))), " ".join(words(rng, rng.randint(0, 25))) if i % 5 else None) for i in range(300)] + [(900, " ".join(words(rng, 900)), None), (901, None, " ".join(words(rng, 900)))]
+    df = spark.createDataFrame(rows, "doc_id long, text string, asked string").coalesce(2)
+    limits = {"tokens": (128, 512, 128), "segments": (512, 3, 512), "loss": (512, 512, 40), "none": (1 << 20, 1 << 20, 1 << 20)}[binds]
+    got = rows_of(packing.pack(df, tokenizer_file("word_bpe_49k.json"), *limits, prompt="asked", window=64))
+    ids = packing.word_ids(tokenizer_file("word_bpe_49k.json"))
+    own, sequences = defaultdict(list), defaultdict(list)
+    for p in got:
+        own[p["doc_id"]].append(p)
+        sequences[p["sequence_id"]].append(p)
+    for i, text, asked in rows:
+        a, b = ids.ids([asked or "", text or ""])
+        whole, at = a + b + (1).to_bytes(4, "little"), 0
+        for p in sorted(own[i], key=lambda p: p["start"]):
+            assert p["start"] == at and p["ids_crc32"] == zlib.crc32(whole[4 * at : 4 * (at + p["length"])])
+            assert p["loss_tokens"] == sum(k >= max(1, len(a) // 4) for k in range(at, at + p["length"]))
+            at += p["length"]
+        assert 4 * at == len(whole)
+    sums = [(sum(p["length"] for p in s), len(s), sum(p["loss_tokens"] for p in s)) for s in sequences.values()]
+    assert all(x <= y for s in sums for x, y in zip(s, limits, strict=True))
+    stopped = [sum(s[k] == limits[k] for s in sums) for k in range(3)]
+    if binds == "none":
+        assert len(sums) <= 2 * 20
+    else:
+        k = ["tokens", "segments", "loss"].index(binds)
+        assert stopped[k] >= 0.7 * len(sums)
+        # a sequence that no limit stops is one of a task's last
+        assert all(any(x == y for x, y in zip(s, limits, strict=True)) or s[0] & (s[0] - 1) == 0 for s in sums)
+
+
+def test_word_ids_are_the_tokenizers():
+    from tokenizers import Tokenizer
+
+    path = tokenizer_file("word_bpe_49k.json")
+    tokenizer, own = Tokenizer.from_file(path), packing.WordIds(path)
+    assert own.pattern
+    rng = random.Random(7)
+    texts = ["".join(rng.choice("abcXYZéÀßñ '.,-_!()0123²½ªº\n\t \x1c\x85\xa0\xad漢字🙂İ<|>stredm") for _ in range(rng.randint(0, 60))) for _ in range(3000)] + ["<|endoftext|> x<|startoftext|>y", "it's we'll'd n't 'S"]
+    for i in range(0, len(texts), 500):
+        part = texts[i : i + 500]
+        assert own.ids(part) == [np.array(e.ids, "<u4").tobytes() for e in tokenizer.encode_batch(part, add_special_tokens=False)]
+
+
 def test_decontamination_against_brute_force(spark, docs):
     rng = random.Random(9)
     base = [r.text for r in docs.collect() if r.text and len(r.text) > 200]
