@@ -415,6 +415,48 @@ def test_warc_reader_is_not_misled_by_magic_inside_payloads(spark, tmp_path):
     assert base64.b32decode(warc.sha1_label("00" * 20)[5:]) == bytes(20)
 
 
+@pytest.mark.parametrize("split", [257, 2000, 1 << 20])
+def test_warc_damage_costs_only_the_members_it_touches(spark, tmp_path, split):
+    rng = random.Random(11)
+    members, starts = [], [0]
+    for i in range(24):
+        # odd records hold a whole member of another archive, stored as it is
+        body = rng.randbytes(300) + (warc.record(900 + i, "in", b"inner", hashlib.sha1(b"inner").hexdigest(), None) if i % 2 else b"")
+        members.append(warc.record(i, "u", body, hashlib.sha1(body).hexdigest(), None))
+        starts.append(starts[-1] + len(members[-1]))
+    whole = b"".join(members)
+    flipped = bytearray(whole)
+    flipped[starts[10] + 60] ^= 255
+    flipped[starts[11] + 1] ^= 255
+    missing = whole[: starts[5]] + whole[starts[5] + 40 : starts[6]] + whole[starts[6] :]
+    zeros = whole[: starts[3]] + bytes(5000) + whole[starts[3] :]
+    cases = {"cut": (whole[:-10], {23}, 1), "flipped": (bytes(flipped), {10, 11}, None), "missing": (missing, {5}, 1), "zeros": (zeros, set(), 1), "whole": (whole, set(), 0)}
+    for name, (data, lost, spans) in cases.items():
+        path = tmp_path / f"{name}.gz"
+        path.write_bytes(data)
+        files = spark.createDataFrame([(str(path), len(data))], "path string, bytes long")
+        got = rows_of(warc.read_warc(files, f"file://{tmp_path}", split))
+        damage = [r for r in got if r["record_type"] == "damaged"]
+        read = sorted(r["page_id"] for r in got if r["record_type"] == "response")
+        inner = [x for x in read if x >= 900]
+        assert [x for x in read if x < 900] == sorted(set(range(24)) - lost), name
+        assert len(inner) <= ("flipped" in name) and all(x - 900 in lost for x in inner)
+        # a short range may hold no whole member to tell damage by
+        assert (spans is None or len(damage) == spans) and bool(damage) == (name != "whole") or split < 1 << 20
+        assert name != "whole" or not damage
+        assert all(r["path"] == str(path) and 0 <= r["damaged_from"] and r["damaged_bytes"] > 0 for r in damage)
+    broken = tmp_path / "cut.gz"
+    with pytest.raises(Exception, match="damage in"):
+        warc.read_warc(spark.createDataFrame([(str(broken), broken.stat().st_size)], "path string, bytes long"), f"file://{tmp_path}", split, strict=True).collect()
+
+
+def test_warc_revisits_without_a_broadcast(spark):
+    rows = [(i, "u", ("p" if i % 2 else "q") * 1500 if i % 3 else f"only {i} " * 300) for i in range(60)]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string")
+    both = [sorted((r["page_id"], r["refers_to"] or -1) for r in rows_of(warc.with_revisits(pages, most=n))) for n in (0, 10**6)]
+    assert both[0] == both[1] and sum(x[1] >= 0 for x in both[0]) == 38
+
+
 def best_capacity(sizes, shards):
     low, high = max(max(sizes), -(-sum(sizes) // shards)), sum(sizes)
     while low < high:
