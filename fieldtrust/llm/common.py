@@ -17,9 +17,12 @@ BATCH_ROWS = 512
 
 
 def scratch_root(spark: SparkSession) -> str:
-    """The shared folder for intermediate tables: spark.checkpoint.dir, or a temporary one where it is unset (tests)."""
+    """The shared folder for intermediate tables: spark.checkpoint.dir. Where it is unset, a temporary folder on a local
+    master (tests) and an error on a cluster, whose machines do not share one."""
     root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not root:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all machines of the cluster share")
         root = "file://" + tempfile.mkdtemp(prefix="spark-", dir="/tmp")
         spark.conf.set("spark.checkpoint.dir", root)
     return root.rstrip("/")
@@ -37,7 +40,12 @@ def saved(df: DataFrame, name: str) -> DataFrame:
 
 
 def small_batches(spark: SparkSession, rows: int = BATCH_ROWS) -> None:
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
+    """Arrow batches of at most `rows` rows from now on; smaller ones of the session stay. It holds for the session, as
+    plans read it when they run. Spark bounds the bytes of a batch (spark.sql.execution.arrow.maxBytesPerBatch), so that
+    long texts come in batches of few rows."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(name)) <= rows:
+        spark.conf.set(name, str(rows))
 
 
 def keep_ids(df: DataFrame, ids: DataFrame, on: str, limit: int = BROADCAST_ROWS) -> DataFrame:
