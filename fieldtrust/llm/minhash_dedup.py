@@ -4,13 +4,9 @@
    give its bucket keys. With the defaults a pair at the threshold 0.85 is missed by all bands with probability 6e-9
    (0.8: 1e-5 at 40 bands, hence `bands` rises for lower thresholds, see `bands_for`).
 2. Texts with the same set are one class, represented by its smallest id; only representatives go on.
-3. In each bucket all members are compared with one hub, the member that shares most buckets with others: a linear
-   number of pairs, verified on full sets. Verified links are joined to components.
-   Twice more, members outside a bucket's main component are compared with another member of that component.
-4. In buckets that still hold several components, all members outside the main one are compared with all others, in
-   blocks of bounded size: minima first, full sets where they allow a link. A block gives one link for each pair of
-   components that it joins. Nothing is capped.
-5. Components come from alternating large-star and small-star steps, each written to the shared folder.
+3. Buckets give pairs with hubs, which are verified on full sets, and then blocks of bounded size for what hubs leave
+   open (see buckets.py): there minima are compared first, full sets where they allow a link. Nothing is capped.
+4. Components come from alternating large-star and small-star steps, each written to the shared folder.
 """
 
 from __future__ import annotations
@@ -25,16 +21,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from fieldtrust.llm.buckets import block_rows, dealt, joined
 from fieldtrust.llm.common import byte_groups, keep_ids, saved, small_batches
 from fieldtrust.llm.shingles import mixed, shingle_sets
 
 ROWS = 6
-#: Members of a block in which all pairs of a bucket are compared.
-BLOCK = 256
 #: Further members of a bucket's main component with which its other members are compared before the blocks.
 MORE_HUBS = 2
-#: Rows that go to Python in one piece, about; a block adds at most 2 * BLOCK of one bucket.
-DEALT_ROWS = 1000
 #: Texts are hashed in groups of at most so many bytes.
 GROUP_BYTES = 1 << 20
 
@@ -113,41 +106,6 @@ def full_sets(docs: DataFrame, width: int) -> DataFrame:
     return docs.select("doc_id", "text").mapInArrow(listed, "node long, shingles array<long>")
 
 
-def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
-    """node, component (the smallest node reachable) of an undirected graph with edges a, b.
-
-    Alternating large-star and small-star steps until nothing changes; the table of each step is written out.
-    """
-
-    def large_star(e: DataFrame) -> DataFrame:
-        both = e.select(F.col("a").alias("u"), F.col("b").alias("v")).union(e.select(F.col("b").alias("u"), F.col("a").alias("v")))
-        least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
-        return both.where("v > u").join(least, "u").select(F.col("v").alias("a"), F.col("m").alias("b")).where("a <> b").distinct()
-
-    def small_star(e: DataFrame) -> DataFrame:
-        down = e.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v"))
-        least = down.groupBy("u").agg(F.min("v").alias("m"))
-        over = down.join(least, "u").where("v <> m").select(F.col("v").alias("a"), F.col("m").alias("b"))
-        return over.union(least.select(F.col("u").alias("a"), F.col("m").alias("b"))).distinct()
-
-    def mark(e: DataFrame) -> tuple:
-        return tuple(e.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first())
-
-    current = saved(edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "edges")
-    before = mark(current)
-    for _ in range(rounds):
-        if not before[0]:
-            break
-        current = saved(small_star(large_star(current)), "stars")
-        now = mark(current)
-        if now == before:
-            break
-        before = now
-    else:
-        raise RuntimeError("components did not settle")
-    return current.select(F.col("a").alias("node"), F.col("b").alias("component"))
-
-
 def verified(pairs: DataFrame, docs: DataFrame, width: int, percent: int) -> DataFrame:
     """Those pairs a, b whose full sets satisfy 100 * intersection >= percent * union."""
     pairs = saved(pairs, "pairs")
@@ -159,19 +117,13 @@ def verified(pairs: DataFrame, docs: DataFrame, width: int, percent: int) -> Dat
     return saved(both.select("a", "b", common.alias("common"), F.size("sa").alias("na"), F.size("sb").alias("nb")).where(f"100 * common >= {percent} * (na + nb - common)").select("a", "b"), "links")
 
 
-def pairs_with(rows: DataFrame, percent: int) -> DataFrame:
-    """Distinct pairs a > b of node and hub whose sizes (n_shingles, hub_n) allow a link."""
-    fit = rows.where(f"node <> hub and 100 * least(n_shingles, hub_n) >= {percent} * greatest(n_shingles, hub_n)")
-    return fit.select(F.greatest("node", "hub").alias("a"), F.least("node", "hub").alias("b")).distinct()
-
-
 class Side:
     """Some rows of a block as arrays, each node once."""
 
     def __init__(self, rows: dict[str, np.ndarray], at: np.ndarray):
         _, first = np.unique(rows["node"][at], return_index=True)
         at = at[first]
-        self.node, self.component, self.size, self.sets = (rows[c][at] for c in ("node", "component", "n_shingles", "shingles"))
+        self.node, self.component, self.size, self.sets = (rows[c][at] for c in ("node", "component", "size", "shingles"))
         self.minima = np.frombuffer(b"".join(rows["minima"][at]), np.uint8).reshape(len(at), -1) if len(at) else np.zeros((0, 1), np.uint8)
 
 
@@ -210,7 +162,7 @@ def block_links(left: Side, right: Side, percent: int) -> list[tuple[int, int]]:
 def dealt_links(pdf: pd.DataFrame, percent: int) -> pd.DataFrame:
     """Links of the blocks that were dealt together, one block (key, i, j) after another."""
     pdf = pdf.sort_values(["key", "i", "j"], kind="stable")
-    rows = {c: pdf[c].to_numpy() for c in ("side", "node", "component", "n_shingles", "shingles", "minima", "alone")}
+    rows = {c: pdf[c].to_numpy() for c in ("side", "node", "component", "size", "shingles", "minima", "alone")}
     keys = pdf[["key", "i", "j"]].to_numpy()
     starts = np.flatnonzero(np.concatenate(([True], (keys[1:] != keys[:-1]).any(axis=1))))
     links = []
@@ -221,29 +173,6 @@ def dealt_links(pdf: pd.DataFrame, percent: int) -> pd.DataFrame:
     return pd.DataFrame(sorted(set(links)), columns=["a", "b"], dtype="int64")
 
 
-def with_main(members: DataFrame, found: DataFrame) -> DataFrame:
-    """members of the buckets that hold several components, with component and the bucket's main one and counts."""
-    placed = members.join(found, "node", "left").withColumn("component", F.coalesce("component", "node"))
-    each = placed.groupBy("key", "component").agg(F.count("*").alias("n"))
-    split = each.groupBy("key").agg(F.max(F.struct("n", (-F.col("component")).alias("no"))).alias("most"), F.sum("n").alias("m")).where("m > most.n")
-    return saved(placed.join(split.select("key", (-F.col("most.no")).alias("main"), F.col("most.n").alias("n_main"), (F.col("m") - F.col("most.n")).alias("n_minor")), "key"), "split")
-
-
-def block_rows(split: DataFrame) -> DataFrame:
-    """The rows of with_main dealt to blocks (key, i, j, alone): members outside the main component are side 0 and meet
-    each other and, on side 1, the main component's members."""
-    minor, main = split.where("component <> main"), split.where("component = main")
-    count = lambda c: F.greatest(F.lit(1).cast("long"), F.ceil(F.col(c) / BLOCK))
-    block = lambda c: F.pmod(F.xxhash64("node"), count(c))
-    upto = lambda c: F.explode(F.sequence(F.lit(0).cast("long"), count(c) - 1))
-    columns = ["key", "i", "j", "alone", "side", "node", "component", "n_shingles"]
-    among = minor.withColumn("own", block("n_minor")).withColumn("other", upto("n_minor")).withColumns({"i": F.least("own", "other"), "j": F.greatest("own", "other")})
-    among = among.withColumns({"alone": F.col("i") == F.col("j"), "side": F.when(F.col("own") == F.col("i"), 0).otherwise(1)}).where("n_minor > 1").select(columns)
-    asked = minor.withColumn("i", block("n_minor")).withColumn("j", upto("n_main")).withColumns({"j": -1 - F.col("j"), "alone": F.lit(False), "side": F.lit(0)}).select(columns)
-    asked_of = main.withColumn("j", -1 - block("n_main")).withColumn("i", upto("n_minor")).withColumns({"alone": F.lit(False), "side": F.lit(1)}).select(columns)
-    return among.unionByName(asked).unionByName(asked_of)
-
-
 def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
     """doc_id, n_shingles, component_id, kept for each row of docs (columns doc_id, text; others are ignored).
 
@@ -257,35 +186,17 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataF
     named = base.where("doc_id is not null and set_key is not null")
     classes = saved(named.groupBy("set_key").agg(F.min("doc_id").alias("node")), "classes")
     nodes = named.select("doc_id", "set_key", "n_shingles", "bands").join(classes.select(F.col("node").alias("doc_id"), "set_key"), ["doc_id", "set_key"], "left_semi").dropDuplicates(["doc_id", "set_key"])
-    keys = saved(nodes.select(F.col("doc_id").alias("node"), "n_shingles", F.explode("bands").alias("key")), "keys")
-    shared = keys.groupBy("key").agg(F.count("*").alias("n"), F.min("node").alias("lo"), F.max("node").alias("hi")).where("lo < hi").select("key", "n")
-    members = saved(keys.join(shared, "key"), "members")
-    weight = members.groupBy("node").agg(F.sum("n").alias("weight"))
-    hubs = members.join(weight, "node").groupBy("key").agg(F.max(F.struct("weight", (-F.col("node")).alias("no"), "n_shingles")).alias("hub"))
-    first = members.join(hubs, "key").select("node", (-F.col("hub.no")).alias("hub"), "n_shingles", F.col("hub.n_shingles").alias("hub_n"))
-    edges = verified(pairs_with(first, percent), docs, width, percent)
-    found = components(edges)
-    split = with_main(members, found)
-    for turn in range(MORE_HUBS):
-        # a hub that is the same in many buckets keeps the number of different pairs small
-        other = split.where("component = main").groupBy("key").agg(F.max(F.struct(F.xxhash64("node", F.lit(turn)).alias("order"), "node", "n_shingles")).alias("hub"))
-        asked = split.where("component <> main").join(other, "key").select("node", F.col("hub.node").alias("hub"), "n_shingles", F.col("hub.n_shingles").alias("hub_n"))
-        links = verified(pairs_with(asked, percent), docs, width, percent)
-        found = components(found.select(F.col("node").alias("a"), F.col("component").alias("b")).union(links))
-        split = with_main(members, found)
-
-    # every link that is left, in blocks
-    open_nodes = saved(split.select(F.col("node").alias("doc_id")).distinct(), "open")
-    sets = full_sets(keep_ids(docs.select("doc_id", "text"), open_nodes, "doc_id"), width).dropDuplicates(["node"])
-    low = named.select(F.col("doc_id").alias("node"), "minima").join(open_nodes.withColumnRenamed("doc_id", "node"), "node", "left_semi").dropDuplicates(["node"])
-    known = saved(sets.join(low, "node"), "known")
-    blocks = saved(block_rows(split), "blocks")
-    # most buckets are small: many are handed to Python together
-    together = F.pmod(F.xxhash64("key", "i", "j"), F.lit(max(1, blocks.count() // DEALT_ROWS)))
-    dealt = blocks.withColumn("dealt", together).join(known, "node")
-    more = saved(dealt.groupBy("dealt").applyInPandas(lambda pdf: dealt_links(pdf, percent), "a long, b long").distinct(), "links")
-    joined = components(found.select(F.col("node").alias("a"), F.col("component").alias("b")).union(more))
-    grouped = saved(classes.join(joined, "node", "left").select("set_key", F.coalesce("component", "node").alias("component_id")), "grouped")
+    keys = saved(nodes.select(F.col("doc_id").alias("node"), F.col("n_shingles").alias("size"), F.explode("bands").alias("key")), "keys")
+
+    def in_blocks(split: DataFrame) -> DataFrame:
+        open_nodes = saved(split.select(F.col("node").alias("doc_id")).distinct(), "open")
+        sets = full_sets(keep_ids(docs.select("doc_id", "text"), open_nodes, "doc_id"), width).dropDuplicates(["node"])
+        low = named.select(F.col("doc_id").alias("node"), "minima").join(open_nodes.withColumnRenamed("doc_id", "node"), "node", "left_semi").dropDuplicates(["node"])
+        rows = dealt(block_rows(split)).join(saved(sets.join(low, "node"), "known"), "node")
+        return rows.groupBy("dealt").applyInPandas(lambda pdf: dealt_links(pdf, percent), "a long, b long").distinct()
+
+    linked = joined(keys, percent, lambda pairs: verified(pairs, docs, width, percent), in_blocks, MORE_HUBS)
+    grouped = saved(classes.join(linked, "node", "left").select("set_key", F.coalesce("component", "node").alias("component_id")), "grouped")
     out = base.select("doc_id", "n_shingles", "set_key").join(grouped, "set_key", "left")
     component = F.when(F.col("doc_id").isNotNull(), F.coalesce("component_id", "doc_id"))
     return out.select("doc_id", "n_shingles", component.alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(True)).alias("kept"))
