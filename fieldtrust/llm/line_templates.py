@@ -1,8 +1,11 @@
 """Line dedup by a tree of log templates.
 
 A line is parsed at fixed depth: by its number of tokens, then by its first tokens; tokens with digits are variable
-from the start. Lines that share such a leaf and most of their tokens belong to one template, whose other places become
-variable. Templates that recur across documents are boilerplate and their lines are dropped.
+from the start. Two lines of a leaf that agree in 0.8 of their places belong to one template, and so do lines that a chain
+of such pairs joins; the places where a template's lines differ are its variables. This does not depend on the order or
+the number of the lines: small leaves are joined in one piece each, leaves of many lines through buckets of equal blocks
+of tokens, of which two lines that agree share one, with the same result. Templates that recur across documents are
+boilerplate and their lines are dropped.
 
 A document that is a copy shares its lines with its copies and is left for document-level dedup. Copies are told from
 boilerplate by what else stands in the documents: a document is apart from a template's others if more than a ninth of
@@ -24,15 +27,17 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from fieldtrust.llm.buckets import block_rows, dealt, joined
 from fieldtrust.llm.common import keep_ids, saved, small_batches
 
-#: Leading tokens that make a leaf, and those that split a leaf with more than LEAF_ROWS templates.
-DEPTH, DEEPER = 3, 8
-LEAF_ROWS = 3000
+#: Leading tokens that make a leaf.
+DEPTH = 3
+#: Leaves of more different lines are joined through buckets.
+LEAF_ROWS = 1000
 #: Rows that go to Python in one piece, about.
 DEALT_ROWS = 2000
-#: Share of equal tokens that joins a line to a template.
-SIMILAR = 0.8
+#: Percentage of equal places that joins two lines.
+SIMILAR = 80
 #: Lines of fewer tokens are no evidence of a template and are matched exactly; without a letter they stay.
 LEAST_TOKENS = 4
 #: A line without spaces in a script beyond PLAIN is taken by characters, from so many.
@@ -44,17 +49,26 @@ SHARE = 9
 #: Documents that count, and times the document's rarest lines, from which a template is dropped; the same for long lines.
 DOCS, TIMES = 3, 3
 LONG_TOKENS, LONG_DOCS, LONG_TIMES = 50, 2, 2
-#: Documents with dropped lines whose lists are broadcast; more are joined by a shuffle.
-LISTS = 300_000
+#: Dropped lines, all documents together, up to which their lists are broadcast; more are joined by a shuffle.
+LISTED = 1_000_000
 
 _DIGIT = re.compile(r"\d")
 VARIABLE = "<*>"
 LINES = "doc_id long, line_no int, n_tokens int, leaf long, template long, sketch array<long>"
-TOKENS = "doc_id long, line_no int, deep long, tokens binary"
+TOKENS = "leaf long, template long, tokens binary"
+
+
+def _hash_bytes(data: bytes) -> int:
+    return int.from_bytes(hashlib.blake2b(data, digest_size=8).digest(), "little", signed=True)
 
 
 def _hash(text: str) -> int:
-    return int.from_bytes(hashlib.blake2b(text.encode("utf-8", "surrogatepass"), digest_size=8).digest(), "little", signed=True)
+    return _hash_bytes(text.encode("utf-8", "surrogatepass"))
+
+
+def _names(tokens: list[str]) -> tuple[int, int]:
+    """The names of a line's leaf and of the line itself."""
+    return _hash(f"{len(tokens)} {' '.join(tokens[:DEPTH])}"), _hash(" ".join(tokens))
 
 
 def masked(line: str) -> list[str]:
@@ -99,7 +113,7 @@ def parsed_lines(docs: DataFrame) -> DataFrame:
                 for i, line in enumerate((text or "").split("\n")):
                     t = masked(line)
                     if len(t) >= LEAST_TOKENS:
-                        out.append((doc_id, i, len(t), _hash(f"{len(t)} {' '.join(t[:DEPTH])}"), _hash(" ".join(t))))
+                        out.append((doc_id, i, len(t), *_names(t)))
                     elif any(map(str.isalpha, line)):
                         t = line.split()
                         same = _hash("= " + " ".join(t))
@@ -123,86 +137,138 @@ def parsed_lines(docs: DataFrame) -> DataFrame:
     return docs.select("doc_id", "text").where("doc_id is not null").mapInArrow(rows, LINES)
 
 
-def line_tokens(docs: DataFrame) -> DataFrame:
-    """TOKENS of docs: each line's token hashes (32 bits, 0 for variable ones) and a hash of its first DEEPER tokens."""
+def line_tokens(docs: DataFrame, wanted: DataFrame) -> DataFrame:
+    """TOKENS of the wanted lines (doc_id, line_no): 32-bit hashes of their tokens, 0 for variable ones."""
+    lists = saved(wanted.groupBy("doc_id").agg(F.collect_set("line_no").alias("line_nos")), "wanted")
+    chosen = docs.select("doc_id", "text").join(F.broadcast(lists) if wanted.count() <= LISTED else lists, "doc_id")
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known: dict[str, int] = {}
         for batch in batches:
             out = []
-            for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                for i, line in enumerate((text or "").split("\n")):
-                    t = masked(line)
-                    if len(t) < LEAST_TOKENS:
+            for text, line_nos in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                lines = (text or "").split("\n")
+                for i in line_nos:
+                    t = masked(lines[i]) if i < len(lines) else []
+                    if len(t) < LEAST_TOKENS:  # another text of this doc_id
                         continue
                     if len(known) > 300_000:
                         known = {}
                     for x in t:
                         if x not in known:
                             known[x] = 0 if x == VARIABLE else (_hash(x) & 0xFFFFFFFF) or 1
-                    out.append((doc_id, i, _hash(" ".join(t[:DEEPER])), np.array([known[x] for x in t], "<u4").tobytes()))
-            columns = list(zip(*out, strict=True)) if out else [()] * 4
-            types = [pa.int64(), pa.int32(), pa.int64(), pa.binary()]
+                    out.append((*_names(t), np.array([known[x] for x in t], "<u4").tobytes()))
+            columns = list(zip(*out, strict=True)) if out else [()] * 3
+            types = [pa.int64(), pa.int64(), pa.binary()]
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types, strict=True)], names=[x.split()[0] for x in TOKENS.split(", ")])
 
-    return docs.select("doc_id", "text").mapInArrow(rows, TOKENS)
-
-
-def joined_lines(lines: np.ndarray, hashes: np.ndarray) -> np.ndarray:
-    """The template of each line of a leaf (a row of token hashes), the commonest lines first, as its first line's hash."""
-    made, owner, first = np.empty_like(lines), np.empty(len(lines), np.int64), []
-    for i, line in enumerate(lines):
-        n = len(first)
-        if n:
-            share = (made[:n] == line).mean(axis=1)
-            best = int(np.argmax(share))
-            if share[best] >= SIMILAR:
-                made[best][made[best] != line] = 0  # a place that differs becomes variable
-                owner[i] = hashes[first[best]]
-                continue
-        made[n] = line
-        first.append(i)
-        owner[i] = hashes[i]
+    return chosen.select("text", "line_nos").mapInArrow(rows, TOKENS).dropDuplicates(["leaf", "template"])
+
+
+def alike(lines: np.ndarray, line: np.ndarray) -> np.ndarray:
+    """Which of some lines (rows of token hashes) agree with a line of that many tokens."""
+    return 100 * (lines == line).sum(axis=1) >= SIMILAR * lines.shape[1]
+
+
+def joined_lines(tokens: list[bytes], names: np.ndarray) -> np.ndarray:
+    """For each line of a leaf the least name of those that a chain of agreeing lines joins to it."""
+    owner = names.copy()
+    # a leaf is named by a hash: lines of another length are other lines
+    for n in {len(x) for x in tokens}:
+        at = np.array([i for i, x in enumerate(tokens) if len(x) == n])
+        lines, own = np.frombuffer(b"".join(tokens[i] for i in at), "<u4").reshape(len(at), -1), np.arange(len(at))
+        for i in range(len(at) - 1):
+            later = i + 1 + np.flatnonzero(own[i + 1 :] != own[i])
+            near = later[alike(lines[later], lines[i])]
+            if len(near):
+                own[np.isin(own, own[near])] = own[i]
+        for x in np.unique(own):
+            owner[at[own == x]] = names[at[own == x]].min()
     return owner
 
 
-def grown_templates(pdf: pd.DataFrame) -> pd.DataFrame:
-    """Grows the templates of the leaves that were dealt together, one leaf (and branch and salt) after another."""
-    pdf = pdf.sort_values(["leaf", "branch", "salt", "n_docs", "template"], ascending=[True, True, True, False, True])
-    keys, hashes, tokens = pdf[["leaf", "branch", "salt"]].to_numpy(), pdf["template"].to_numpy(), pdf["tokens"].to_numpy()
-    starts = np.flatnonzero(np.concatenate(([True], (keys[1:] != keys[:-1]).any(axis=1))))
-    owners = []
-    for a, b in zip(starts, np.append(starts[1:], len(pdf)), strict=True):
-        own = tokens[a:b]
-        # a leaf is named by a hash: lines of another length than its first one stand alone
-        same = np.array([len(x) == len(own[0]) for x in own])
-        owner = hashes[a:b].copy()
-        if same.sum() > 1:
-            owner[same] = joined_lines(np.frombuffer(b"".join(own[same]), "<u4").reshape(same.sum(), -1), hashes[a:b][same])
-        owners.append(owner)
-    return pd.DataFrame({"leaf": pdf["leaf"].to_numpy(), "template": hashes, "grown": np.concatenate(owners)})
+def grown_leaves(pdf: pd.DataFrame) -> pd.DataFrame:
+    """Joins the lines of the leaves that were dealt together, one leaf after another."""
+    pdf = pdf.sort_values(["leaf", "template"])
+    leaves, names, tokens = pdf["leaf"].to_numpy(), pdf["template"].to_numpy(), pdf["tokens"].to_list()
+    starts = np.flatnonzero(np.concatenate(([True], leaves[1:] != leaves[:-1])))
+    owners = [joined_lines(tokens[a:b], names[a:b]) for a, b in zip(starts, np.append(starts[1:], len(pdf)), strict=True)]
+    return pd.DataFrame({"leaf": leaves, "template": names, "grown": np.concatenate(owners)})
+
+
+def block_names(leaf: int, tokens: bytes) -> list[int]:
+    """A name for each of the blocks into which the tokens after the leaf's are cut. Lines of n tokens that agree differ in
+    at most n * (1 - SIMILAR) places; with one block more than that, one whole block is the same in both."""
+    n = len(tokens) // 4
+    blocks = n * (100 - SIMILAR) // 100 + 1
+    ends = [4 * (DEPTH + (n - DEPTH) * k // blocks) for k in range(blocks + 1)]
+    return [_hash_bytes(b"%d %d %d " % (leaf, n, k) + tokens[a:b]) for k, (a, b) in enumerate(zip(ends, ends[1:], strict=False))]
+
+
+def grown_by_blocks(full: DataFrame) -> DataFrame:
+    """leaf, template, grown of the lines (TOKENS) of crowded leaves, as joined_lines gives them, through buckets."""
+    lines = full.select(F.col("template").alias("node"), (F.octet_length("tokens") / 4).cast("long").alias("size"), "leaf", "tokens")
+
+    def named(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            leaf, node, size, tokens = (batch.column(batch.schema.get_field_index(c)).to_pylist() for c in ("leaf", "node", "size", "tokens"))
+            out = [(b, n, k) for x, b, n, t in zip(leaf, node, size, tokens, strict=True) for k in block_names(x, t)]
+            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in (zip(*out, strict=True) if out else [()] * 3)], names=["node", "size", "key"])
+
+    keys = saved(lines.mapInArrow(named, "node long, size long, key long"), "keys")
+    own = lines.select("node", "tokens")
+
+    def verified(pairs: DataFrame) -> DataFrame:
+        both = pairs.join(own.toDF("a", "left"), "a").join(own.toDF("b", "right"), "b").select("a", "b", "left", "right")
+
+        def checked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                a, b, left, right = (c.to_pylist() for c in batch.columns)
+                fit = [len(x) == len(y) and bool(alike(np.frombuffer(x, "<u4")[None], np.frombuffer(y, "<u4"))[0]) for x, y in zip(left, right, strict=True)]
+                yield pa.RecordBatch.from_arrays([pa.array([v for v, f in zip(c, fit, strict=True) if f], pa.int64()) for c in (a, b)], names=["a", "b"])
+
+        return saved(both.mapInArrow(checked, "a long, b long"), "links")
+
+    def in_blocks(split: DataFrame) -> DataFrame:
+        return dealt(block_rows(split)).join(own, "node").groupBy("dealt").applyInPandas(lambda pdf: block_links(pdf), "a long, b long").distinct()
+
+    found = joined(keys, 100, verified, in_blocks, more_hubs=1)
+    return full.join(found, F.col("template") == F.col("node"), "left").select("leaf", "template", F.coalesce("component", "template").alias("grown"))
+
+
+def block_links(pdf: pd.DataFrame) -> pd.DataFrame:
+    """Links of the blocks that were dealt together, one for each pair of components that meets in a block."""
+    links: set[tuple[int, int]] = set()
+    for _, own in pdf.groupby(["key", "i", "j"], sort=True):
+        own = own.drop_duplicates(["side", "node"]).sort_values(["side", "node"])
+        node, component, side = own["node"].to_numpy(), own["component"].to_numpy().copy(), own["side"].to_numpy()
+        lines = np.frombuffer(b"".join(own["tokens"]), "<u4").reshape(len(own), -1)
+        alone = bool(own["alone"].iloc[0])
+        for k in np.flatnonzero(side == 0):
+            other = np.flatnonzero((np.arange(len(own)) > k if alone else side == 1) & (component != component[k]))
+            for j in other[alike(lines[other], lines[k])]:
+                if component[j] != component[k]:
+                    links.add((int(max(node[k], node[j])), int(min(node[k], node[j]))))
+                    component[component == component[j]] = component[k]
+    return pd.DataFrame(sorted(links), columns=["a", "b"], dtype="int64")
 
 
 def templates(docs: DataFrame, lines: DataFrame) -> DataFrame:
     """leaf, template, grown for the lines in leaves that hold several templates and several documents."""
     exact = saved(
-        lines.select("leaf", "template", "doc_id", "line_no").groupBy("leaf", "template", "doc_id").agg(F.min("line_no").alias("line_no")).groupBy("leaf", "template").agg(F.count("*").alias("n_docs"), F.min(F.struct("doc_id", "line_no")).alias("at")),
+        lines.select("leaf", "template", "doc_id", "line_no").groupBy("leaf", "template", "doc_id").agg(F.min("line_no").alias("line_no")).groupBy("leaf", "template").agg(F.min(F.struct("doc_id", "line_no")).alias("at")),
         "exact",
     )
     crowded = exact.groupBy("leaf").agg(F.count("*").alias("m"), F.min("at.doc_id").alias("lo"), F.max("at.doc_id").alias("hi")).where("m > 1 and (lo < hi)").select("leaf", "m")
-    asked = saved(exact.join(crowded, "leaf").select("leaf", "template", "n_docs", "m", F.col("at.doc_id").alias("doc_id"), F.col("at.line_no").alias("line_no")), "asked")
-    ids = saved(asked.select("doc_id").distinct(), "ids")
-    tokens = line_tokens(keep_ids(docs.select("doc_id", "text"), ids, "doc_id")).dropDuplicates(["doc_id", "line_no"])
-    spread = asked.groupBy("leaf").agg(F.max("m").alias("m")).drop("m")
-    full = asked.join(tokens, ["doc_id", "line_no"]).join(spread, "leaf")
-    # a crowded leaf is split by more leading tokens, and by hash if that is not enough
-    deep = saved(full.withColumn("branch", F.when(F.col("m") > LEAF_ROWS, F.col("deep")).otherwise(F.lit(0))), "deep")
-    sizes = deep.groupBy("leaf", "branch").agg(F.count("*").alias("k"))
-    dealt = deep.join(sizes, ["leaf", "branch"]).withColumn("salt", F.pmod(F.col("template"), F.ceil(F.col("k") / LEAF_ROWS)))
+    asked = saved(exact.join(crowded, "leaf").select("leaf", "template", "m", F.col("at.doc_id").alias("doc_id"), F.col("at.line_no").alias("line_no")), "asked")
+    tokens = line_tokens(docs, asked.select("doc_id", "line_no"))
+    full = saved(asked.select("leaf", "template", "m").join(tokens, ["leaf", "template"]), "full")
+    few = full.where(F.col("m") <= LEAF_ROWS)
     # most leaves are small: many are handed to Python together
-    together = F.pmod(F.xxhash64("leaf", "branch", "salt"), F.lit(max(1, deep.count() // DEALT_ROWS)))
-    rows = dealt.select("leaf", "branch", "salt", "template", "n_docs", "tokens", together.alias("dealt"))
-    return rows.groupBy("dealt").applyInPandas(lambda pdf: grown_templates(pdf), "leaf long, template long, grown long")
+    together = F.pmod(F.xxhash64("leaf"), F.lit(max(1, few.count() // DEALT_ROWS)))
+    out = few.withColumn("dealt", together).groupBy("dealt").applyInPandas(lambda pdf: grown_leaves(pdf), "leaf long, template long, grown long")
+    many = full.where(F.col("m") > LEAF_ROWS)
+    return out if many.isEmpty() else out.unionByName(grown_by_blocks(many.drop("m")))
 
 
 def dropped_lines(docs: DataFrame) -> DataFrame:
@@ -250,17 +316,18 @@ def without_recurring_lines(docs: DataFrame) -> DataFrame:
     """docs with text cleaned, and n_lines, n_dropped and emptied added.
 
     Lines end at line feeds; kept ones are unchanged. Null texts stay null (no lines), texts without recurring lines
-    stay as they are. emptied: lines were dropped and no word is left. Equal rows of a doc_id are treated alike; rows
+    stay as they are. emptied: lines were dropped and nothing but white space is left. Equal rows of a doc_id are treated alike; rows
     with a null doc_id are not counted and stay. Columns of docs with the added names are replaced; an empty table
     gives an empty one.
     """
     docs = docs.drop("n_lines", "n_dropped", "emptied", "dropped")
     lists = dropped_lines(docs)
-    joined = docs.join(F.broadcast(lists) if lists.count() <= LISTS else lists, "doc_id", "left")
+    listed = lists.agg(F.sum(F.size("dropped"))).first()[0] or 0
+    joined = docs.join(F.broadcast(lists) if listed <= LISTED else lists, "doc_id", "left")
     parts = F.split("text", "\n")
     kept = F.array_join(F.filter(parts, lambda x, i: ~F.array_contains("dropped", i)), "\n")
     text = F.when(F.col("dropped").isNull(), F.col("text")).otherwise(kept)
     out = joined.withColumns({"n_lines": F.coalesce(F.size(parts), F.lit(0)), "n_dropped": F.coalesce(F.size("dropped"), F.lit(0)), "cleaned": text})
     out = out.withColumn("n_lines", F.when(F.col("text").isNull(), 0).otherwise(F.col("n_lines"))).withColumn("n_dropped", F.when(F.col("dropped").isNull(), 0).otherwise(F.col("n_dropped")))
-    emptied = (F.col("n_dropped") > 0) & (F.trim("cleaned") == "")
+    emptied = (F.col("n_dropped") > 0) & ~F.rlike("cleaned", F.lit(r"[^\x20\x09-\x0D]"))
     return out.withColumn("emptied", F.coalesce(emptied, F.lit(False))).withColumn("text", F.col("cleaned")).select(*docs.columns, "n_lines", "n_dropped", "emptied")

@@ -10,7 +10,7 @@ from collections import defaultdict
 import numpy as np
 import pytest
 
-from fieldtrust.llm import decontaminate, line_templates, minhash_dedup, packing, quality_fm, quality_rules, sharding, token_count, url_filter, warc
+from fieldtrust.llm import buckets, decontaminate, line_templates, minhash_dedup, packing, quality_fm, quality_rules, sharding, token_count, url_filter, warc
 from fieldtrust.llm.common import scratch_path
 from fieldtrust.llm.queries import URL_RULES, tokenizer_file
 
@@ -71,13 +71,13 @@ def test_near_duplicates_against_brute_force(docs):
 
 def test_components_of_paths_and_stars(spark):
     edges = [(i, i + 1) for i in range(0, 60)] + [(100, x) for x in range(101, 140)] + [(7, 7)]
-    got = {r.node: r.component for r in minhash_dedup.components(spark.createDataFrame(edges, "a long, b long")).collect()}
+    got = {r.node: r.component for r in buckets.components(spark.createDataFrame(edges, "a long, b long")).collect()}
     assert all(got.get(i, i) == 0 for i in range(61)) and all(got.get(i, i) == 100 for i in range(100, 140))
 
 
 def test_split_buckets_find_links_that_hubs_miss(spark, monkeypatch):
     """A chain of near copies in few buckets, with blocks of two members."""
-    monkeypatch.setattr(minhash_dedup, "BLOCK", 2)
+    monkeypatch.setattr(buckets, "BLOCK", 2)
     rng = random.Random(1)
     text = words(rng, 60)
     rows = []
@@ -323,6 +323,69 @@ def test_line_dedup_tells_copies_from_boilerplate(spark):
     assert all(got[i]["text"] == near[i] for i in near)
 
 
+def brute_templates(lines):
+    """The class of each line (by the least number in it): equal length and first tokens, chains of lines that agree in 0.8
+    of their places; tokens with digits are all alike."""
+    own = [["<*>" if re.search(r"\d", t) else t for t in x.split()] for x in lines]
+    own = [t if 2 * t.count("<*>") <= len(t) else x.split() for t, x in zip(own, lines, strict=True)]
+    name = list(range(len(own)))
+    for _ in range(8):
+        for i, a in enumerate(own):
+            for j, b in enumerate(own):
+                if a == b or len(a) == len(b) >= 4 and a[:3] == b[:3] and 5 * sum(x == y for x, y in zip(a, b, strict=True)) >= 4 * len(a):
+                    name[i] = name[j] = min(name[i], name[j])
+    return name
+
+
+@pytest.mark.parametrize("leaf_rows", [5, 1000])
+def test_templates_against_brute_force(spark, monkeypatch, leaf_rows):
+    monkeypatch.setattr(line_templates, "LEAF_ROWS", leaf_rows)
+    monkeypatch.setattr(buckets, "BLOCK", 3)
+    rng = random.Random(21)
+    lines = ["on the day", "x", "a b c d"]
+    for _ in range(40):  # one template of which any one place of the last seven varies, and unrelated lines in its leaf
+        own = "posted by the old press of our town in the north".split()
+        for k in rng.sample(range(3, 11), rng.choice([0, 1, 2, 5])):
+            own[k] = rng.choice("alpha beta gamma delta".split()) if rng.random() < 0.5 else rng.choice("uvwxyz") * 3
+        lines.append(" ".join(own))
+    for n in (4, 5, 9, 10):
+        base = words(rng, n)
+        base = [x.rstrip("0123456789") for x in base]
+        for _ in range(9):
+            own = list(base)
+            for k in rng.sample(range(n), rng.choice([0, 1, 1, 2])):
+                own[k] = rng.choice(["left", "right", "7", "12"])
+            lines.append(" ".join(own))
+    lines += [f"article {i} of {x} was read today" for i, x in enumerate("abcdefgh")]
+    want = brute_templates(lines)
+    df = spark.createDataFrame(list(enumerate(lines)), "doc_id long, text string")
+    parsed = line_templates.parsed_lines(df).drop("sketch")
+    grown = line_templates.templates(df, parsed)
+    got = {r.doc_id: (r.leaf, r.grown if r.grown is not None else r.template) for r in parsed.join(grown, ["leaf", "template"], "left").collect()}
+    classes = defaultdict(set), defaultdict(set)
+    for i in range(len(lines)):
+        classes[0][want[i]].add(i)
+        classes[1][got[i]].add(i)
+    assert sorted(map(sorted, classes[0].values())) == sorted(map(sorted, classes[1].values()))
+
+
+def test_crowded_leaves_change_no_result(spark, monkeypatch):
+    """Many lines of one template that differ in one place, ties in their counts, and documents with nothing else left."""
+    rng = random.Random(22)
+    name = lambda n=3: "".join(rng.choice("bcdfghklm") + rng.choice("aeiou") for _ in range(n))
+    rows = [(i, f"Written for our readers by {name(4)} on this fine day\n{' '.join(name() for _ in range(12))}") for i in range(60)]
+    rows += [(100 + i, f"Written for our readers by {name(4)} on this fine day\n \t\n") for i in range(3)]
+    rows += [(200, "word " * 3000), (201, " ".join(name() for _ in range(3000)))]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    both = []
+    for most in (5, 3000):
+        monkeypatch.setattr(line_templates, "LEAF_ROWS", most)
+        monkeypatch.setattr(line_templates, "LISTED", most)
+        both.append(sorted((r["doc_id"], r["text"], r["n_dropped"], r["emptied"]) for r in rows_of(line_templates.without_recurring_lines(df))))
+    assert both[0] == both[1]
+    assert all(n == 1 and e == (i >= 100) for i, _, n, e in both[0] if i < 200) and all(n == 0 and not e for i, _, n, e in both[0] if i >= 200)
+
+
 def test_classifier(spark, docs):
     rng = random.Random(5)
     rows = [(i, " ".join(words(rng, 30)) if i % 3 else " ".join(x + "###" for x in words(rng, 30)), "en", "s", 1) for i in range(600)]
