@@ -2,7 +2,8 @@
 
 Rows with equal texts form one atomic group. Groups are ordered by a hash of their text; a group larger than an even
 share goes first and has a shard to itself. The smallest capacity that lets the remaining groups be cut into the
-remaining shards is found by binary search with a greedy check, and the greedy cuts are taken.
+remaining shards is found by binary search with a greedy check. The cuts are then made within that capacity, each next to
+an even share of what is left, as greedy cuts would leave the last shard short.
 
 The search never sees all groups. It works on cells: ranges of the hash order with the sum of their sizes, at most
 CELLS of them. A cell may be cut anywhere (optimistic) or nowhere (pessimistic); where the two answers differ, the
@@ -11,7 +12,7 @@ cells at the cuts are read again in finer ranges until both agree, which makes t
 
 from __future__ import annotations
 
-from bisect import bisect_right
+from bisect import bisect_left, bisect_right
 from dataclasses import dataclass
 
 import numpy as np
@@ -22,8 +23,12 @@ from fieldtrust.llm.common import saved
 
 #: Ranges of the hash order that the driver holds at first, and by which one range is split when read again.
 CELL_BITS, FINER_BITS = 14, 6
-#: Rows of one slice, within which slots are numbered.
-SLICE_ROWS = 200_000
+#: Rows of one slice, within which slots are numbered, and rows from which a group is dealt over several.
+SLICE_ROWS, HOT_ROWS = 200_000, 10_000
+#: Slices, and large groups, that are broadcast; more are joined by a shuffle.
+BROADCAST_ROWS = 500_000
+#: A cell at a cut is read again while it is larger than one in so many of an even share.
+FINE = 1000
 
 
 @dataclass
@@ -51,6 +56,30 @@ def greedy(cells: Cells, capacity: int, whole: bool) -> list[tuple[int, int]] |
     return cuts
 
 
+def even(cells: Cells, shards: int, capacity: int) -> list[int]:
+    """Cells before which the shards after the first begin: next to even shares of what is left, no shard over capacity.
+    There must be such cuts between the cells."""
+    ends = [0, *np.cumsum(cells.size).tolist()]
+    total = ends[-1]
+    # least[j]: the first cell from which the rest fits j shards
+    least, at = [len(ends) - 1], total
+    for _ in range(shards):
+        k = bisect_left(ends, at - capacity)
+        least.append(k)
+        at = ends[k]
+    cuts, here = [], 0
+    for left in range(shards - 1, 0, -1):
+        if total <= ends[here]:
+            break
+        ideal = ends[here] + (total - ends[here]) / (left + 1)
+        k = bisect_left(ends, ideal)
+        k = k - 1 if k - 1 > here and ideal - ends[k - 1] <= ends[k] - ideal else k
+        low, high = max(least[left], here), bisect_right(ends, ends[here] + capacity) - 1
+        here = min(max(k, low), high)
+        cuts.append(here)
+    return cuts
+
+
 def smallest(cells: Cells, shards: int, whole: bool) -> int:
     total = int(cells.size.sum())
     low, high = max(-(-total // shards), int(cells.largest.max())), total
@@ -85,6 +114,16 @@ def refined(cells: Cells, at: set[int], groups: DataFrame) -> Cells:
     return Cells(*(np.array(x, np.int64) for x in zip(*rows, strict=True)))
 
 
+def evened(cells: Cells, groups: DataFrame, shards: int, capacity: int) -> list[int]:
+    """The positions of even cuts, with the cells at them read in finer ranges."""
+    while True:
+        cuts = [k for k in even(cells, shards, capacity) if k < len(cells.size)]
+        large = {i for k in cuts for i in (k - 1, k) if i >= 0 and cells.groups[i] > 1 and cells.size[i] * shards * FINE > cells.size.sum()}
+        if not large:
+            return [int(cells.low[k]) for k in cuts]
+        cells = refined(cells, large, groups)
+
+
 def cut_positions(groups: DataFrame, shards: int) -> list[int]:
     """Positions before which the shards after the first begin. groups: pos (0 to 2**40 - 1), size."""
     width = 1 << (40 - CELL_BITS)
@@ -95,9 +134,8 @@ def cut_positions(groups: DataFrame, shards: int) -> list[int]:
     cells = Cells(*(np.array(x, np.int64) for x in zip(*rows, strict=True)))
     for _ in range(60):
         least, most = smallest(cells, shards, False), smallest(cells, shards, True)
-        firm = greedy(cells, most, True)
         if least == most:
-            return [int(cells.low[k]) for k, _ in firm]
+            return evened(cells, groups, shards, least)
         open_cells: set[int] = set()
         for capacity in {least, most, (least + most) // 2}:
             for whole in (False, True):
@@ -109,7 +147,7 @@ def cut_positions(groups: DataFrame, shards: int) -> list[int]:
         if not open_cells:
             open_cells = {int(i) for i in np.argsort(-cells.groups)[:1024] if cells.groups[i] > 1}
         if not open_cells:
-            return [int(cells.low[k]) for k, _ in firm]
+            return evened(cells, groups, shards, most)
         cells = refined(cells, open_cells, groups)
     raise RuntimeError("the search for the capacity did not settle")
 
@@ -118,8 +156,9 @@ def shard_rows(docs: DataFrame, shards: int = 40, id_column: str = "doc_id", tex
     """doc_id, size, text_crc32, law ('bytes'), shard, slot and grown_shard (null) of each row of docs.
 
     size is the UTF-8 length of the text plus `overhead`; a null text counts as empty and shares a group with empty
-    texts. Equal texts stay together. Slots follow the group order, then the id (nulls first), and are gapless from 0
-    in each shard; equal rows get different slots. Extra columns are ignored; an empty table gives an empty one.
+    texts. Equal texts stay together (and so do the rare ones whose hashes share 40 bits). Slots are gapless from 0 in
+    each shard and follow the group order within slices of it, then the id (nulls first); groups of many rows come
+    behind the others of their slice, dealt by a hash of the id. Equal rows get different slots. Extra columns are ignored; an empty table gives an empty one.
     """
     body = F.coalesce(F.col(text), F.lit(""))
     rows = saved(
@@ -150,14 +189,21 @@ def shard_rows(docs: DataFrame, shards: int = 40, id_column: str = "doc_id", tex
     # slots: numbered within slices of bounded size, which are put one after another
     placed = rows.withColumn("pos", position).withColumn("shard", shard.cast("int"))
     n_rows = groups.agg(F.sum("n")).first()[0] or 0
-    fine = max(1, min(1 << 16, n_rows // SLICE_ROWS * 4 + 256))
-    salt = F.coalesce(F.pmod(F.xxhash64("doc_id"), F.lit(64)), F.lit(-1))
-    slice_of = placed.withColumn("slice", F.floor(F.col("pos") / (2**40 // fine)).cast("long")).withColumn("salt", F.when(F.col("pos").isin(big), salt).otherwise(F.lit(0)) if big else F.lit(0))
-    before = Window.partitionBy("shard").orderBy("slice", "salt").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = slice_of.groupBy("shard", "slice", "salt").agg(F.count("*").alias("n")).withColumn("first", F.coalesce(F.sum("n").over(before), F.lit(0))).drop("n")
-    inside = Window.partitionBy("shard", "slice", "salt").orderBy("pos", "group", "doc_id")
+    fine = max(1, min(1 << 20, n_rows // SLICE_ROWS * 4 + 256))
+    hot = saved(groups.groupBy("pos").agg(F.sum("n").alias("n")).where(F.col("n") > HOT_ROWS).select("pos", F.ceil(F.col("n") / HOT_ROWS).alias("salts")), "hot")
+    # rows without an id are told apart by where the written table holds them
+    salt = F.pmod(F.xxhash64(F.coalesce("doc_id", F.monotonically_increasing_id())), F.col("salts"))
+    slice_of = placed.withColumn("slice", F.floor(F.col("pos") / (2**40 // fine)).cast("long")).join(_checked(hot), "pos", "left").withColumn("salt", F.coalesce(salt, F.lit(-1)))
+    # a large group is a slice of its own between those of the rest
+    slice_of = saved(slice_of.withColumn("first", F.when(F.col("salts").isNotNull(), F.col("pos")).otherwise(F.lit(-1))).drop("salts"), "slices")
+    before = Window.partitionBy("shard").orderBy("slice", "first", "salt").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = saved(slice_of.groupBy("shard", "slice", "first", "salt").agg(F.count("*").alias("n")).withColumn("before", F.coalesce(F.sum("n").over(before), F.lit(0))).drop("n"), "offsets")
+    inside = Window.partitionBy("shard", "slice", "first", "salt").orderBy("pos", "group", "doc_id")
     numbered = slice_of.withColumn("k", F.row_number().over(inside) - 1)
-    # at most 65,536 slices, cut by 39 borders, and 65 salts for each of at most 39 large groups
-    return numbered.join(F.broadcast(offsets), ["shard", "slice", "salt"]).select(
-        "doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", (F.col("first") + F.col("k")).cast("long").alias("slot"), F.lit(None).cast("int").alias("grown_shard")
+    return numbered.join(_checked(offsets), ["shard", "slice", "first", "salt"]).select(
+        "doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", (F.col("before") + F.col("k")).cast("long").alias("slot"), F.lit(None).cast("int").alias("grown_shard")
     )
+
+
+def _checked(df: DataFrame) -> DataFrame:
+    return F.broadcast(df) if df.count() <= BROADCAST_ROWS else df
