@@ -5,8 +5,10 @@ k + w - 1 equal to the span that must be found, two texts that share such a span
 hashes of all documents are joined with those of the benchmark; each match is extended to the spans around it, which
 are compared word for word. Items shorter than the span are matched whole, from their first word.
 
-DataFrame functions only. The document's words go through the join as a reference next to each kept hash and are
-written only for matches, so texts are neither shuffled nor read twice for it.
+DataFrame functions only. While the benchmark's hashes are few enough to be broadcast, the document's words go through the
+join as a reference next to each kept hash and are written only for matches, so texts are neither shuffled nor read twice
+for it. Beyond that the kept hashes go through a shuffle alone, and the places that match are brought back to the texts of
+the documents that have any.
 """
 
 from __future__ import annotations
@@ -21,6 +23,8 @@ UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 BETWEEN = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 #: A kept hash holds its place in the low bits: texts of up to 2**28 words.
 PLACE_BITS = 28
+#: Words of a short item that a document must have in a row before the whole item is compared.
+LEAD = 3
 #: Benchmark rows (fingerprints, spans) that are broadcast; more are joined by a shuffle.
 BROADCAST_ROWS = 500_000
 
@@ -60,8 +64,14 @@ def hits(docs: DataFrame, benchmark: DataFrame, span: int, k: int) -> DataFrame:
     prints = saved(long_items.select(F.explode(kept_hashes(F.col("words"), k, w)).alias("h")).select(F.shiftrightunsigned("h", PLACE_BITS).alias("print")).distinct(), "prints")
     source = docs.where("doc_id is not null").select("doc_id", words().alias("words"))
     # a match at place p lies in spans that begin between p - w + 1 and p
-    kept = source.select("doc_id", "words", F.explode(kept_hashes(F.col("words"), k, w)).alias("h"))
-    matched = kept.withColumn("print", F.shiftrightunsigned("h", PLACE_BITS)).join(_checked(prints), "print")
+    if prints.count() <= BROADCAST_ROWS:
+        kept = source.select("doc_id", "words", F.explode(kept_hashes(F.col("words"), k, w)).alias("h"))
+        matched = kept.withColumn("print", F.shiftrightunsigned("h", PLACE_BITS)).join(F.broadcast(prints), "print")
+    else:
+        kept = source.select("doc_id", F.explode(kept_hashes(F.col("words"), k, w)).alias("h"))
+        own = kept.withColumn("print", F.shiftrightunsigned("h", PLACE_BITS)).join(prints, "print").groupBy("doc_id").agg(F.collect_set("h").alias("hs"))
+        own = saved(own, "matches")
+        matched = source.join(_checked(own, BROADCAST_ROWS // 100), "doc_id").select("doc_id", "words", F.explode("hs").alias("h"))
     place = F.col("h").bitwiseAND((1 << PLACE_BITS) - 1).cast("int")
     from_ = F.greatest(place - (w - 1), F.lit(0))
     around = saved(matched.select("doc_id", from_.alias("from"), F.slice("words", from_ + 1, F.least(place, F.size("words") - span) - from_ + span).alias("near")), "around")
@@ -69,9 +79,18 @@ def hits(docs: DataFrame, benchmark: DataFrame, span: int, k: int) -> DataFrame:
     found = spans.select("doc_id", (F.col("from") + F.col("at")).alias("first"), "window").distinct()
     windows = saved(windows, "windows")
     out = found.join(_checked(windows), "window").select("doc_id", "first", F.lit(span).alias("length"), "item_id")
-    short = saved(short_items.select("item_id", F.size("words").alias("length"), F.element_at("words", 1).alias("word"), F.array_join("words", " ").alias("window")), "short")
-    if not short.isEmpty():
-        whole = source.select("doc_id", "words", F.posexplode("words").alias("first", "word")).join(_checked(short), "word")
+    first_words = F.least(F.size("words"), F.lit(LEAD))
+    short = saved(short_items.select("item_id", F.size("words").alias("length"), first_words.alias("lead"), F.array_join(F.slice("words", F.lit(1), first_words), " ").alias("begin"), F.array_join("words", " ").alias("window")), "short")
+    for n in sorted(r.lead for r in short.select("lead").distinct().collect()):  # at most LEAD of them
+        own = short.where(F.col("lead") == n)
+        if own.count() <= BROADCAST_ROWS:
+            begins = F.transform(F.sequence(F.lit(0), F.size("words") - n), lambda i: F.array_join(F.slice("words", i + 1, n), " "))
+            whole = source.where(F.size("words") >= n).select("doc_id", "words", F.posexplode(begins).alias("first", "begin")).join(F.broadcast(own), "begin")
+        else:
+            begins = F.transform(F.sequence(F.lit(0), F.size("words") - n), lambda i: F.array_join(F.slice("words", i + 1, n), " "))
+            marks = source.where(F.size("words") >= n).select("doc_id", F.posexplode(begins).alias("first", "begin"))
+            found = saved(marks.join(own, "begin").select("doc_id", "first", "length", "item_id", "window"), "begins")
+            whole = source.join(found, "doc_id")
         whole = whole.where(F.array_join(F.slice("words", F.col("first") + 1, F.col("length")), " ") == F.col("window"))
         out = out.union(whole.select("doc_id", "first", "length", "item_id"))
     return out
