@@ -139,7 +139,8 @@ SAMPLE = "doc_id long, label int, sparse_index binary, sparse_value binary, dens
 
 
 def sample_rows(docs: DataFrame, labels: DataFrame, most: int) -> tuple[Rows, np.ndarray]:
-    """Features and labels of at most `most` labelled rows, in the order of a hash of their ids."""
+    """Features and labels of at most `most` labelled ids, in the order of a hash; of an id with several texts the least
+    one counts."""
     usable = labels.where(~held_out() & F.col("doc_id").isNotNull() & F.col("label").isin(0, 1)).groupBy("doc_id").agg(F.min("label").cast("int").alias("label"))
     chosen = hash_sample(usable, "doc_id", most)
 
@@ -149,8 +150,8 @@ def sample_rows(docs: DataFrame, labels: DataFrame, most: int) -> tuple[Rows, np
             arrays = [pa.array([x.astype(t).tobytes() for x in xs], pa.binary()) for xs, t in (([p.index for p in parts], "<i4"), ([p.value for p in parts], "<f4"), ([p.dense for p in parts], "<f8"))]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), *arrays], names=["doc_id", "label", "sparse_index", "sparse_value", "dense"])
 
-    # the sample has at most `most` ids
-    found = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").mapInArrow(rows, SAMPLE).collect()
+    # the sample has at most `most` ids, and one row of each
+    found = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").groupBy("doc_id").agg(F.min("text").alias("text"), F.min("label").alias("label")).select("doc_id", "text", "label").mapInArrow(rows, SAMPLE).collect()
     found.sort(key=lambda r: (r.doc_id, r.sparse_index))
     index = [np.frombuffer(r.sparse_index, "<i4").astype(np.int64) for r in found]
     sizes = np.array([len(x) for x in index], np.int64)
@@ -163,7 +164,8 @@ def sample_rows(docs: DataFrame, labels: DataFrame, most: int) -> tuple[Rows, np
 def scored(docs: DataFrame, labels: DataFrame, most: int = 6000, threshold: float = 0.3) -> DataFrame:
     """docs with held_out, score and predicted. labels: doc_id, label (0 or 1; other values and nulls are not used).
 
-    Null and empty texts are scored like texts without words. Without usable labels scores are near one half. Rows
+    Null and empty texts are scored like texts without words. A score of exactly `threshold` is predicted 1. Of an id that
+    is labelled more than once the smaller label counts. Without usable labels scores are near one half. Rows
     repeat as given; an empty table gives an empty one; columns of docs with the added names are replaced. `most`
     bounds the labelled rows that the machine is fitted to.
     """
