@@ -130,13 +130,13 @@ def fit(labelled: DataFrame, trees: int = 12, depth: int = 4) -> GBTClassificati
 def judge(pages: DataFrame, rules: list[Rule], most_rows: int = 4000, threshold: float = 0.5) -> DataFrame:
     """pages with host, path, rule, verdict (allow or block) and block_score (the trees' probability of block).
 
-    A rule's verdict goes before the trees'. Null urls and those without :// have empty parts and are judged by the
-    trees. Without labelled rows everything the rules leave open is allowed. Rows repeat as given; columns of pages
+    A rule's verdict goes before the trees'; of rules of equal length that fit, the last by text decides. Null urls and those without :// have empty parts and are judged by the
+    trees, which allow a url at exactly `threshold`. Without labelled rows everything the rules leave open is allowed. Rows repeat as given; columns of pages
     with the added names are replaced. The trees are fitted to at most most_rows labelled rows; suffix statistics
     cover all rows and all suffixes.
     """
-    names = ["host", "path", "rule", "verdict", "block_score", "rule_verdict", "label", *FEATURES]
-    held = pages.drop(*names)
+    # the given columns travel as one, so that none of them clashes with a name used here
+    held = pages.drop("host", "path", "rule", "verdict", "block_score").select(F.struct("*").alias("given"), "url")
     parts = with_rule(with_parts(held), rules)
     counts = parts.groupBy(F.regexp_extract("host", r"([^.]*)$", 1).alias("suffix")).agg(F.log1p(F.count("*").cast("double")).alias("seen"))
     total = F.log1p(F.lit(float(parts.count())))
@@ -152,4 +152,4 @@ def judge(pages: DataFrame, rules: list[Rule], most_rows: int = 4000, threshold:
         judged = model.setFeaturesCol("lexical_features").setProbabilityCol("lexical_probability").setRawPredictionCol("").setPredictionCol("").transform(vectors)
         out = judged.withColumn("block_score", vector_to_array("lexical_probability")[1]).drop("lexical_features", "lexical_probability")
     verdict = F.coalesce("rule_verdict", F.when(F.col("block_score") > threshold, "block").otherwise("allow"))
-    return out.withColumn("verdict", verdict).drop("rule_verdict", *FEATURES)
+    return out.withColumn("verdict", verdict).select("given.*", "host", "path", "rule", "verdict", "block_score")
