@@ -282,10 +282,96 @@ def test_quality_rules(spark, docs):
 
 def test_robust_outliers_go_and_clean_rows_stay(spark):
     rng = random.Random(3)
+    clean = lambda: [w[:-2] for w in words(rng, 80)]
     rows = [(i, " ".join(w[:-2] for w in words(rng, 80)) + ".", "en", f"s{i % 2}", 1) for i in range(900)]
     rows += [(1000 + i, " ".join(w + "%%%" for w in words(rng, 80)), "en", "s0", 1) for i in range(60)]
-    kept = {r["doc_id"]: r["kept"] for r in rows_of(quality_rules.judged(spark.createDataFrame(rows, DOCS)))}
-    assert sum(kept[i] for i in range(900)) >= 895 and not any(kept[1000 + i] for i in range(60))
+    lines = [" ".join(clean()[:9]) for _ in range(3)]
+    odd = {
+        "digits": " ".join(w + "12345" for w in clean()),
+        "capitals": " ".join(clean()).upper(),
+        "lines": "\n".join([*(x for x in lines for _ in range(2)), lines[0], lines[1], " ".join(f"z{k}q" for k in range(90))]),
+    }
+    rows += [(2000 + i, text, "en", f"s{i % 2}", 1) for i, text in enumerate(odd.values())]
+    got = {r["doc_id"]: r for r in rows_of(quality_rules.judged(spark.createDataFrame(rows, DOCS)))}
+    assert sum(got[i]["kept"] for i in range(900)) >= 895 and not any(got[1000 + i]["kept"] for i in range(60))
+    for i, name in enumerate(odd):
+        assert not got[2000 + i]["kept"] and not got[2000 + i]["base_failed"], name
+
+
+def numpy_judged(vectors, groups, langs, prior):
+    """Squared distances by the same rules, group after group in memory."""
+    rank = lambda x, q: np.sort(x, axis=0)[max(0, -(-int(round(q * len(x) * 1e9)) // 10**9) - 1)]
+    floor, weight = quality_rules.FLOOR, prior * quality_rules.P
+    keys = {("2", g): np.flatnonzero(groups == g) for g in set(groups)} | {("1", x): np.flatnonzero(langs == x) for x in set(langs)} | {("0",): np.arange(len(vectors))}
+    up = {k: [("0",)] if k[0] == "1" else [("0",), ("1", langs[at[0]])] if k[0] == "2" else [] for k, at in keys.items()}
+
+    def made(chosen):
+        out = {}
+        for k in sorted(chosen):
+            mean = cov = None
+            for x in [*up[k], k]:
+                v = vectors[chosen[x]]
+                m, c = v.mean(axis=0), np.cov(v.T, bias=True) + np.diag(floor**2)
+                n = len(v)
+                mean, cov = (m, c) if mean is None else ((n * m + weight * mean) / (n + weight), (n * c + weight * cov) / (n + weight))
+            out[k] = mean, cov
+        return out
+
+    def far(est, k, at):
+        mean, cov = est[k]
+        x = vectors[at] - mean
+        return np.einsum("ij,jk,ik->i", x, np.linalg.inv(cov), x)
+
+    best = {}
+    for start in (0, 1):
+        chosen = {}
+        for k, at in keys.items():
+            off = abs(vectors[at] - rank(vectors[at], 0.5))
+            z = off / np.sqrt((1.4826 * rank(off, 0.5)) ** 2 + floor**2)
+            d = (z**2).sum(axis=1) if start == 0 else z.max(axis=1)
+            chosen[k] = at[d <= rank(d, 0.5)]
+        est = made(chosen)
+        for _ in range(quality_rules.STEPS):
+            est = made({k: at[far(est, k, at) <= rank(far(est, k, at), quality_rules.CORE)] for k, at in keys.items()})
+        for k in keys:
+            det = np.linalg.slogdet(est[k][1])[1]
+            if k not in best or det < best[k][0]:
+                best[k] = (det, *est[k])
+    est = {k: v[1:] for k, v in best.items()}
+
+    def medians(est):
+        own, out = {k: (len(at), np.log(max(rank(far(est, k, at), 0.5), 1e-9))) for k, at in keys.items()}, {}
+        for k in keys:
+            log = None
+            for x in [*up[k], k]:
+                log = own[x][1] if log is None else (own[x][0] * own[x][1] + weight * log) / (own[x][0] + weight)
+            out[k] = np.exp(log)
+        return out
+
+    m = medians(est)
+    est = made({k: at[far(est, k, at) * quality_rules.CHI2_MEDIAN / m[k] <= quality_rules.CHI2_975] for k, at in keys.items()})
+    m, out = medians(est), np.zeros(len(vectors))
+    for k, at in keys.items():
+        if k[0] == "2":
+            out[at] = far(est, k, at) * quality_rules.CHI2_MEDIAN / m[k]
+    return out
+
+
+def test_robust_distances_against_numpy(spark, monkeypatch):
+    monkeypatch.setattr(quality_rules, "STARTS", 2)
+    rng = random.Random(31)
+    rows = []
+    for i, (lang, source, n) in enumerate([("en", "a", 90), ("en", "b", 33), ("en", "few", 2), ("de", "a", 40), ("de", None, 7), (None, "x", 1)]):
+        for k in range(n):
+            own = [w.rstrip("0123456789") + rng.choice(["", "", "", ",", ".", "s", "7"]) for w in words(rng, rng.randint(55, 90) + 10 * i)]
+            rows.append((1000 * i + k, " ".join(own) + (" %" * 30 if k % 19 == 5 else ""), lang, source, 1))
+    got = {r["doc_id"]: r for r in rows_of(quality_rules.judged(spark.createDataFrame(rows, DOCS)))}
+    good = [r for r in rows if not got[r[0]]["base_failed"]]
+    vectors = np.array([quality_rules.statistics(r[1])[5:] for r in good])
+    want = numpy_judged(vectors, np.array([f"{r[2] or ''}/{r[3] or ''}" for r in good]), np.array([r[2] or "" for r in good]), quality_rules.PRIOR)
+    assert [got[r[0]]["distance"] for r in good] == pytest.approx(want.tolist(), rel=1e-5)
+    cut = quality_rules.TIMES**2 * quality_rules.CHI2_MEDIAN
+    assert [got[r[0]]["kept"] for r in good] == (want <= cut).tolist() and 0 < (want > cut).sum() < 20
 
 
 def test_line_dedup(spark):
@@ -413,7 +499,7 @@ def test_linear_time_score_is_the_pairwise_sum():
 def test_url_filter(spark, capsys):
     urls = ["http://a.org/x", "https://sub.Example.org/es/1", "http://example.org/en/12?x#y", "http://notexample.org/es/1", "http://x.com/fr/1", "http://x.com/de/", "http://x.net/de/", None, "nothing", "http://org/", "http://org", "ftp://u:p@h.com:80/fr/?a://b", "x#y://z.org/q"]
     urls += [f"http://h{i}.{'com/de' if i % 2 else 'org/en'}/{i}" for i in range(60)]
-    got = {r["page_id"]: r for r in rows_of(url_filter.judge(spark.createDataFrame(list(enumerate(urls)), "page_id long, url string").withColumnRenamed("x", "x"), URL_RULES))}
+    got = {r["page_id"]: r for r in rows_of(url_filter.judge(spark.createDataFrame(list(enumerate(urls)), "page_id long, url string").selectExpr("page_id", "url", "1 AS verdict", "2 AS seen", "3 AS depth"), URL_RULES))}
     for i, url in enumerate(urls):
         host = path = ""
         if url and "://" in url:
@@ -559,6 +645,63 @@ def test_cuts_are_the_smallest_possible(spark, monkeypatch):
         assert max(loads.values()) == best_capacity([s for _, s in rows], 4) and len(cuts) <= 3
 
 
+def test_even_cuts_leave_no_shard_short(spark, monkeypatch):
+    monkeypatch.setattr(sharding, "CELL_BITS", 5)
+    rng = random.Random(16)
+    for sizes, shards in (([rng.randint(1, 60) for _ in range(900)], 12), ([100] * 7, 5), ([5, 1, 1], 3)):
+        rows = sorted((p, s) for p, s in zip(rng.sample(range(1 << 40), len(sizes)), sizes, strict=True))
+        cuts = sharding.cut_positions(spark.createDataFrame(rows, "pos long, size long"), shards)
+        loads = [sum(s for p, s in rows if sum(p >= c for c in cuts) == k) for k in range(shards)]
+        assert max(loads) == best_capacity([s for _, s in rows], shards)
+        if len(sizes) > 100:
+            assert min(loads) >= 0.95 * sum(sizes) / shards
+
+
+def test_shards_of_large_groups(spark, monkeypatch):
+    """Rows of small texts that are many: their group is dealt over several tasks."""
+    monkeypatch.setattr(sharding, "HOT_ROWS", 20)
+    rows = [(i if i % 9 else None, "" if i % 3 else f"text {i} " * 30, "en", "s", 1) for i in range(600)]
+    got = rows_of(sharding.shard_rows(spark.createDataFrame(rows, DOCS), shards=8))
+    shards = defaultdict(list)
+    for r in got:
+        shards[r["shard"]].append(r["slot"])
+    assert len(got) == 600 and all(sorted(x) == list(range(len(x))) for x in shards.values())
+    assert len({r["shard"] for r in got if r["size"] == 16}) == 1
+
+
+def test_classifier_takes_one_row_of_an_id(spark):
+    rows = [(i % 7, f"text number {i} of this id", "en", "s", 1) for i in range(400)]
+    labels = spark.createDataFrame([(i, i % 2) for i in range(7)] * 3, "doc_id long, label int")
+    sample, own = quality_fm.sample_rows(spark.createDataFrame(rows, DOCS), labels, 100)
+    assert len(own) == len(sample.dense) == sum(zlib.crc32(str(i).encode()) % 5 != 0 for i in range(7))
+
+
+def test_url_trees_learn_from_the_rules(spark):
+    """Hosts beyond the rules are judged by how their urls look."""
+    rng = random.Random(12)
+    site = lambda: "".join(rng.choice("abcdefgh") for _ in range(8))
+    good = lambda end: f"http://{site()}.{end}/fr/{site()}"
+    bad = lambda end: f"http://{site()}-{site()}.{end}/de/{rng.randint(10**8, 10**9)}?a={rng.randint(1, 99)}&b=2"
+    urls = [f("com") for f in (good, bad) for _ in range(150)] + [f("net") for f in (good, bad) for _ in range(60)]
+    pages = spark.createDataFrame(list(enumerate(urls)), "page_id long, url string")
+    got = {r["page_id"]: r for r in rows_of(url_filter.judge(pages, URL_RULES))}
+    open_ones = [got[i] for i in range(300, 420)]
+    assert all(r["rule"] is None for r in open_ones)
+    assert sum((r["verdict"] == "block") == (r["page_id"] >= 360) for r in open_ones) >= 110
+
+
+def test_decontamination_beyond_the_broadcast_bound(spark, docs, monkeypatch):
+    texts = [r.text for r in docs.collect() if r.text and len(r.text) > 200]
+    items = [(i, " ".join(t.split()[5:40])) for i, t in enumerate(texts[:6])] + [(20, "x"), (21, " ".join(texts[7].split()[:2])), (24, " ".join(texts[8].split()[3:8]))]
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    both = []
+    for most in (500_000, 0):
+        monkeypatch.setattr(decontaminate, "BROADCAST_ROWS", most)
+        monkeypatch.setattr(decontaminate._checked, "__defaults__", (most,))
+        both.append(sorted(map(str, rows_of(decontaminate.contamination(docs, bench)))))
+    assert both[0] == both[1] and "'contaminated': True" in "".join(both[0])
+
+
 def test_empty_tables(spark):
     none = spark.createDataFrame([], DOCS)
     bench = spark.createDataFrame([], "item_id long, text string")
