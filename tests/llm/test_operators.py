@@ -302,19 +302,22 @@ def numpy_judged(vectors, groups, langs, prior):
     """Squared distances by the same rules, group after group in memory."""
     rank = lambda x, q: np.sort(x, axis=0)[max(0, -(-int(round(q * len(x) * 1e9)) // 10**9) - 1)]
     floor, weight = quality_rules.FLOOR, prior * quality_rules.P
-    keys = {("2", g): np.flatnonzero(groups == g) for g in set(groups)} | {("1", x): np.flatnonzero(langs == x) for x in set(langs)} | {("0",): np.arange(len(vectors))}
-    up = {k: [("0",)] if k[0] == "1" else [("0",), ("1", langs[at[0]])] if k[0] == "2" else [] for k, at in keys.items()}
+    keys = {g: np.flatnonzero(groups == g) for g in sorted(set(groups))}
+    lang = {g: langs[at[0]] for g, at in keys.items()}
+
+    def pooled(parts):
+        """Of each group: what all, its language and itself hold."""
+        return {g: [np.concatenate(list(parts.values())), np.concatenate([x for h, x in parts.items() if lang[h] == lang[g]]), own] for g, own in parts.items()}
 
     def made(chosen):
         out = {}
-        for k in sorted(chosen):
+        for g, levels in pooled(chosen).items():
             mean = cov = None
-            for x in [*up[k], k]:
-                v = vectors[chosen[x]]
+            for at in levels:
+                v, n = vectors[at], len(at)
                 m, c = v.mean(axis=0), np.cov(v.T, bias=True) + np.diag(floor**2)
-                n = len(v)
                 mean, cov = (m, c) if mean is None else ((n * m + weight * mean) / (n + weight), (n * c + weight * cov) / (n + weight))
-            out[k] = mean, cov
+            out[g] = mean, cov
         return out
 
     def far(est, k, at):
@@ -340,11 +343,11 @@ def numpy_judged(vectors, groups, langs, prior):
     est = {k: v[1:] for k, v in best.items()}
 
     def medians(est):
-        own, out = {k: (len(at), np.log(max(rank(far(est, k, at), 0.5), 1e-9))) for k, at in keys.items()}, {}
-        for k in keys:
+        logs, out = {k: np.full(len(at), np.log(max(rank(far(est, k, at), 0.5), 1e-9))) for k, at in keys.items()}, {}
+        for k, levels in pooled(logs).items():
             log = None
-            for x in [*up[k], k]:
-                log = own[x][1] if log is None else (own[x][0] * own[x][1] + weight * log) / (own[x][0] + weight)
+            for x in levels:
+                log = x.mean() if log is None else (x.sum() + weight * log) / (len(x) + weight)
             out[k] = np.exp(log)
         return out
 
@@ -352,8 +355,7 @@ def numpy_judged(vectors, groups, langs, prior):
     est = made({k: at[far(est, k, at) * quality_rules.CHI2_MEDIAN / m[k] <= quality_rules.CHI2_975] for k, at in keys.items()})
     m, out = medians(est), np.zeros(len(vectors))
     for k, at in keys.items():
-        if k[0] == "2":
-            out[at] = far(est, k, at) * quality_rules.CHI2_MEDIAN / m[k]
+        out[at] = far(est, k, at) * quality_rules.CHI2_MEDIAN / m[k]
     return out
 
 
