@@ -12,11 +12,23 @@ from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import StructType
 
+from fieldtrust.functions.text import western_digits
+
 # fixed values: seconds between delivery attempts, and how long they go on
 RETRY_SECONDS, RETRY_HOURS = [30, 120, 600, 1800, 3600, 7200, 14400], 24
 GENESIS = "0" * 64
-#: Session status moves that may happen.
-MOVES = [("awaiting", "submitted"), ("submitted", "processing"), ("processing", "completed"), ("processing", "in_review"), ("in_review", "completed"), ("in_review", "awaiting")]
+#: Session status moves that may happen (fixed values).
+MOVES = [
+    ("created", "submitted"),
+    ("submitted", "processing"),
+    ("submitted", "failed"),
+    ("processing", "needs_review"),
+    ("processing", "completed"),
+    ("processing", "failed"),
+    ("needs_review", "completed"),
+    ("needs_review", "retake_requested"),
+    ("retake_requested", "submitted"),
+]
 
 
 def tenant_view(df: DataFrame, tenant: str | None) -> DataFrame:
@@ -30,7 +42,7 @@ def current_documents(documents: DataFrame) -> DataFrame:
 
 def missing_uploads(slots: DataFrame, objects: DataFrame) -> DataFrame:
     """Awaited slots (session_id, slot) for which no object lies in the store."""
-    return slots.where("status = 'awaiting'").join(objects.select("session_id", "slot"), ["session_id", "slot"], "left_anti")
+    return slots.where("status = 'awaiting_upload'").join(objects.select("session_id", "slot"), ["session_id", "slot"], "left_anti")
 
 
 def upserted(old: DataFrame, new: DataFrame, keys: list[str]) -> DataFrame:
@@ -41,6 +53,12 @@ def upserted(old: DataFrame, new: DataFrame, keys: list[str]) -> DataFrame:
     return both.select(*keys, F.when(fresh, F.col("value")).otherwise(F.col("_v")).alias("value"), F.when(fresh, F.col("source")).otherwise(F.col("_s")).alias("source"), (F.coalesce("_n", F.lit(0)) + fresh.cast("int")).alias("version"))
 
 
+def appended_history(old: DataFrame, new: DataFrame, keys: list[str]) -> DataFrame:
+    """The rows that upserted() adds to the history: keys, value, source, version of each new value."""
+    before = old.select(*keys, F.col("version").alias("_n"))
+    return new.select(*keys, "value", "source").join(before, keys, "left").select(*keys, "value", "source", (F.coalesce("_n", F.lit(0)) + 1).alias("version"))
+
+
 def latest_version(history: DataFrame, keys: list[str]) -> DataFrame:
     return history.groupBy(*keys).agg(F.max(F.struct("version", "value", "source")).alias("_l")).select(*keys, "_l.value", "_l.source", "_l.version")
 
@@ -78,12 +96,23 @@ def illegal_moves(statuses: DataFrame) -> DataFrame:
 
 def identifier_hash(kind: Column, value: Column, key: str) -> Column:
     """Keyed hash of a canonical identifier: HMAC-SHA256 of 'kind:value' as lower-case hex."""
-    block = key.encode() if len(key.encode()) <= 64 else __import__("hashlib").sha256(key.encode()).digest()
+    block = key.encode() if len(key.encode()) <= 64 else hashlib.sha256(key.encode()).digest()
     pad = lambda x: F.lit(bytes(b ^ x for b in block.ljust(64, b"\0")))
     message = F.encode(F.concat_ws(":", kind, value), "UTF-8")
     return F.sha2(F.concat(pad(0x5C), F.unhex(F.sha2(F.concat(pad(0x36), message), 256))), 256)
 
 
+def lookup_hash(grp: Column, field: Column, value: Column, key: str) -> Column:
+    """The hash under which an identifier is found again: of fields of digits only, with spaces and scripts made alike."""
+    same = F.regexp_replace(western_digits(value), r"(?U)\s", "")
+    return F.when((grp == "digits") & value.isNotNull(), identifier_hash(field, same, key))
+
+
+def find_identifier(identifiers: DataFrame, asked: DataFrame) -> DataFrame:
+    """tenant_id, field, hash, session_id of the sessions that carry an identifier asked for (tenant_id, field, hash)."""
+    return identifiers.join(asked.select("tenant_id", "field", "hash").distinct(), ["tenant_id", "field", "hash"], "left_semi").select("tenant_id", "field", "hash", "session_id")
+
+
 def duplicate_identifiers(identifiers: DataFrame) -> DataFrame:
     """tenant_id, field, hash, sessions: identifiers that more than one session of a tenant carries."""
     return identifiers.groupBy("tenant_id", "field", "hash").agg(F.count_distinct("session_id").alias("sessions")).where("sessions > 1")
@@ -104,6 +133,21 @@ def expiry_reminders(days: DataFrame, lead: int = 30) -> DataFrame:
     return days.where("due IS NOT NULL").select("session_id", "slot", "due", F.date_sub("due", lead).alias("notify_at"), F.lit("scheduled").alias("status"))
 
 
+def rescheduled(reminders: DataFrame, days: DataFrame, lead: int = 30) -> DataFrame:
+    """reminders (session_id, slot, due, notify_at, status) after the sessions in days (session_id, slot, due) were read
+    again: their scheduled ones are replaced by one for each readable expiry day, others stay."""
+    again = days.select("session_id").distinct().withColumn("_again", F.lit(True))
+    kept = reminders.join(again, "session_id", "left").where(~(F.coalesce("_again", F.lit(False)) & (F.col("status") == "scheduled"))).select("session_id", "slot", "due", "notify_at", "status")
+    return kept.unionByName(expiry_reminders(days, lead))
+
+
+def cancelled(reminders: DataFrame, asked: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(reminders with those asked for (session_id, slot) cancelled, those asked for that are not scheduled)."""
+    marked = reminders.join(asked.select("session_id", "slot").distinct().withColumn("_asked", F.lit(True)), ["session_id", "slot"], "left")
+    hit, open_one = F.coalesce("_asked", F.lit(False)), F.col("status") == "scheduled"
+    return marked.withColumn("status", F.when(hit & open_one, "cancelled").otherwise(F.col("status"))).select(*reminders.columns), marked.where(hit & ~open_one).select("session_id", "slot", "status")
+
+
 def due_reminders(reminders: DataFrame, today: Column) -> tuple[DataFrame, DataFrame]:
     """(reminders with the due ones marked sent, an event row for each of these)."""
     due = (F.col("status") == "scheduled") & (F.col("notify_at") <= today)
@@ -116,10 +160,13 @@ def list_reminders(reminders: DataFrame, status: str | None = None, due_before:
     return rows.orderBy("notify_at", "session_id", "slot").limit(max(1, min(limit, 500)))
 
 
-def retention_sweep(documents: DataFrame, sessions: DataFrame, now: Column, days: int = 30) -> DataFrame:
-    """Stored originals, superseded ones included, of sessions completed before the cutoff."""
-    old = sessions.where((F.col("status") == "completed") & (F.col("updated_at") < now - F.make_dt_interval(F.lit(days)))).select("session_id")
-    return documents.where("stored").join(old, "session_id").select("session_id", "slot")
+def retention_sweep(documents: DataFrame, sessions: DataFrame, now: Column, days: int = 30) -> tuple[DataFrame, DataFrame]:
+    """(stored originals to delete, superseded ones included, of kyc sessions completed before the cutoff; documents with
+    those marked deleted and no longer stored)."""
+    old = sessions.where((F.col("kind") == "kyc") & (F.col("status") == "completed") & (F.col("updated_at") < now - F.make_dt_interval(F.lit(days)))).select("session_id").distinct()
+    marked = documents.join(old.withColumn("_old", F.lit(True)), "session_id", "left").withColumn("deleted", F.coalesce("_old", F.lit(False)) & F.col("stored"))
+    updated = marked.withColumn("stored", F.col("stored") & ~F.col("deleted")).select(*documents.columns, "deleted")
+    return marked.where("deleted").select("session_id", "slot"), updated
 
 
 def fan_out(events: DataFrame, webhooks: DataFrame) -> DataFrame:
@@ -214,10 +261,11 @@ def verify_audit(log: DataFrame) -> DataFrame:
 
 def call_metrics(calls: DataFrame, by: list[str]) -> DataFrame:
     """Calls, failures and latency percentiles overall and by each column, in one pass by grouping sets."""
-    grouped = calls.groupingSets([[], *[[F.col(c)] for c in by]], *map(F.col, by)).agg(
-        F.count("*").alias("calls"), F.count(F.when(~F.col("ok"), 1)).alias("failures"), F.percentile("latency", 0.5).alias("p50"), F.percentile("latency", 0.95).alias("p95")
+    # latencies are counted by value first: no group gathers more than the different values
+    counted = calls.groupBy(*by, "latency").agg(F.count("*").alias("n"), F.count(F.when(~F.col("ok"), 1)).alias("bad"))
+    return counted.groupingSets([[], *[[F.col(c)] for c in by]], *map(F.col, by)).agg(
+        F.sum("n").alias("calls"), F.sum("bad").alias("failures"), F.percentile("latency", 0.5, F.col("n")).alias("p50"), F.percentile("latency", 0.95, F.col("n")).alias("p95")
     )
-    return grouped
 
 
 def active_keys(lookups: DataFrame, keys: DataFrame) -> DataFrame:

@@ -186,7 +186,7 @@ def _(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @R.add(
     "dec_07_retake_requests",
-    over(STATES, "SELECT session_id, field, CASE WHEN x0 <= 0.005 THEN 'cut_off' WHEN obstruction = 'glare' THEN 'glare' ELSE 'unreadable' END AS code, CASE WHEN x0 <= 0.005 THEN 'The ' || label || ' is cut off; fit the whole document in the frame' WHEN obstruction = 'glare' THEN 'Glare over the ' || label || '; tilt the document and retake' ELSE 'The ' || label || ' is unreadable; retake' END AS text FROM fx WHERE required AND status = 'unreadable'"),
+    over(STATES, "SELECT session_id, field, CASE WHEN x0 <= 0.005 THEN 'cut_off' WHEN obstruction = 'glare' THEN 'glare' ELSE 'unreadable' END AS code, CASE WHEN x0 <= 0.005 THEN 'Part of ' || label || ' is outside the picture. Please take a new photo from farther away.' WHEN obstruction = 'glare' THEN 'Light reflects on ' || label || '. Please take a new photo at another angle.' ELSE 'We could not read ' || label || '. Please take a new photo.' END AS text FROM fx WHERE required AND status = 'unreadable'"),
 )
 def _(spark: SparkSession, sf_dir: str) -> DataFrame:
     boxes = fx(spark, sf_dir, STATES).withColumns({"y0": F.lit(0.3), "x1": F.lit(0.5), "y1": F.lit(0.6)})
@@ -202,21 +202,57 @@ def _(spark: SparkSession, sf_dir: str) -> DataFrame:
     return V.rendered_brief(fx(spark, sf_dir, BULLETS), values).withColumn("lines", F.array_join("lines", "|"))
 
 
-ACTIONS = "SELECT o_orderkey AS session_id, CASE o_orderkey % 4 WHEN 1 THEN 'approve' WHEN 2 THEN 'reject' ELSE 'request_retake' END AS action FROM {orders} WHERE o_orderkey % 4 > 0"
+REVIEWS = "SELECT o_orderkey AS session_id, o_orderstatus = 'O' AS open, CASE o_orderkey % 4 WHEN 1 THEN 'approve' WHEN 2 THEN 'reject' WHEN 3 THEN 'request_retake' END AS action, o_orderkey % 8 = 7 AS wrong, o_orderkey % 3 = 0 AS sent FROM {orders}"
 
 
-@R.add("ops_09_apply_review_actions", "SELECT o_orderkey AS session_id, CASE WHEN o_orderstatus <> 'O' THEN 'closed' WHEN o_orderkey % 4 IN (1, 2) THEN 'closed' WHEN o_orderkey % 4 = 3 THEN 'retake' ELSE 'open' END AS state, CASE WHEN o_orderstatus = 'O' AND o_orderkey % 4 = 1 THEN 'approved' WHEN o_orderstatus = 'O' AND o_orderkey % 4 = 2 THEN 'rejected' END AS final_outcome FROM {orders}")
+@R.add(
+    "ops_09_apply_review_actions",
+    over(
+        REVIEWS,
+        ", a AS (SELECT *, CASE WHEN open AND action IS NOT NULL AND NOT (action = 'request_retake' AND wrong) THEN action END AS done FROM fx) "
+        "SELECT 'item' AS kind, session_id, '' AS slot, CASE WHEN done IS NOT NULL OR NOT open THEN 'closed' ELSE 'open' END AS status, NULL::VARCHAR AS outcome FROM a "
+        "UNION ALL SELECT 'session', session_id, '', CASE done WHEN 'request_retake' THEN 'retake_requested' WHEN 'approve' THEN 'completed' WHEN 'reject' THEN 'completed' ELSE CASE WHEN open THEN 'needs_review' ELSE 'completed' END END, CASE WHEN done <> 'request_retake' THEN done END FROM a "
+        "UNION ALL SELECT 'document', session_id, s.slot, CASE WHEN done = 'request_retake' AND s.slot = 'front' THEN 'superseded' ELSE 'ingested' END, NULL FROM a CROSS JOIN (VALUES ('front'), ('back')) AS s(slot) "
+        "UNION ALL SELECT 'document', session_id, 'front', 'awaiting_upload', NULL FROM a WHERE done = 'request_retake' "
+        "UNION ALL SELECT 'reminder', session_id, 'front', CASE WHEN sent THEN 'sent' WHEN done = 'reject' THEN 'cancelled' ELSE 'scheduled' END, NULL FROM a "
+        "UNION ALL SELECT 'event', session_id, '', CASE WHEN done = 'request_retake' THEN 'session.retake_requested' ELSE 'session.completed' END, CASE WHEN done <> 'request_retake' THEN done END FROM a WHERE done IS NOT NULL "
+        "UNION ALL SELECT 'refused', session_id, '', CASE WHEN open THEN 'invalid' ELSE 'conflict' END, NULL FROM a WHERE action IS NOT NULL AND done IS NULL",
+    ),
+)
 def _(spark: SparkSession, sf_dir: str) -> DataFrame:
-    items = fx(spark, sf_dir, "SELECT o_orderkey AS session_id, CASE WHEN o_orderstatus = 'O' THEN 'open' ELSE 'closed' END AS state FROM {orders}")
-    return V.apply_review_actions(items, fx(spark, sf_dir, ACTIONS))[0]
-
-
-@R.add("ops_11_identifier_hash", "SELECT c_nationkey AS nation, count(*) AS n, true AS same FROM {customer} GROUP BY c_nationkey")
+    rows = fx(spark, sf_dir, REVIEWS)
+    slots = F.array(F.lit("front"), F.lit("back"))
+    sessions = rows.select("session_id", F.when(F.col("open"), "needs_review").otherwise("completed").alias("status"), slots.alias("slots"))
+    actions = rows.where("action IS NOT NULL").select("session_id", "action", F.when(F.col("action") == "request_retake", F.array(F.when(F.col("wrong"), "side").otherwise("front"))).alias("retake_slots"))
+    documents = rows.select("session_id", F.explode(slots).alias("slot"), F.lit("ingested").alias("status"))
+    reminders = rows.select("session_id", F.lit("front").alias("slot"), F.when(F.col("sent"), "sent").otherwise("scheduled").alias("status"))
+    done = V.apply_review_actions(rows.select("session_id", F.when(F.col("open"), "open").otherwise("closed").alias("status")), actions, sessions, documents, reminders)
+    none = F.lit(None).cast("string").alias("outcome")
+    parts = [
+        done.items.select(F.lit("item").alias("kind"), "session_id", F.lit("").alias("slot"), "status", none),
+        done.sessions.select(F.lit("session").alias("kind"), "session_id", F.lit("").alias("slot"), "status", F.col("final_outcome").alias("outcome")),
+        done.documents.select(F.lit("document").alias("kind"), "session_id", "slot", "status", none),
+        done.reminders.select(F.lit("reminder").alias("kind"), "session_id", "slot", "status", none),
+        done.events.select(F.lit("event").alias("kind"), "session_id", F.lit("").alias("slot"), F.col("event").alias("status"), F.col("final_outcome").alias("outcome")),
+        done.refused.select(F.lit("refused").alias("kind"), "session_id", F.lit("").alias("slot"), F.col("reason").alias("status"), none),
+    ]
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.unionByName(p)
+    return out
+
+
+IDENTIFIERS = "SELECT c_custkey AS id, CASE WHEN c_custkey % 5 = 0 THEN 'names' ELSE 'digits' END AS grp, CAST(c_custkey * 7919 AS STRING) AS value FROM {customer}"
+#: The key of the test hash, padded to a block and combined with the two constants of HMAC, in hex.
+INNER, OUTER = (bytes(b ^ x for b in b"test key".ljust(64, b"\0")).hex() for x in (0x36, 0x5C))
+
+
+@R.add("ops_11_identifier_hash", over(IDENTIFIERS, f"SELECT id, CASE WHEN grp = 'digits' THEN sha256(unhex('{OUTER}') || unhex(sha256(unhex('{INNER}') || encode('id_number:' || value)))) END AS hash FROM fx"))
 def _(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from fieldtrust.functions.text import ARABIC_DIGITS, western_digits
-    from fieldtrust.operators.ops import identifier_hash
+    from fieldtrust.functions.text import ARABIC_DIGITS
+    from fieldtrust.operators.ops import lookup_hash
 
-    rows = fx(spark, sf_dir, "SELECT c_nationkey AS nation, CAST(c_nationkey AS STRING) AS t FROM {customer}")
-    own = identifier_hash(F.lit("id"), F.col("t"), "test key")
-    other = identifier_hash(F.lit("id"), western_digits(F.translate("t", "0123456789", ARABIC_DIGITS[:10])), "test key")
-    return rows.groupBy("nation").agg(F.count("*").alias("n"), F.bool_and(own == other).alias("same"))
+    rows = fx(spark, sf_dir, IDENTIFIERS)
+    # the hash does not see the script or the spaces
+    written = F.when(F.col("id") % 3 == 0, F.translate("value", "0123456789", ARABIC_DIGITS[:10])).when(F.col("id") % 3 == 1, F.concat(F.lit(" "), F.substring("value", 1, 2), F.lit(" "), F.col("value").substr(3, 30))).otherwise(F.col("value"))
+    return rows.select("id", lookup_hash(F.col("grp"), F.lit("id_number"), written, "test key").alias("hash"))

@@ -10,7 +10,7 @@ from fieldtrust.plans.base import Registry, for_spark
 
 R = Registry()
 
-SESSIONS = "SELECT o_orderkey AS session_id, CASE o_orderstatus WHEN 'F' THEN 'completed' WHEN 'P' THEN 'awaiting' ELSE 'in_review' END AS status, o_orderdate AS updated_at, o_orderdate AS created_at, CAST(o_custkey % 10 AS STRING) AS tenant_id FROM {orders}"
+SESSIONS = "SELECT o_orderkey AS session_id, CASE o_orderstatus WHEN 'F' THEN 'completed' WHEN 'P' THEN 'awaiting_upload' ELSE 'needs_review' END AS status, o_orderdate AS updated_at, o_orderdate AS created_at, CAST(o_custkey % 10 AS STRING) AS tenant_id, CASE WHEN o_custkey % 7 = 0 THEN 'document' ELSE 'kyc' END AS kind FROM {orders}"
 DOCUMENTS = "SELECT l_orderkey AS session_id, l_linenumber AS slot, l_partkey AS part, l_returnflag = 'R' AS superseded, l_linestatus = 'F' AS stored, l_shipdate AS created_at FROM {lineitem}"
 HISTORY = "SELECT l_orderkey AS session_id, l_linenumber AS slot, l_partkey AS field, v.version, CASE WHEN v.version = 1 THEN l_returnflag ELSE l_returnflag || '!' END AS value, CASE WHEN v.version = 1 THEN 'model' ELSE 'corrected' END AS source FROM {lineitem} JOIN (VALUES (1), (2)) AS v(version) ON v.version = 1 OR l_discount > 0.05"
 REMINDERS = "SELECT o_orderkey AS session_id, 1 AS slot, CAST(o_orderdate AS DATE) AS day, o_orderstatus = 'P' AS unreadable FROM {orders}"
@@ -36,7 +36,7 @@ def _(spark: SparkSession, sf_dir: str) -> DataFrame:
     return O.current_documents(fx(spark, sf_dir, DOCUMENTS)).select("session_id", "slot", "part", "created_at")
 
 
-@R.add("ops_03_missing_uploads", over(SESSIONS, "SELECT session_id, s.slot FROM fx CROSS JOIN (VALUES (1), (2)) AS s(slot) WHERE status = 'awaiting' AND NOT EXISTS (SELECT 1 FROM {lineitem} WHERE l_orderkey = session_id AND l_linenumber = s.slot)"))
+@R.add("ops_03_missing_uploads", over(SESSIONS, "SELECT session_id, s.slot FROM fx CROSS JOIN (VALUES (1), (2)) AS s(slot) WHERE status = 'awaiting_upload' AND NOT EXISTS (SELECT 1 FROM {lineitem} WHERE l_orderkey = session_id AND l_linenumber = s.slot)"))
 def _(spark: SparkSession, sf_dir: str) -> DataFrame:
     slots = fx(spark, sf_dir, SESSIONS).select("session_id", "status", F.explode(F.array(F.lit(1), F.lit(2))).alias("slot"))
     return O.missing_uploads(slots, fx(spark, sf_dir, DOCUMENTS)).select("session_id", "slot")
@@ -48,11 +48,18 @@ def _(spark: SparkSession, sf_dir: str) -> DataFrame:
     return O.session_view(fx(spark, sf_dir, DOCUMENTS), latest).select("session_id", "slot", "field", "value", "status")
 
 
-@R.add("ops_05_upsert_fields", "WITH o AS (SELECT o_orderkey AS k, o_orderstatus AS value FROM {orders} WHERE o_orderkey % 3 <> 0), n AS (SELECT o_orderkey AS k, o_orderpriority AS value FROM {orders} WHERE o_orderkey % 2 = 0) SELECT coalesce(o.k, n.k) AS k, coalesce(n.value, o.value) AS value, CASE WHEN n.k IS NULL THEN 'model' ELSE 'corrected' END AS source, (o.k IS NOT NULL)::INT + (n.k IS NOT NULL)::INT AS version FROM o FULL JOIN n ON o.k = n.k")
+LATEST = "SELECT o_custkey + 5 AS k, max(o_orderpriority) AS value FROM {orders} GROUP BY o_custkey"
+
+
+@R.add(
+    "ops_05_upsert_fields",
+    over(LATEST, ", o AS (SELECT c_custkey AS k, c_mktsegment AS value FROM {customer}) SELECT 'current' AS kind, coalesce(o.k, fx.k) AS k, coalesce(fx.value, o.value) AS value, CASE WHEN fx.k IS NULL THEN 'model' ELSE 'reviewer' END AS source, (o.k IS NOT NULL)::INT + (fx.k IS NOT NULL)::INT AS version FROM o FULL JOIN fx ON o.k = fx.k "
+    "UNION ALL SELECT 'history', fx.k, fx.value, 'reviewer', 1 + (o.k IS NOT NULL)::INT FROM fx LEFT JOIN o ON o.k = fx.k"),
+)
 def _(spark: SparkSession, sf_dir: str) -> DataFrame:
-    old = fx(spark, sf_dir, "SELECT o_orderkey AS k, o_orderstatus AS value, 'model' AS source, 1 AS version FROM {orders} WHERE o_orderkey % 3 <> 0")
-    new = fx(spark, sf_dir, "SELECT o_orderkey AS k, o_orderpriority AS value, 'corrected' AS source FROM {orders} WHERE o_orderkey % 2 = 0")
-    return O.upserted(old, new, ["k"])
+    old = fx(spark, sf_dir, "SELECT c_custkey AS k, c_mktsegment AS value, 'model' AS source, 1 AS version FROM {customer}")
+    new = fx(spark, sf_dir, LATEST).withColumn("source", F.lit("reviewer"))
+    return O.upserted(old, new, ["k"]).withColumn("kind", F.lit("current")).unionByName(O.appended_history(old, new, ["k"]).withColumn("kind", F.lit("history")))
 
 
 @R.add("ops_06_latest_version", over(HISTORY, "SELECT session_id, slot, field, arg_max(value, (version, value)) AS value, max(version) AS version FROM fx GROUP BY ALL"))
@@ -70,14 +77,14 @@ def _(spark: SparkSession, sf_dir: str) -> DataFrame:
     return O.review_queue(items, sessions, F.lit("2005-01-01").cast("timestamp"), "2-HIGH", 1000).select("session_id", "tenant_id", "age_seconds")
 
 
-@R.add("ops_08_apply_corrections", "SELECT l_orderkey AS session_id, l_linenumber AS slot, 'fixed' AS value, 2 AS version FROM {lineitem} WHERE l_linenumber = 1 GROUP BY ALL")
+@R.add("ops_08_apply_corrections", "SELECT l_orderkey AS session_id, l_linenumber AS slot, 'fixed' AS value, 2 AS version FROM {lineitem} GROUP BY ALL")
 def _(spark: SparkSession, sf_dir: str) -> DataFrame:
     fields = fx(spark, sf_dir, "SELECT DISTINCT l_orderkey AS session_id, CAST(l_linenumber AS STRING) AS slot, 'f' AS field, 1 AS version FROM {lineitem}")
-    asked = fx(spark, sf_dir, "SELECT o_orderkey AS session_id, map('1.f', 'fixed', '1.unknown', 'x') AS values FROM {orders}")
+    asked = fx(spark, sf_dir, "SELECT o_orderkey AS session_id FROM {orders}").withColumn("values", F.create_map(*[F.lit(x) for k in range(1, 8) for x in (f"{k}.f", "fixed")], F.lit("1.unknown"), F.lit("x")))
     return O.apply_corrections(asked, fields)[0].select("session_id", F.col("slot").cast("int").alias("slot"), "value", "version")
 
 
-STATUS = "SELECT user_id AS session_id, ts, event_id, CASE event_type WHEN 'signup' THEN 'awaiting' WHEN 'click' THEN 'submitted' WHEN 'view' THEN 'processing' WHEN 'error' THEN 'in_review' ELSE 'completed' END AS status FROM {events}"
+STATUS = "SELECT user_id AS session_id, ts, event_id, CASE event_type WHEN 'signup' THEN 'created' WHEN 'click' THEN 'submitted' WHEN 'view' THEN 'processing' WHEN 'error' THEN 'needs_review' ELSE 'completed' END AS status FROM {events}"
 
 
 @R.add("ops_10_allowed_transitions", over(STATUS, ", s AS (SELECT *, lag(status) OVER (PARTITION BY session_id ORDER BY ts, event_id) AS before FROM fx) SELECT session_id, event_id, before, status FROM s WHERE before IS NOT NULL AND before <> status AND (before, status) NOT IN (" + ", ".join(str(m) for m in O.MOVES) + ")"))
@@ -110,6 +117,24 @@ def reminders(spark: SparkSession, sf_dir: str) -> DataFrame:
     return O.expiry_reminders(rows.select("session_id", "slot", F.when(~F.col("unreadable"), F.date_add("day", 365)).alias("due")))
 
 
+@R.add(
+    "ops_14_rescheduled_reminders",
+    over(REMINDERS, "SELECT session_id, slot, day + 365 AS due, CASE WHEN session_id % 3 = 0 THEN 'sent' ELSE 'scheduled' END AS status FROM fx WHERE NOT unreadable AND (session_id % 3 = 0 OR session_id % 2 = 1) UNION ALL SELECT session_id, slot, day + 400, 'scheduled' FROM fx WHERE NOT unreadable AND session_id % 2 = 0"),
+)
+def _(spark: SparkSession, sf_dir: str) -> DataFrame:
+    old = reminders(spark, sf_dir).withColumn("status", F.when(F.col("session_id") % 3 == 0, "sent").otherwise(F.col("status")))
+    # every second session was read again and has a later expiry day
+    days = fx(spark, sf_dir, REMINDERS).where("session_id % 2 = 0").select("session_id", "slot", F.when(~F.col("unreadable"), F.date_add("day", 400)).alias("due"))
+    return O.rescheduled(old, days).select("session_id", "slot", "due", "status")
+
+
+@R.add("ops_16_cancel_reminders", over(REMINDERS, "SELECT session_id, CASE WHEN session_id % 3 = 0 THEN 'sent' WHEN session_id % 2 = 0 THEN 'cancelled' ELSE 'scheduled' END AS status, false AS refused FROM fx WHERE NOT unreadable UNION ALL SELECT session_id, 'sent', true FROM fx WHERE NOT unreadable AND session_id % 6 = 0"))
+def _(spark: SparkSession, sf_dir: str) -> DataFrame:
+    old = reminders(spark, sf_dir).withColumn("status", F.when(F.col("session_id") % 3 == 0, "sent").otherwise(F.col("status")))
+    done, refused = O.cancelled(old, old.where("session_id % 2 = 0"))
+    return done.select("session_id", "status", F.lit(False).alias("refused")).unionByName(refused.select("session_id", "status", F.lit(True).alias("refused")))
+
+
 @R.add("ops_15_due_reminders", over(REMINDERS, "SELECT session_id, slot, 'document.expiring' AS event FROM fx WHERE NOT unreadable AND day + 335 <= DATE '1998-06-01'"))
 def _(spark: SparkSession, sf_dir: str) -> DataFrame:
     return O.due_reminders(reminders(spark, sf_dir), F.lit("1998-06-01").cast("date"))[1]
@@ -120,9 +145,9 @@ def _(spark: SparkSession, sf_dir: str) -> DataFrame:
     return O.list_reminders(reminders(spark, sf_dir), "scheduled", F.lit("2000-01-01").cast("date")).select("session_id", "due")
 
 
-@R.add("ops_17_retention_sweep", over(DOCUMENTS, "SELECT fx.session_id, slot FROM fx JOIN {orders} ON o_orderkey = session_id WHERE stored AND o_orderstatus = 'F' AND o_orderdate < TIMESTAMP '1999-01-31' - INTERVAL 30 DAY"))
+@R.add("ops_17_retention_sweep", over(DOCUMENTS, "SELECT fx.session_id, slot FROM fx JOIN {orders} ON o_orderkey = session_id WHERE stored AND o_custkey % 7 <> 0 AND o_orderstatus = 'F' AND o_orderdate < TIMESTAMP '1999-01-31' - INTERVAL 30 DAY"))
 def _(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return O.retention_sweep(fx(spark, sf_dir, DOCUMENTS), fx(spark, sf_dir, SESSIONS), F.lit("1999-01-31").cast("timestamp"))
+    return O.retention_sweep(fx(spark, sf_dir, DOCUMENTS), fx(spark, sf_dir, SESSIONS), F.lit("1999-01-31").cast("timestamp"))[0]
 
 
 HOOKS = "SELECT CAST(n_nationkey % 10 AS STRING) AS tenant_id, n_nationkey AS webhook_id, n_nationkey % 4 <> 0 AS active FROM {nation}"

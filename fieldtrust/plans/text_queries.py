@@ -183,12 +183,12 @@ def _(spark: SparkSession, sf_dir: str) -> DataFrame:
     return E.finished(fx(spark, sf_dir, MARKED))
 
 
-METRICS = "SELECT p_partkey AS id, 400 + p_size * 20 AS short_side, p_retailprice % 300 AS sharpness, p_size * 4.0E0 AS brightness, (p_partkey % 40) / 100.0E0 AS dark, (p_partkey % 37) / 100.0E0 AS bright, (p_partkey % 5) / 100.0E0 AS glare, p_partkey % 6 <> 0 AS found FROM {part}"
+METRICS = "SELECT p_partkey AS id, 400 + p_size * 20 AS short_side, p_retailprice % 300 AS sharpness, p_size * 4.0E0 AS brightness, (p_partkey % 40) / 100.0E0 AS dark, (p_partkey % 37) / 100.0E0 AS bright, (p_partkey % 5) / 100.0E0 AS glare, p_partkey % 6 <> 0 AS found, (p_partkey % 23) / 1000.0E0 AS edge, (p_partkey % 11) / 200.0E0 AS skin FROM {part}"
 
 
 @R.add(
     "ext_11_quality_issues",
-    over(METRICS, "id, array_to_string(list_filter([CASE WHEN short_side < 600 THEN 'low_resolution' END, CASE WHEN sharpness < 50 THEN 'blur' END, CASE WHEN brightness < 50 OR dark > 0.25 THEN 'too_dark' WHEN bright > 0.25 AND glare < 0.015 THEN 'overexposed' END, CASE WHEN glare >= 0.015 AND found THEN 'glare' END, CASE WHEN NOT found THEN 'corners_not_found' END], lambda x: x IS NOT NULL), ',') AS issues"),
+    over(METRICS, "id, array_to_string(list_filter([CASE WHEN short_side < 600 THEN 'low_resolution' END, CASE WHEN sharpness < 50 THEN 'blur' END, CASE WHEN brightness < 50 OR dark > 0.25 THEN 'too_dark' WHEN bright > 0.25 AND glare < 0.015 THEN 'overexposed' END, CASE WHEN glare >= 0.015 AND found THEN 'glare' END, CASE WHEN NOT found THEN 'corners_not_found' END, CASE WHEN found AND edge <= 0.01 THEN 'corner_cut' END, CASE WHEN found AND skin > 0.04 THEN 'possible_occlusion' END], lambda x: x IS NOT NULL), ',') AS issues"),
 )
 def _(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fx(spark, sf_dir, METRICS).select("id", F.array_join(E.quality_issues(), ",").alias("issues"))
@@ -217,14 +217,28 @@ def _(spark: SparkSession, sf_dir: str) -> DataFrame:
 @R.add(
     "val_03_date_rules",
     "WITH fx AS (" + DAYS + "), r AS (SELECT session_id, slot, issue, CAST(expiry_text AS DATE) AS expiry, DATE '2009-06-01' AS today FROM fx) "
-    "SELECT session_id, slot, 'expired' AS code, 'fail' AS severity FROM r WHERE expiry <= today UNION ALL SELECT session_id, slot, 'issue_in_future', 'warn' FROM r WHERE issue > today UNION ALL SELECT session_id, slot, 'issue_after_expiry', 'warn' FROM r WHERE issue >= expiry "
-    "UNION ALL SELECT session_id, slot, 'underage', 'fail' FROM r WHERE issue <= today AND issue + INTERVAL 18 YEAR > today UNION ALL SELECT session_id, slot, 'birth_in_future', 'warn' FROM r WHERE issue > today",
+    "SELECT session_id, slot, 'document_expired' AS code, 'fail' AS severity FROM r WHERE expiry <= today UNION ALL SELECT session_id, slot, 'issue_in_future', 'warn' FROM r WHERE issue > today UNION ALL SELECT session_id, slot, 'issue_after_expiry', 'warn' FROM r WHERE issue >= expiry "
+    "UNION ALL SELECT session_id, slot, 'underage', 'fail' FROM r WHERE issue <= today AND issue + INTERVAL 18 YEAR > today UNION ALL SELECT session_id, slot, 'dob_in_future', 'warn' FROM r WHERE issue > today",
 )
 def _(spark: SparkSession, sf_dir: str) -> DataFrame:
     days = fx(spark, sf_dir, DAYS).select("session_id", "slot", "issue", F.col("expiry_text").cast("date").alias("expiry"), F.col("issue").alias("birth"))
     return V.date_rules(days, F.lit("2009-06-01").cast("date")).select("session_id", "slot", "code", "severity")
 
 
+@R.add(
+    "val_03_date_statuses",
+    "WITH fx AS (" + DAYS + "), r AS (SELECT session_id, slot, issue, CAST(expiry_text AS DATE) AS expiry, DATE '2002-06-01' AS today FROM fx) SELECT session_id, slot, 'issue_date' AS field, CASE WHEN max(CAST(issue > today AS INT)) = 1 THEN 'invalid_format' ELSE 'ok' END AS status, 'gregorian' AS calendar FROM r GROUP BY session_id, slot "
+    "UNION ALL SELECT session_id, slot, 'expiry_date', CASE WHEN max(CAST(expiry <= today AS INT)) = 1 THEN 'expired' ELSE 'ok' END, 'gregorian' FROM r GROUP BY session_id, slot",
+)
+def _(spark: SparkSession, sf_dir: str) -> DataFrame:
+    keys = ["session_id", "slot"]
+    days = fx(spark, sf_dir, DAYS).select(*keys, "issue", F.col("expiry_text").cast("date").alias("expiry"), F.lit(None).cast("date").alias("birth"))
+    rules = V.date_rules(days, F.lit("2002-06-01").cast("date"))
+    named = days.select(*keys, F.explode(F.array(F.lit("issue_date"), F.lit("expiry_date"))).alias("field")).distinct()
+    read = named.withColumns({"calendar": F.lit("gregorian"), "converted": F.lit(False)})
+    return V.dated_fields(named.withColumn("status", F.lit("ok")), read, rules, keys).select(*keys, "field", "status", "calendar")
+
+
 @R.add("val_01_check_format", "SELECT o_orderkey AS id, CASE WHEN o_orderkey % 7 = 0 THEN NULL ELSE regexp_matches(CAST(o_orderkey * 37 AS STRING), '^[0-9]{{4,5}}$') END AS valid FROM {orders}")
 def _(spark: SparkSession, sf_dir: str) -> DataFrame:
     value = F.when(F.col("o_orderkey") % 7 != 0, F.concat_ws(" ", F.substring((F.col("o_orderkey") * 37).cast("string"), 1, 2), F.substring((F.col("o_orderkey") * 37).cast("string"), 3, 30)))
@@ -255,7 +269,7 @@ def _(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("session_id", "rule", "status", "score")
 
 
-EXPIRY = "SELECT l_orderkey AS session_id, 'doc' || l_linenumber AS slot, 'expiry_date' AS field, CASE WHEN l_partkey % 5 = 0 THEN NULL ELSE CAST(l_shipdate AS DATE) END AS day FROM {lineitem} WHERE l_linenumber <= 3"
+EXPIRY = "SELECT l_orderkey AS session_id, 'doc' || l_linenumber AS slot, 'expiry_date' AS field, CASE WHEN l_partkey % 5 = 0 THEN NULL ELSE CAST(l_shipdate AS DATE) END AS day FROM {lineitem}"
 
 
 @R.add(

@@ -12,9 +12,14 @@ MANIFEST = (
 TRUTH = "variants array<string>, as_of date, documents map<string,struct<fields:map<string,string>,glare_over:string>>"
 #: Allowed values of coded columns; other rows go to the reject output.
 CODES = {
-    "sessions": {"status": ["awaiting", "submitted", "processing", "in_review", "completed"]},
-    "reminders": {"status": ["scheduled", "sent", "cancelled"]},
+    "sessions": {"kind": ["kyc", "document"], "status": ["created", "submitted", "processing", "needs_review", "completed", "retake_requested", "failed"]},
+    "documents": {"status": ["awaiting_upload", "uploaded", "ingested", "superseded", "deleted"]},
+    "field_versions": {"source": ["model", "reviewer"]},
+    "review_items": {"status": ["open", "closed"]},
+    "review_actions": {"action": ["approve", "reject", "request_retake"]},
     "deliveries": {"status": ["pending", "delivered", "failed"]},
+    "reminders": {"kind": ["document_expiry", "custom"], "status": ["scheduled", "sent", "cancelled"]},
+    "jobs": {"status": ["queued", "processing", "done", "failed"]},
 }
 
 
@@ -58,6 +63,8 @@ def checked_rows(rows: DataFrame, table: str) -> tuple[DataFrame, DataFrame]:
     """(rows that keep the table's contract, rejects)."""
     good = F.lit(True)
     for column, allowed in CODES.get(table, {}).items():
+        if column not in rows.columns:
+            continue
         good = good & F.coalesce(F.col(column).isin(allowed), F.lit(False))
     return rows.where(good), rows.where(~good)
 
