@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from fieldtrust.llm.buckets import block_rows, dealt, joined
-from fieldtrust.llm.common import byte_groups, keep_ids, saved, small_batches
+from fieldtrust.llm.common import byte_groups, keep_ids, passing, saved, small_batches
 from fieldtrust.llm.shingles import mixed, shingle_sets
 
 ROWS = 6
@@ -108,13 +108,15 @@ def full_sets(docs: DataFrame, width: int) -> DataFrame:
 
 def verified(pairs: DataFrame, docs: DataFrame, width: int, percent: int) -> DataFrame:
     """Those pairs a, b whose full sets satisfy 100 * intersection >= percent * union."""
-    pairs = saved(pairs, "pairs")
-    nodes = saved(pairs.select(F.col("a").alias("doc_id")).union(pairs.select("b")).distinct(), "nodes")
-    sets = saved(full_sets(keep_ids(docs.select("doc_id", "text"), nodes, "doc_id"), width).dropDuplicates(["node"]), "sets")
-    left = pairs.join(sets.select(F.col("node").alias("a"), F.col("shingles").alias("sa")), "a")
-    both = left.join(sets.select(F.col("node").alias("b"), F.col("shingles").alias("sb")), "b")
-    common = F.size(F.array_intersect("sa", "sb")).cast("long")
-    return saved(both.select("a", "b", common.alias("common"), F.size("sa").alias("na"), F.size("sb").alias("nb")).where(f"100 * common >= {percent} * (na + nb - common)").select("a", "b"), "links")
+    with passing(docs.sparkSession):
+        pairs = saved(pairs, "pairs")
+        nodes = saved(pairs.select(F.col("a").alias("doc_id")).union(pairs.select("b")).distinct(), "nodes")
+        sets = saved(full_sets(keep_ids(docs.select("doc_id", "text"), nodes, "doc_id"), width).dropDuplicates(["node"]), "sets")
+        left = pairs.join(sets.select(F.col("node").alias("a"), F.col("shingles").alias("sa")), "a")
+        both = left.join(sets.select(F.col("node").alias("b"), F.col("shingles").alias("sb")), "b")
+        common = F.size(F.array_intersect("sa", "sb")).cast("long")
+        counted = both.select("a", "b", common.alias("common"), F.size("sa").alias("na"), F.size("sb").alias("nb"))
+        return saved(counted.where(f"100 * common >= {percent} * (na + nb - common)").select("a", "b"), "links", lasting=True)
 
 
 class Side:

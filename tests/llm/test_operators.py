@@ -717,3 +717,19 @@ def test_empty_tables(spark):
     assert sharding.shard_rows(none).count() == 0
     assert warc.round_trip(spark, spark.createDataFrame([], "page_id long, url string, html string")).count() == 0
     assert scratch_path(spark, "x").startswith("file:")
+
+
+def test_passing_tables_are_deleted(spark):
+    from fieldtrust.llm.common import passing, saved
+
+    rows = spark.range(10)
+    with passing(spark):
+        outer = saved(rows, "outer")
+        with passing(spark):
+            inner, lasting = saved(rows, "inner"), saved(rows.where("id > 4"), "lasting", lasting=True)
+        assert outer.count() == 10 and lasting.count() == 5
+        kept = saved(lasting, "kept", lasting=True)
+    assert kept.count() == 5
+    for gone in (outer, inner, lasting):
+        with pytest.raises(Exception, match="(?i)not.?exist|FileNotFound"):
+            gone.collect()
