@@ -173,3 +173,15 @@ def table_hash(rows: DataFrame) -> DataFrame:
     own = rows.select(F.sha2(F.concat_ws("\x1f", *[F.coalesce(F.col(c).cast("string"), F.lit("\x00")) for c in sorted(rows.columns)]), 256).alias("h"))
     parts = [F.coalesce(F.sum(F.conv(F.substring("h", 1 + 15 * k, 15), 16, 10).cast("decimal(38,0)")), F.lit(0)).cast("string") for k in range(4)]
     return own.agg(F.sha2(F.concat_ws(",", F.count("*").cast("string"), *parts), 256).alias("hash"))
+
+
+def headline_table(fields: DataFrame, groups: DataFrame, routing: DataFrame, calibration: list[DataFrame]) -> DataFrame:
+    """metric, value of a run: from the measures of all observations (fields), the character error rate of each group
+    (groups: grp, cer), the routing measures and one-row tables of calibration measures."""
+    rename = {"hallucination": "hallucination_rate", "n_unreadable": "n_unreadable", "normalised": "normalized_match", "exact": "exact_match", "coverage": "coverage"}
+    chosen = fields.select(*[F.col(c).cast("double").alias(n) for c, n in rename.items()])
+    parts = [chosen, routing.select([F.col(c).cast("double").alias("sessions" if c == "n" else c) for c in routing.columns]), *calibration]
+    long = groups.select(F.concat(F.lit("cer_"), "grp").alias("metric"), F.col("cer").alias("value"))
+    for part in parts:
+        long = long.unionByName(part.unpivot([], part.columns, "metric", "value"))
+    return long

@@ -179,3 +179,23 @@ def _(spark: SparkSession, sf_dir: str) -> DataFrame:
 def _(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = E.session_scores(observations(spark, sf_dir)).select(F.when(F.col("session_id") % 5 != 0, F.col("field_score")).alias("v"))
     return found.agg(F.round(F.avg(F.coalesce("v", F.lit(0.0))), 4).alias("score"))
+
+
+HEADLINE = (
+    ROUTES + ", "
+    + BINS.replace("{{k}}", "15").removeprefix("WITH ").replace("fx AS", "sc AS", 1).replace("FROM fx", "FROM sc")
+    + ", br AS (SELECT avg((p - y) * (p - y)) AS brier FROM sc), f AS (SELECT avg(CASE WHEN truth IS NULL THEN (value IS NOT NULL)::INT END) AS hallucination_rate, count(CASE WHEN truth IS NULL THEN 1 END)::DOUBLE AS n_unreadable, avg(correct::INT) AS normalized_match, avg(exact::INT) AS exact_match, avg(CASE WHEN truth IS NOT NULL THEN (value IS NOT NULL)::INT END) AS coverage FROM obs), "
+    "ro AS (SELECT count(*)::DOUBLE AS sessions, avg(routed::INT) AS review_rate, sum((routed AND needed)::INT) * 1.0E0 / nullif(sum(routed::INT), 0) AS precision, sum((routed AND needed)::INT) * 1.0E0 / nullif(sum(needed::INT), 0) AS recall, "
+    "2.0E0 * sum((routed AND needed)::INT) / nullif(sum(routed::INT) + sum(needed::INT), 0) AS f1, avg((NOT routed)::INT) AS auto_pass_rate, avg(CASE WHEN NOT routed THEN needed::INT END) AS auto_pass_error FROM ses), "
+    "ec AS (SELECT sum(n * abs(mean_p - mean_y)) / sum(n) AS ece FROM r), "
+    "t AS (SELECT 'cer_' || grp AS metric, avg(cer) AS value FROM obs GROUP BY grp "
+    + "".join(f"UNION ALL SELECT '{m}', {m} FROM {t} " for t, names in (("f", ["hallucination_rate", "n_unreadable", "normalized_match", "exact_match", "coverage"]), ("ro", ["sessions", "review_rate", "precision", "recall", "f1", "auto_pass_rate", "auto_pass_error"]), ("ec", ["ece"]), ("br", ["brier"])) for m in names)
+    + ") SELECT metric, round(value, 6) AS value FROM t"
+)
+
+
+@R.add("evl_19_headline_table", HEADLINE)
+def _(spark: SparkSession, sf_dir: str) -> DataFrame:
+    obs, p = observations(spark, sf_dir), scores(spark, sf_dir)
+    calibration = [E.calibration_error(E.reliability_bins(p)), E.brier(p)]
+    return rounded(E.headline_table(E.field_summary(obs), E.field_summary(obs, "grp"), E.routing_metrics(sessions(spark, sf_dir)), calibration), "value")

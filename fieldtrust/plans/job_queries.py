@@ -154,9 +154,12 @@ def _(spark: SparkSession, sf_dir: str) -> DataFrame:
     return Y.rule_fixtures(fx(spark, sf_dir, BRANDS))
 
 
-@R.add("syn_08_score_rules", FIXTURES + ", r AS (SELECT * FROM (VALUES ('one', '^Brand#[0-9]$'), ('two', '^Brand#[0-9][0-9]?$'), ('any', '.*')) AS r(rule, pattern)) SELECT rule, field, round(avg((regexp_matches(value, pattern) = (label = 'valid'))::INT), 4) AS score FROM f CROSS JOIN r GROUP BY ALL")
+RULE_ROWS = [("one", "brand", "^Brand#[0-9]$", True, 0), ("two", "brand", "^Brand#[0-9][0-9]?$", True, 0), ("any", "brand", ".*", False, 2)]
+
+
+@R.add("syn_08_score_rules", FIXTURES + ", r AS (SELECT * FROM (VALUES ('one', '^Brand#[0-9]$', 1.0E0, 0), ('two', '^Brand#[0-9][0-9]?$', 1.0E0, 0), ('any', '.*', 0.5E0, 2)) AS r(rule, pattern, own, errors)) SELECT rule, field, round(avg((regexp_matches(value, pattern) = (label = 'valid'))::INT) * (0.9E0 + 0.1E0 * own) - 0.01E0 * errors, 4) AS score FROM f CROSS JOIN r GROUP BY rule, field, own, errors")
 def _(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rules = spark.createDataFrame([("one", "brand", "^Brand#[0-9]$"), ("two", "brand", "^Brand#[0-9][0-9]?$"), ("any", "brand", ".*")], "rule string, field string, pattern string")
+    rules = spark.createDataFrame(RULE_ROWS, "rule string, field string, pattern string, own boolean, errors int")
     return Y.score_rules(rules, Y.rule_fixtures(fx(spark, sf_dir, BRANDS)))
 
 

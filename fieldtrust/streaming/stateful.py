@@ -9,8 +9,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
+from fieldtrust.operators.ops import RETRY_HOURS, RETRY_SECONDS
+
 VERDICTS = "tenant_id string, key long, request_id long, verdict string"
 LIMITS = "key long, event_id long, allowed boolean, wait_seconds double"
+RETRIES = "delivery_id long, attempts int, status string, next_at timestamp"
 ASSEMBLED = "session_id long, slots array<string>, complete boolean"
 
 
@@ -64,6 +67,46 @@ def rate_limit(events: DataFrame, per_minute: int) -> DataFrame:
     return events.groupBy("key").applyInPandasWithState(step, LIMITS, "tokens double, at string", "append", GroupStateTimeout.NoTimeout)
 
 
+def delivery_retries(outcomes: DataFrame) -> DataFrame:
+    """delivery_id, attempts, status (delivered, pending, failed) and next_at for each outcome of a stream (delivery_id, ts,
+    ok, created_at): after a failure the next attempt waits RETRY_SECONDS, failed beyond RETRY_HOURS from created_at. What
+    comes after the end of a delivery is passed over; its state goes once the watermark is that many hours past it."""
+    window = pd.Timedelta(hours=RETRY_HOURS)
+
+    def step(key: tuple, parts: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        if state.hasTimedOut:
+            state.remove()
+            return
+        attempts, ended = state.get if state.exists else (0, False)
+        out, last = [], None
+        for r in _ordered(parts, "ts").itertuples():
+            last = r.ts
+            if ended:
+                continue
+            attempts += 1
+            at = r.ts + pd.Timedelta(seconds=RETRY_SECONDS[min(attempts, len(RETRY_SECONDS)) - 1])
+            status = "delivered" if r.ok else "pending" if at - r.created_at <= window else "failed"
+            ended = status != "pending"
+            out.append((int(key[0]), attempts, status, at if status == "pending" else pd.NaT))
+        state.update((attempts, ended))
+        state.setTimeoutTimestamp(max(int((last + window).timestamp() * 1000), state.getCurrentWatermarkMs() + 1))
+        yield pd.DataFrame(out, columns=["delivery_id", "attempts", "status", "next_at"])
+
+    return outcomes.groupBy("delivery_id").applyInPandasWithState(step, RETRIES, "attempts int, ended boolean", "append", GroupStateTimeout.EventTimeTimeout)
+
+
+def scored_stream(assembled: DataFrame, transcripts: DataFrame, score, sink, checkpoint: str):
+    """Scores sessions as they come to their end: score(transcripts of the batch's sessions, the batch) is written by
+    sink(result, batch_id). assembled: assemble_sessions' rows; transcripts: a table, of which the rows of these sessions
+    are read. A batch that is run again has the same id, so that the sink can replace its rows."""
+
+    def step(batch: DataFrame, batch_id: int) -> None:
+        ended = batch.select("session_id").distinct()
+        sink(score(transcripts.join(ended, "session_id", "left_semi"), batch), batch_id)
+
+    return assembled.writeStream.foreachBatch(step).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+
 def assemble_sessions(arrivals: DataFrame, expected: int, wait_minutes: int = 60) -> DataFrame:
     """session_id, slots, complete: a session once `expected` different slots (session_id, slot, ts) have come, or
     incomplete once the watermark is wait_minutes past its latest one."""

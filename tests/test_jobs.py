@@ -13,6 +13,7 @@ from fieldtrust.operators import calibrate as C
 from fieldtrust.operators import crossdoc as X
 from fieldtrust.operators import merge as M
 from fieldtrust.operators import ops as O
+from fieldtrust.sources import rulesets as L
 from fieldtrust.sources import tables as S
 from fieldtrust.streaming import stateful as T
 
@@ -139,3 +140,38 @@ def test_hot_keys_are_not_gathered_in_one_row(spark):
     ids = {r.request_id for r in made[0].where("verdict = 'run'").collect()}
     assert ids == {0, 8640, 17280} and made[0].count() == 20_000
     assert 10_000 <= made[1].where("allowed").count() <= 10_004 and made[2].select("hash").distinct().count() == 20_000
+
+
+def test_rulesets(spark, tmp_path):
+    rules = L.load_ruleset(spark)
+    assert [p.rule for p in rules.pairs] == ["name_id_vs_license", "name_id_vs_tax", "business_name_license_vs_tax"] and rules.after_today.count() == 3
+    assert rules.lifetimes.collect() == [("national_id", 10, 30)] and rules.adult_age == 18
+    (tmp_path / "r.json").write_text(json.dumps(L.RULES))
+    assert L.load_ruleset(spark, str(tmp_path / "r.json")).formats.collect() == rules.formats.collect()
+    for bad in ({"id": "r", "left": "a.b", "right": "c.d", "matcher": "guess"}, {"id": "r", "left": "ab", "right": "c.d", "matcher": "exact"}):
+        with pytest.raises(ValueError):
+            L.load_ruleset(spark, L.RULES | {"rules": [bad]})
+    # each reference meets the slot that carries its field
+    assert {(r.left_slot, r.right_slot) for r in X.resolved(spark, rules.pairs, L.field_specs(spark)).collect()} == {("national_id_front", "commercial_registration"), ("national_id_front", "tax_card"), ("commercial_registration", "tax_card")}
+
+
+def test_delivery_retries(spark, tmp_path):
+    t = datetime.datetime(2024, 1, 1)
+    at = lambda s: t + datetime.timedelta(seconds=s)
+    rows = [(1, at(0), False, t), (1, at(30), False, t), (1, at(200), True, t), (1, at(300), False, t), (2, at(0), True, t), (3, at(86395), False, t)]
+    spark.createDataFrame(rows, "delivery_id long, ts timestamp, ok boolean, created_at timestamp").coalesce(1).write.parquet(str(tmp_path / "in"))
+    source = spark.readStream.schema("delivery_id long, ts timestamp, ok boolean, created_at timestamp").parquet(str(tmp_path / "in"))
+    got = run(spark, T.delivery_retries(source.withWatermark("ts", "1 hour")), tmp_path, "retries").collect()
+    assert sorted((r.delivery_id, r.attempts, r.status, r.next_at) for r in got if r.delivery_id == 1) == [(1, 1, "pending", at(30)), (1, 2, "pending", at(150)), (1, 3, "delivered", None)]
+    assert {(r.delivery_id, r.status) for r in got if r.delivery_id > 1} == {(2, "delivered"), (3, "failed")}
+
+
+def test_scored_stream(spark, tmp_path):
+    t = datetime.datetime(2024, 1, 1)
+    spark.createDataFrame([(1, "a", t), (1, "b", t), (2, "a", t)], "session_id long, slot string, ts timestamp").coalesce(1).write.parquet(str(tmp_path / "in"))
+    source = spark.readStream.schema("session_id long, slot string, ts timestamp").parquet(str(tmp_path / "in"))
+    lines = spark.createDataFrame([(1, "x"), (1, "y"), (2, "z")], "session_id long, text string")
+    seen = {}
+    score = lambda rows, batch: rows.groupBy("session_id").count().join(batch, "session_id")
+    T.scored_stream(T.assemble_sessions(source.withWatermark("ts", "1 minute"), 2), lines, score, lambda out, i: seen.update({i: out.collect()}), str(tmp_path / "cp")).awaitTermination()
+    assert [(r.session_id, r["count"], r.complete) for rows in seen.values() for r in rows if r.session_id == 1] == [(1, 2, True)]
