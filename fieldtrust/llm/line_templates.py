@@ -28,7 +28,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from fieldtrust.llm.buckets import block_rows, dealt, joined
-from fieldtrust.llm.common import keep_ids, saved, small_batches
+from fieldtrust.llm.common import keep_ids, passing, saved, small_batches
 
 #: Leading tokens that make a leaf.
 DEPTH = 3
@@ -274,23 +274,24 @@ def templates(docs: DataFrame, lines: DataFrame) -> DataFrame:
 def dropped_lines(docs: DataFrame) -> DataFrame:
     """doc_id, dropped: the numbers of the lines that go, for documents that lose any."""
     small_batches(docs.sparkSession)
-    lines = saved(parsed_lines(docs), "lines")
-    grown = saved(templates(docs, lines), "grown")
-    named = saved(lines.drop("sketch").join(grown, ["leaf", "template"], "left").withColumn("grown", F.coalesce("grown", "template")), "named")
-    counts = named.select("leaf", "grown", "doc_id").distinct().groupBy("leaf", "grown").agg(F.count("*").alias("n")).where("n > 1")
-    counted = saved(named.select("doc_id", "line_no", "n_tokens", "leaf", "grown").join(saved(counts, "counts"), ["leaf", "grown"], "left").withColumn("n", F.coalesce("n", F.lit(1))), "counted")
-    shared = counted.where("n > 1")
-    concerned = saved(shared.select("doc_id").distinct(), "concerned")
-    apart = saved(rarest(keep_ids(lines, concerned, "doc_id"), keep_ids(counted, concerned, "doc_id")), "apart")
-    rarer = F.when(F.col("n_tokens") >= LONG_TOKENS, F.lit(LONG_TIMES)).otherwise(F.lit(TIMES))
-    beside = saved(shared.join(apart, "doc_id").withColumn("own", F.col("n") >= rarer * F.col("rare")), "beside")
-    # the documents that are not apart have a null key together
-    classes = beside.select("leaf", "grown", F.when(F.col("own"), F.col("key")).alias("key")).distinct().groupBy("leaf", "grown").agg(F.count("*").alias("classes"))
-    least = F.when(F.col("n_tokens") >= LONG_TOKENS, F.lit(LONG_DOCS)).otherwise(F.lit(DOCS))
-    # a document that is not apart may consist of boilerplate only: then most of the others are
-    goes = (F.col("classes") >= least) & (F.col("own") | (F.col("classes") * TIMES >= F.col("n")))
-    found = beside.join(saved(classes.where(F.col("classes") >= min(DOCS, LONG_DOCS)), "classes"), ["leaf", "grown"]).where(goes)
-    return saved(found.groupBy("doc_id").agg(F.array_sort(F.collect_set("line_no")).alias("dropped")), "dropped")
+    with passing(docs.sparkSession):
+        lines = saved(parsed_lines(docs), "lines")
+        grown = saved(templates(docs, lines), "grown")
+        named = saved(lines.drop("sketch").join(grown, ["leaf", "template"], "left").withColumn("grown", F.coalesce("grown", "template")), "named")
+        counts = named.select("leaf", "grown", "doc_id").distinct().groupBy("leaf", "grown").agg(F.count("*").alias("n")).where("n > 1")
+        counted = saved(named.select("doc_id", "line_no", "n_tokens", "leaf", "grown").join(saved(counts, "counts"), ["leaf", "grown"], "left").withColumn("n", F.coalesce("n", F.lit(1))), "counted")
+        shared = counted.where("n > 1")
+        concerned = saved(shared.select("doc_id").distinct(), "concerned")
+        apart = saved(rarest(keep_ids(lines, concerned, "doc_id"), keep_ids(counted, concerned, "doc_id")), "apart")
+        rarer = F.when(F.col("n_tokens") >= LONG_TOKENS, F.lit(LONG_TIMES)).otherwise(F.lit(TIMES))
+        beside = saved(shared.join(apart, "doc_id").withColumn("own", F.col("n") >= rarer * F.col("rare")), "beside")
+        # the documents that are not apart have a null key together
+        classes = beside.select("leaf", "grown", F.when(F.col("own"), F.col("key")).alias("key")).distinct().groupBy("leaf", "grown").agg(F.count("*").alias("classes"))
+        least = F.when(F.col("n_tokens") >= LONG_TOKENS, F.lit(LONG_DOCS)).otherwise(F.lit(DOCS))
+        # a document that is not apart may consist of boilerplate only: then most of the others are
+        goes = (F.col("classes") >= least) & (F.col("own") | (F.col("classes") * TIMES >= F.col("n")))
+        found = beside.join(saved(classes.where(F.col("classes") >= min(DOCS, LONG_DOCS)), "classes"), ["leaf", "grown"]).where(goes)
+        return saved(found.groupBy("doc_id").agg(F.array_sort(F.collect_set("line_no")).alias("dropped")), "dropped", lasting=True)
 
 
 def rarest(lines: DataFrame, counted: DataFrame) -> DataFrame:
