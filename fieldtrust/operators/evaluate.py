@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from fieldtrust.operators.ranking import mass_bin, with_rank
+from fieldtrust.operators.scan import running_sums
 
 
 def share(test: Column, among: Column | None = None) -> Column:
@@ -86,30 +87,29 @@ def selective_risk(scores: DataFrame, steps: int = 20) -> DataFrame:
     return reached.crossJoin(F.broadcast(total)).select((F.col("step") / float(steps)).alias("threshold"), (F.col("n") / F.col("total")).alias("coverage"), (1 - F.col("right") / F.col("n")).alias("error"))
 
 
-def choose_threshold(scores: DataFrame, target: float = 0.99) -> DataFrame:
-    """tau, coverage: the smallest score rounded to 4 places at and above which the precision reaches the target; 1.01
-    and 0 if there is none. Scores (p, y) are counted by value; a suffix sum runs over distinct values."""
-    values = scores.groupBy(F.round("p", 4).alias("tau"), "p").agg(F.count("*").alias("n"), F.sum("y").alias("right"))
-    total = scores.agg(F.count("*").alias("total"))
-    candidates = values.select("tau").distinct()
-    # a score counts for a candidate if it reaches it unrounded: its own candidate or the next smaller one
-    marks = values.select(F.col("p").alias("at"), F.lit(0).alias("kind"), "n", "right").unionByName(candidates.select(F.col("tau").alias("at"), F.lit(1).alias("kind"), F.lit(0).cast("long").alias("n"), F.lit(0).cast("long").alias("right")))
-    summed = suffix_sums(marks, ["n", "right"])
-    fit = summed.where("kind = 1 and n_from > 0").where(F.col("right_from") / F.col("n_from") >= target).agg(F.min(F.struct("at", "n_from")).alias("best"))
-    return fit.crossJoin(total).select(F.coalesce("best.at", F.lit(1.01)).alias("tau"), F.coalesce(F.col("best.n_from") / F.col("total"), F.lit(0.0)).alias("coverage"))
+def choose_thresholds(scores: DataFrame, target: float = 0.99) -> DataFrame:
+    """grp, tau, coverage for each group of scores (grp, p, y): the smallest score rounded to 4 places at and above which the
+    precision reaches the target; 1.01 and 0 if there is none.
 
+    Scores are counted by value; one running sum over the ranges of (group, falling value) serves all groups. A null score
+    is in the total but reaches no threshold."""
+    values = scores.where("p is not null").groupBy("grp", "p").agg(F.count("*").alias("n"), F.sum(F.col("y").cast("long")).alias("right"))
+    # a score counts for a candidate if it reaches it unrounded: its own candidate or the next smaller one
+    none = F.lit(0).cast("long")
+    marks = F.array(F.struct(F.col("p").alias("at"), F.lit(0).alias("kind"), "n", "right"), F.struct(F.round("p", 4).alias("at"), F.lit(1).alias("kind"), none.alias("n"), none.alias("right")))
+    at_once = values.select("grp", F.explode(marks).alias("m")).select("grp", "m.*").groupBy("grp", "at").agg(F.max("kind").alias("kind"), F.sum("n").alias("n"), F.sum("right").alias("right"))
+    summed = running_sums(at_once, ["grp", F.desc("at")], {"n_from": "n", "right_from": "right"})
+    base = summed.groupBy(F.col("grp").alias("_grp")).agg(F.min(F.col("n_from") - F.col("n")).alias("n_base"), F.min(F.col("right_from") - F.col("right")).alias("right_base"))  # what the groups before add up to
+    total = scores.groupBy("grp").agg(F.count("*").alias("total"))
+    own = summed.where("kind = 1").join(base, F.col("grp").eqNullSafe(F.col("_grp"))).select("grp", "at", (F.col("n_from") - F.col("n_base")).alias("n"), (F.col("right_from") - F.col("right_base")).alias("right"))
+    fit = own.where("n > 0").where(F.col("right") / F.col("n") >= target).groupBy(F.col("grp").alias("_grp")).agg(F.min(F.struct("at", "n")).alias("best"))
+    joined = total.join(fit, F.col("grp").eqNullSafe(F.col("_grp")), "left")
+    return joined.select("grp", F.coalesce("best.at", F.lit(1.01)).alias("tau"), F.coalesce(F.col("best.n") / F.col("total"), F.lit(0.0)).alias("coverage"))
 
-def suffix_sums(marks: DataFrame, columns: list[str]) -> DataFrame:
-    """Adds <column>_from, the sum over rows at or above `at`. Rows are bucketed by value; sums over the buckets (10,001
-    at most) meet those within one bucket."""
-    from pyspark.sql import Window
 
-    bucketed = marks.withColumn("_b", F.floor(F.col("at") * 10_000))
-    per = bucketed.groupBy("_b").agg(*[F.sum(c).alias(f"_{c}") for c in columns])
-    above = Window.orderBy(F.desc("_b")).rowsBetween(Window.unboundedPreceding, -1)
-    offsets = per.select("_b", *[F.coalesce(F.sum(f"_{c}").over(above), F.lit(0)).alias(f"_{c}") for c in columns])
-    inside = Window.partitionBy("_b").orderBy(F.desc("at")).rangeBetween(Window.unboundedPreceding, Window.currentRow)
-    return bucketed.join(F.broadcast(offsets), "_b").select(*marks.columns, *[(F.sum(c).over(inside) + F.col(f"_{c}")).alias(f"{c}_from") for c in columns])
+def choose_threshold(scores: DataFrame, target: float = 0.99) -> DataFrame:
+    """tau, coverage over all scores (p, y) together; see choose_thresholds."""
+    return choose_thresholds(scores.select(F.lit(0).alias("grp"), "p", "y"), target).drop("grp")
 
 
 def routing_metrics(sessions: DataFrame) -> DataFrame:

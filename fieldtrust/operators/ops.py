@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import hashlib
+from bisect import bisect_right
 from collections.abc import Callable, Iterator
 from typing import Any
 
@@ -13,6 +14,7 @@ from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import StructType
 
 from fieldtrust.functions.text import western_digits
+from fieldtrust.operators.scan import Fold, folded, with_previous
 
 # fixed values: seconds between delivery attempts, and how long they go on
 RETRY_SECONDS, RETRY_HOURS = [30, 120, 600, 1800, 3600, 7200, 14400], 24
@@ -210,38 +212,120 @@ def carried(rows: DataFrame, keys: list[str], order: list[str], schema: str, sta
     return placed.mapInArrow(folded, out_schema)
 
 
+class WindowStretch:
+    """Requests of one key: the latest time in them. A window that ends after it stays as it is."""
+
+    def __init__(self) -> None:
+        self.last: int | None = None
+
+    def add(self, r: dict) -> None:
+        if r["micros"] is not None:
+            self.last = r["micros"] if self.last is None else max(self.last, r["micros"])
+
+    def through(self, state: tuple) -> tuple | None:
+        until = state[0]
+        return state if until is not None and (self.last is None or self.last < until) else None
+
+
 def idempotent(requests: DataFrame, hours: int = 24) -> DataFrame:
     """Adds verdict to requests (tenant_id, key, ts, request_id, hash): run starts a window of some hours for its key;
-    within it the same hash is a replay, another one a conflict. One pass over the ordered requests of each key."""
-    span = hours * 3_600_000_000
+    within it another hash is a conflict, the same one a replay. With done_at (and ok), the time at which the request was
+    answered, null if never, a repetition before that is in_progress; a run that failed (ok false) frees its key at that
+    time. Without these columns every request is answered at once.
 
-    def step(state: tuple, r: dict) -> tuple[tuple, tuple]:
-        at, first = state
-        if at is None or (r["micros"] is not None and r["micros"] >= at + span):
-            return (r["micros"], r["hash"]), (r["request_id"], "run")
-        return state, (r["request_id"], "replay" if first is not None and first == r["hash"] else "conflict")
+    A key may have any number of rows: they are folded in ranges of time, and only ranges in which a window begins are run
+    through to know where the next one stands. Rows without a time come last."""
+    span, answered = hours * 3_600_000_000, "done_at" in requests.columns
 
-    rows = requests.select("tenant_id", "key", F.unix_micros(F.col("ts").cast("timestamp")).alias("micros"), F.col("request_id").cast("long").alias("request_id"), "hash")
-    return carried(rows, ["tenant_id", "key"], ["micros", "request_id", "hash"], "request_id long, verdict string", lambda r: (None, None), step)
+    def step(state: tuple, r: dict) -> tuple[tuple, tuple]:
+        until, first, done = state
+        now = r["micros"]
+        if until is None or (now is not None and now >= until):
+            end = None if now is None else now + span
+            if answered and r["ok"] is False and r["done"] is not None:
+                end = r["done"] if end is None else min(end, r["done"])
+            return (end, r["hash"], r["done"] if answered else now), (r["request_id"], "run")
+        if first is None or first != r["hash"]:
+            return state, (r["request_id"], "conflict")
+        return state, (r["request_id"], "in_progress" if answered and (done is None or now is None or done > now) else "replay")
+
+    micros = lambda c: F.unix_micros(F.col(c).cast("timestamp"))
+    more = [micros("done_at").alias("done"), (F.col("ok") if "ok" in requests.columns else F.lit(True)).alias("ok")] if answered else []
+    rows = requests.select("tenant_id", "key", micros("ts").alias("micros"), F.col("request_id").cast("long").alias("request_id"), "hash", *more)
+    fold = Fold(lambda r: (None, None, None), step, WindowStretch)
+    return folded(rows, ["tenant_id", "key"], ["micros", "request_id", "hash"], "request_id long, verdict string", fold)
+
+
+class BucketStretch:
+    """Events of one key as a map of the bucket's level: at the first event (after its refill) to that after the last one.
+
+    Levels are whole numbers, `token` of which are one token. pieces: (from, moves, value) in the order of from: a level
+    from there on becomes level + value if moves, else value. Levels that agree merge again, so pieces stay few."""
+
+    def __init__(self, rate: int, cap: int, token: int) -> None:
+        self.rate, self.cap, self.token = rate, cap, token
+        self.first = self.last = None
+        self.pieces: list[tuple[int, bool, int]] | None = None
+
+    def add(self, r: dict) -> None:
+        now = r["micros"]
+        if self.pieces is None:
+            self.first, self.pieces = now, [(0, True, 0)]
+        elif now is not None and self.last is not None:
+            self.pieces = self.cut(self.cap, [(a, m, v + (now - self.last) * self.rate) for a, m, v in self.pieces], lambda m, v: (False, self.cap))
+        if now is not None:
+            self.last = now
+        self.pieces = self.cut(self.token, self.pieces, lambda m, v: (m, v - self.token))
+
+    def cut(self, edge: int, pieces: list[tuple[int, bool, int]], above: Callable) -> list[tuple[int, bool, int]]:
+        """pieces with above(moves, value) in place of those parts that give at least edge."""
+        out: list[tuple[int, bool, int]] = []
+        for i, (a, m, v) in enumerate(pieces):
+            end = pieces[i + 1][0] if i + 1 < len(pieces) else self.cap + 1
+            at = max(a, edge - v) if m else (a if v >= edge else end)
+            for start, stop, piece in ((a, min(at, end), (m, v)), (at, end, above(m, v))):
+                if start < stop and (not out or out[-1][1:] != piece):
+                    out.append((start, *piece))
+        return out
+
+    def through(self, state: tuple) -> tuple:
+        level, at = state
+        if self.first is not None and at is not None:
+            level = min(self.cap, level + (self.first - at) * self.rate)
+        _, moves, value = self.pieces[bisect_right(self.pieces, level, key=lambda p: p[0]) - 1]
+        return level + value if moves else value, at if self.last is None else self.last
 
 
 def rate_limit(events: DataFrame, per_minute: int) -> DataFrame:
-    """event_id, allowed, wait_seconds of a token bucket for each key (key, event_id, ts), refilled evenly, full at first."""
-    rate = per_minute / 60e6
+    """event_id, allowed, wait_seconds of a token bucket for each key (key, event_id, ts), refilled evenly, full at first;
+    without a limit (0) all are allowed.
+
+    A key may have any number of rows: each range of its time is summed up as a map of the bucket's level, the maps are
+    composed, and the ranges are then played from the levels they begin with. Levels are exact whole numbers (a token is
+    60 million, a microsecond adds per_minute). Rows without a time come last and refill nothing."""
+    token = 60_000_000
+    cap = per_minute * token
+    if per_minute <= 0:
+        return events.select("key", F.col("event_id").cast("long").alias("event_id"), F.lit(True).alias("allowed"), F.lit(0.0).alias("wait_seconds"))
 
     def step(state: tuple, r: dict) -> tuple[tuple, tuple]:
-        tokens, at = state
+        level, at = state
         now = r["micros"]
-        have = min(float(per_minute), tokens + (0 if now is None or at is None else now - at) * rate)
-        ok = have >= 1
-        return (have - ok, now), (r["event_id"], ok, 0.0 if ok else (1 - have) / (rate * 1e6))
+        have = level if now is None or at is None else min(cap, level + (now - at) * per_minute)
+        ok = have >= token
+        return (have - token * ok, at if now is None else now), (r["event_id"], ok, 0.0 if ok else (token - have) / per_minute / 1e6)
 
     rows = events.select("key", F.unix_micros(F.col("ts").cast("timestamp")).alias("micros"), F.col("event_id").cast("long").alias("event_id"))
-    return carried(rows, ["key"], ["micros", "event_id"], "event_id long, allowed boolean, wait_seconds double", lambda r: (float(per_minute), None), step)
+    fold = Fold(lambda r: (cap, None), step, lambda: BucketStretch(per_minute, cap, token))
+    return folded(rows, ["key"], ["micros", "event_id"], "event_id long, allowed boolean, wait_seconds double", fold)
 
 
 def append_audit(events: DataFrame, heads: DataFrame | None = None) -> DataFrame:
-    """tenant_id, id, body, prev_hash, hash: each tenant's new events (tenant_id, id, body) chained to its last hash."""
+    """tenant_id, id, body, prev_hash, hash: each tenant's new events (tenant_id, id, body) chained to its last hash.
+
+    A chain of hashes has no shorter way: the new events of one tenant go through one task, whose state is one hash. Run
+    it by ranges of ids, each from the heads of the one before, where one tenant has more new events than a task should
+    see; verify_audit() has no such limit."""
     rows = events.select("tenant_id", F.col("id").cast("long").alias("id"), "body")
     rows = rows.withColumn("head", F.lit(GENESIS)) if heads is None else rows.join(heads.select("tenant_id", F.col("hash").alias("head")), "tenant_id", "left").withColumn("head", F.coalesce("head", F.lit(GENESIS)))
 
@@ -253,10 +337,12 @@ def append_audit(events: DataFrame, heads: DataFrame | None = None) -> DataFrame
 
 
 def verify_audit(log: DataFrame) -> DataFrame:
-    """tenant_id, intact, first_bad: each stored hash is checked against its row and the one before, row by row."""
-    before = F.coalesce(F.lag("hash").over(Window.partitionBy("tenant_id").orderBy("id")), F.lit(GENESIS))
-    bad = (F.col("prev_hash") != F.col("_before")) | (F.col("hash") != F.sha2(F.concat("prev_hash", "body"), 256))
-    return log.withColumn("_before", before).groupBy("tenant_id").agg(F.min(F.when(bad, F.col("id"))).alias("first_bad")).select("tenant_id", F.col("first_bad").isNull().alias("intact"), "first_bad")
+    """tenant_id, intact, first_bad: each stored hash is checked against its row and the one before (ids are unique within a
+    tenant). A tenant's log lies in several ranges of ids; the last hash of each is handed to the next."""
+    linked = with_previous(log, ["tenant_id"], ["id"], {"_before": "hash"})
+    before = F.coalesce("_before", F.lit(GENESIS))
+    good = (F.col("prev_hash") == before) & (F.col("hash") == F.sha2(F.concat("prev_hash", "body"), 256))
+    return linked.groupBy("tenant_id").agg(F.min(F.when(~F.coalesce(good, F.lit(False)), F.col("id"))).alias("first_bad")).select("tenant_id", F.col("first_bad").isNull().alias("intact"), "first_bad")
 
 
 def call_metrics(calls: DataFrame, by: list[str]) -> DataFrame:

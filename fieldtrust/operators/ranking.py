@@ -2,24 +2,15 @@
 
 from __future__ import annotations
 
-from pyspark import StorageLevel
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from fieldtrust.operators.scan import running_sums
 
-def with_rank(df: DataFrame, *order: str, out: str = "rank") -> DataFrame:
-    """Adds a 1-based row number over the whole table. order must be total (end it with an id).
 
-    Rows are range-partitioned, numbered within partitions and shifted by the sizes of those before: one number for
-    each partition is gathered. The partitioned table is persisted, as both passes must see the same ranges.
-    """
-    n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    ranged = df.repartitionByRange(n, *order).withColumn("_part", F.spark_partition_id()).persist(StorageLevel.MEMORY_AND_DISK)
-    sizes = ranged.groupBy("_part").agg(F.count("*").alias("_n"))
-    before = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)  # as many rows as partitions
-    offsets = sizes.select("_part", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_first"))
-    inside = F.row_number().over(Window.partitionBy("_part").orderBy(*order))
-    return ranged.withColumn("_k", inside).join(F.broadcast(offsets), "_part").withColumn(out, F.col("_first") + F.col("_k")).drop("_part", "_first", "_k")
+def with_rank(df: DataFrame, *order: str, out: str = "rank") -> DataFrame:
+    """Adds a 1-based row number over the whole table. order must be total (end it with an id)."""
+    return running_sums(df, list(order), {out: None})
 
 
 def mass_bin(rank: Column, n: Column, bins: int) -> Column:

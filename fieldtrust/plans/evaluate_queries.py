@@ -6,7 +6,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from fieldtrust.functions.text import character_error_rate
+from fieldtrust.operators import calibrate as C
 from fieldtrust.operators import evaluate as E
+from fieldtrust.operators import merge as M
 from fieldtrust.plans.base import Registry, for_spark, table
 
 R = Registry()
@@ -104,6 +106,52 @@ def _(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(E.choose_threshold(scores(spark, sf_dir), 0.9), "coverage")
 
 
+@R.add(
+    "cal_05_thresholds_by_group",
+    "WITH fx AS (" + SCORES + "), t AS (SELECT DISTINCT grp, round(p, 4) AS tau FROM fx), s AS (SELECT t.grp, tau, count(*) AS n, avg(y) AS pr FROM t JOIN fx ON fx.grp = t.grp AND p >= tau GROUP BY ALL), g AS (SELECT grp, min(tau) AS tau, arg_min(n, tau) AS n FROM s WHERE pr >= 0.9 GROUP BY grp) "
+    "SELECT a.grp, coalesce(tau, 1.01) AS tau, round(coalesce(n * 1.0E0 / total, 0.0), 6) AS coverage FROM (SELECT grp, count(*) AS total FROM fx GROUP BY grp) a LEFT JOIN g ON a.grp = g.grp",
+)
+def _(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rounded(E.choose_thresholds(scores(spark, sf_dir), 0.9), "coverage")
+
+
+FITS = "SELECT l_returnflag AS grp, l_quantity / 50.0E0 AS a, l_discount * 10.0E0 AS b, CASE WHEN (l_partkey * 7 + l_suppkey * 3 + CAST(l_quantity AS BIGINT) * 5) % 101 < 20 + CAST(l_quantity AS BIGINT) THEN 1 ELSE 0 END AS y FROM {lineitem}"
+#: One Newton step in SQL: sums by group, then the three unknowns by Cramer's rule.
+NEWTON = """,
+s{n} AS MATERIALIZED (SELECT fx.grp, any_value(u) AS u, any_value(v) AS v, any_value(w) AS w, sum(e * a) + any_value(u) AS g1, sum(e * b) + any_value(v) AS g2, sum(e) AS g3,
+    sum(q * a * a) + 1 AS h11, sum(q * a * b) AS h12, sum(q * a) AS h13, sum(q * b * b) + 1 AS h22, sum(q * b) AS h23, sum(q) AS h33
+    FROM (SELECT fx.*, u, v, w, 1 / (1 + exp(-(u * a + v * b + w))) - y AS e, exp(-(u * a + v * b + w)) / pow(1 + exp(-(u * a + v * b + w)), 2) AS q FROM fx JOIN m{n} m ON fx.grp = m.grp) fx GROUP BY fx.grp),
+m{m} AS MATERIALIZED (SELECT grp, u - (g1 * (h22 * h33 - h23 * h23) - h12 * (g2 * h33 - h23 * g3) + h13 * (g2 * h23 - h22 * g3)) / d AS u,
+    v - (h11 * (g2 * h33 - h23 * g3) - g1 * (h12 * h33 - h23 * h13) + h13 * (h12 * g3 - g2 * h13)) / d AS v, w - (h11 * (h22 * g3 - g2 * h23) - h12 * (h12 * g3 - g2 * h13) + g1 * (h12 * h23 - h22 * h13)) / d AS w
+    FROM (SELECT *, h11 * (h22 * h33 - h23 * h23) - h12 * (h12 * h33 - h23 * h13) + h13 * (h12 * h23 - h22 * h13) AS d FROM s{n}))"""
+
+
+@R.add(
+    "cal_02_fit_logistic",
+    "WITH fx AS MATERIALIZED (" + FITS + "), m0 AS MATERIALIZED (SELECT DISTINCT grp, 0.0E0 AS u, 0.0E0 AS v, 0.0E0 AS w FROM fx)" + "".join(NEWTON.replace("{n}", str(i)).replace("{m}", str(i + 1)) for i in range(8)) + " SELECT grp, round(u, 5) AS weight_a, round(v, 5) AS weight_b, round(w, 5) AS bias FROM m8",
+)
+def _(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = for_spark(spark, sf_dir, FITS).select("grp", F.array(F.col("a").cast("double"), F.col("b").cast("double")).alias("vector"), "y")
+    return C.fit_logistic(rows).select("grp", F.round(F.get("weights", F.lit(0)), 5).alias("weight_a"), F.round(F.get("weights", F.lit(1)), 5).alias("weight_b"), F.round("bias", 5).alias("bias"))
+
+
+RAW = "SELECT l_linestatus AS grp, CAST((l_partkey * 13 + l_suppkey) % 200 AS BIGINT) AS k, CASE WHEN (l_orderkey * 31 + l_linenumber * 17) % 200 < (l_partkey * 13 + l_suppkey) % 200 THEN 1 ELSE 0 END AS y FROM {lineitem}"
+
+
+@R.add(
+    "cal_03_fit_isotonic",
+    # the fitted value is the largest, over the points up to its own, of the smallest mean that begins there and reaches beyond it
+    "WITH v AS (SELECT grp, k, count(*) AS n, sum(y) AS s FROM (" + RAW + ") GROUP BY ALL), c AS (SELECT grp, k, sum(n) OVER w AS nn, sum(s) OVER w AS ss, n, s FROM v WINDOW w AS (PARTITION BY grp ORDER BY k)), "
+    "m AS (SELECT i.grp, i.k, h.k AS upto, (h.ss - i.ss + i.s) * 1.0E0 / (h.nn - i.nn + i.n) AS mean FROM c i JOIN c h ON h.grp = i.grp AND h.k >= i.k), "
+    "f AS (SELECT grp, k, upto, min(mean) OVER (PARTITION BY grp, k ORDER BY upto DESC) AS least FROM m) SELECT grp, upto / 200.0E0 AS p, round(max(least), 6) AS fitted FROM f GROUP BY grp, upto",
+)
+def _(spark: SparkSession, sf_dir: str) -> DataFrame:
+    points = for_spark(spark, sf_dir, RAW).select("grp", (F.col("k") / 200.0).alias("p"), "y")
+    knots = C.fit_isotonic(points)
+    asked = points.select("grp", "p").distinct().join(F.broadcast(knots), "grp")  # one row of knots for each of two groups
+    return asked.select("grp", "p", F.round(M.interpolated(F.col("p"), F.col("iso_x"), F.col("iso_y")), 6).alias("fitted"))
+
+
 @R.add("cal_07_calibration_summary", "WITH fx AS (" + SCORES + ") SELECT grp, count(*) AS n, round(avg((p >= 0.5)::INT), 6) AS coverage, round(avg(CASE WHEN p >= 0.5 THEN y END), 6) AS precision_at_tau FROM fx GROUP BY grp")
 def _(spark: SparkSession, sf_dir: str) -> DataFrame:
     accepted = F.col("p") >= 0.5

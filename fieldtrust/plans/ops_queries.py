@@ -177,9 +177,31 @@ def _(spark: SparkSession, sf_dir: str) -> DataFrame:
     return O.idempotent(fx(spark, sf_dir, REQUESTS))
 
 
-@R.add("ops_21_rate_limit")
+#: Requests are answered after up to 40 minutes, or never; some fail.
+ANSWERS = "SELECT CAST(user_id % 3 AS STRING) AS tenant_id, user_id % 20 AS key, ts, event_id AS request_id, event_type AS hash, CASE WHEN event_id % 11 <> 0 THEN ts + INTERVAL '1' MINUTE * (event_id % 40) END AS done_at, event_id % 7 <> 0 AS ok FROM {events}"
+
+
+@R.add(
+    "ops_20_in_progress",
+    "WITH RECURSIVE fx AS (SELECT *, row_number() OVER (PARTITION BY tenant_id, key ORDER BY ts, request_id) AS n, least(ts + INTERVAL 24 HOUR, CASE WHEN NOT ok THEN done_at END) AS until FROM (" + ANSWERS + ")), "
+    "w AS (SELECT tenant_id, key, n, request_id, until AS ends, hash, done_at AS done, 'run' AS verdict FROM fx WHERE n = 1 "
+    "UNION ALL SELECT fx.tenant_id, fx.key, fx.n, fx.request_id, CASE WHEN fx.ts >= w.ends THEN fx.until ELSE w.ends END, CASE WHEN fx.ts >= w.ends THEN fx.hash ELSE w.hash END, CASE WHEN fx.ts >= w.ends THEN fx.done_at ELSE w.done END, "
+    "CASE WHEN fx.ts >= w.ends THEN 'run' WHEN fx.hash <> w.hash THEN 'conflict' WHEN w.done <= fx.ts THEN 'replay' ELSE 'in_progress' END FROM w JOIN fx ON fx.tenant_id = w.tenant_id AND fx.key = w.key AND fx.n = w.n + 1) SELECT tenant_id, key, request_id, verdict FROM w",
+)
+def _(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return O.idempotent(fx(spark, sf_dir, ANSWERS))
+
+
+@R.add(
+    "ops_21_rate_limit",
+    "WITH RECURSIVE fx AS (SELECT user_id % 20 AS key, event_id, epoch_us(ts) AS us, row_number() OVER (PARTITION BY user_id % 20 ORDER BY ts, event_id) AS n FROM {events}), "
+    "w AS (SELECT key, n, event_id, us, 180000000::BIGINT AS have FROM fx WHERE n = 1 "
+    "UNION ALL SELECT fx.key, fx.n, fx.event_id, fx.us, least(180000000, w.have - CASE WHEN w.have >= 60000000 THEN 60000000 ELSE 0 END + (fx.us - w.us) * 3) FROM w JOIN fx ON fx.key = w.key AND fx.n = w.n + 1) "
+    "SELECT key, event_id, have >= 60000000 AS allowed, round(greatest(60000000 - have, 0) / 3e6, 6) AS wait_seconds FROM w",
+)
 def _(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return O.rate_limit(fx(spark, sf_dir, "SELECT user_id % 20 AS key, event_id, ts FROM {events}"), 3)
+    limited = O.rate_limit(fx(spark, sf_dir, "SELECT user_id % 20 AS key, event_id, ts FROM {events}"), 3)
+    return limited.withColumn("wait_seconds", F.round("wait_seconds", 6))
 
 
 CHAIN = (

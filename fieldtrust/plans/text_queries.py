@@ -194,16 +194,23 @@ def _(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fx(spark, sf_dir, METRICS).select("id", F.array_join(E.quality_issues(), ",").alias("issues"))
 
 
-BOXES = "SELECT l_orderkey, l_linenumber, l_partkey % 50 AS x0, l_suppkey % 50 AS y0, l_partkey % 50 + 20 AS x1, l_suppkey % 50 + 10 AS y1, CAST(l_quantity AS BIGINT) AS ox0, l_suppkey % 40 AS oy0, CAST(l_quantity AS BIGINT) + 15 AS ox1, l_suppkey % 40 + 12 AS oy1 FROM {lineitem}"
+BOXES = "SELECT DISTINCT l_orderkey AS capture, CAST(l_linenumber AS STRING) || '-' || CAST(l_partkey AS STRING) || '-' || CAST(l_suppkey AS STRING) AS field, l_partkey % 90 - 5 AS x0, l_suppkey % 90 - 5 AS y0, l_partkey % 90 + 15 AS x1, l_suppkey % 90 + 7 AS y1 FROM {lineitem}"
+#: Two obstacles for each line of a capture; many overlap each other.
+OBSTACLES = "SELECT l_orderkey AS capture, CAST(l_quantity AS BIGINT) + k * 7 AS ox0, l_partkey % 60 + k * 5 AS oy0, CAST(l_quantity AS BIGINT) + k * 7 + 12 AS ox1, l_partkey % 60 + k * 5 + 14 AS oy1 FROM {lineitem} CROSS JOIN (VALUES (0), (1)) AS v(k)"
 
 
 @R.add(
     "ext_12_occluded_fields",
-    "WITH fx AS (" + BOXES + "), c AS (SELECT l_orderkey, l_linenumber, greatest(0, least(x1, ox1) - greatest(x0, ox0)) * greatest(0, least(y1, oy1) - greatest(y0, oy0)) * 1.0E0 / ((x1 - x0) * (y1 - y0)) AS s FROM fx) SELECT l_orderkey, l_linenumber, round(s, 6) AS covered, s >= 0.25 AS unreadable FROM c",
+    # the union is counted by unit squares: all corners are integers
+    "WITH fx AS (SELECT *, greatest(x0, 0) AS a0, greatest(y0, 0) AS b0, least(x1, 80) AS a1, least(y1, 80) AS b1 FROM (" + BOXES + ")), o AS (SELECT DISTINCT * FROM (" + OBSTACLES + ")), "
+    "r AS (SELECT capture, field, greatest(a0, ox0) AS c0, greatest(b0, oy0) AS d0, least(a1, ox1) AS c1, least(b1, oy1) AS d1 FROM fx JOIN o USING (capture)), "
+    "q AS (SELECT capture, field, c0, d0, c1, d1, unnest(range(c0, c1)) AS x FROM r WHERE c0 < c1 AND d0 < d1), s AS (SELECT capture, field, count(*) AS n FROM (SELECT DISTINCT capture, field, x, unnest(range(d0, d1)) AS y FROM q) GROUP BY ALL), "
+    "v AS (SELECT capture, field, greatest(a1 - a0, 0) * greatest(b1 - b0, 0) AS seen, (x1 - x0) * (y1 - y0) AS area FROM fx) "
+    "SELECT v.capture, v.field, round(seen * 1.0E0 / area, 6) AS visible, round(CASE WHEN seen > 0 THEN coalesce(n, 0) * 1.0E0 / seen ELSE 0 END, 6) AS covered, seen * 10 < area * 9 OR (seen > 0 AND coalesce(n, 0) * 4 >= seen) AS unreadable FROM v LEFT JOIN s USING (capture, field)",
 )
 def _(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = fx(spark, sf_dir, BOXES).withColumn("covered", E.covered_share())
-    return rows.select("l_orderkey", "l_linenumber", F.round("covered", 6).alias("covered"), (F.col("covered") >= E.COVERED).alias("unreadable"))
+    found = E.occluded_fields(fx(spark, sf_dir, BOXES), fx(spark, sf_dir, OBSTACLES), ["capture"], (0, 0, 80, 80))
+    return found.withColumns({"visible": F.round("visible", 6), "covered": F.round("covered", 6)})
 
 
 DAYS = "SELECT l_orderkey AS session_id, l_linenumber AS slot, CAST(l_shipdate AS DATE) AS issue, CAST(CAST(substring(CAST(CAST(l_shipdate AS DATE) AS STRING), 1, 4) AS INT) + 10 AS STRING) || '-' || lpad(CAST(l_partkey % 12 + 1 AS STRING), 2, '0') || '-15' AS expiry_text FROM {lineitem}"

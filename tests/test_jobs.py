@@ -27,8 +27,36 @@ def test_logistic_equals_newton(spark):
     for _ in range(50):
         p = 1 / (1 + np.exp(-a @ w))
         w -= np.linalg.solve((a * (p * (1 - p))[:, None]).T @ a + reg, a.T @ (p - y) + reg @ w)
-    weights, bias = C.fit_logistic(spark.createDataFrame([(r.tolist(), float(v)) for r, v in zip(x, y, strict=True)], "vector array<double>, y double"))
-    assert [*weights, bias] == pytest.approx(w.tolist(), abs=1e-4)
+    rows = [("all", r.tolist(), float(v)) for r, v in zip(x, y, strict=True)] + [(None, r.tolist(), float(v)) for r, v in zip(-x, y, strict=True)] + [("none", None, 1.0), ("none", [1.0, 2.0, 3.0], None)]
+    got = {r.grp: [*r.weights, r.bias] for r in C.fit_logistic(spark.createDataFrame(rows, "grp string, vector array<double>, y double")).collect()}
+    assert got.keys() == {"all", None} and got["all"] == pytest.approx(w.tolist(), abs=1e-7)
+    assert got[None] == pytest.approx([*(-w[:3]), w[3]], abs=1e-7)
+    assert C.fit_logistic(spark.createDataFrame([], "grp string, vector array<double>, y double")).count() == 0
+
+
+def test_isotonic_blocks_of_all_ranges_equal_one_pass(spark):
+    """Groups that lie in many ranges, with ties, against pooling the points one after another."""
+    rng = random.Random(3)
+    rows = [(g, round(rng.random(), 3), int(rng.random() < (0.2 if g == "flat" else 0.1 + 0.8 * rng.random()))) for g in ("a", "flat", None) for _ in range(1500)]
+    rows += [("a", p / 100, int(rng.random() < p / 100)) for p in range(100)] + [("one", 0.5, 1), ("a", None, 1), ("a", 0.5, None)]
+    got = {}
+    for r in C.isotonic_blocks(spark.createDataFrame(rows, "grp string, p double, y int").repartition(5)).collect():
+        got.setdefault(r.grp, []).append((r.lo, r.hi, r.n, r.mean))
+    for g in ("a", "flat", None, "one"):
+        points = {}
+        for k, p, y in rows:
+            if k == g and p is not None and y is not None:
+                n, s = points.get(p, (0, 0))
+                points[p] = (n + 1, s + y)
+        blocks = []
+        for p, (n, s) in sorted(points.items()):
+            blocks.append([p, p, n, s])
+            while len(blocks) > 1 and blocks[-2][3] / blocks[-2][2] >= blocks[-1][3] / blocks[-1][2]:
+                _, hi, n, s = blocks.pop()
+                blocks[-1] = [blocks[-1][0], hi, blocks[-1][2] + n, blocks[-1][3] + s]
+        assert sorted(got[g]) == [(lo, hi, n, pytest.approx(s / n)) for lo, hi, n, s in blocks]
+    knots = {r.grp: r for r in C.fit_isotonic(spark.createDataFrame(rows, "grp string, p double, y int")).collect()}
+    assert knots["a"].iso_x == sorted(knots["a"].iso_x) and knots["a"].iso_y == sorted(knots["a"].iso_y)
 
 
 def test_calibrators(spark, tmp_path):
