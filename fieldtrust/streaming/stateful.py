@@ -5,12 +5,14 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql.streaming.stateful_processor import ExpiredTimerInfo, StatefulProcessor, StatefulProcessorHandle, TimerValues
 
 from fieldtrust.operators.ops import RETRY_HOURS, RETRY_SECONDS
 
+ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 VERDICTS = "tenant_id string, key long, request_id long, verdict string"
 LIMITS = "key long, event_id long, allowed boolean, wait_seconds double"
 RETRIES = "delivery_id long, attempts int, status string, next_at timestamp"
@@ -48,23 +50,62 @@ def idempotent(requests: DataFrame, hours: int = 24) -> DataFrame:
     return requests.groupBy("tenant_id", "key").applyInPandasWithState(step, VERDICTS, "since string, hash string", "append", GroupStateTimeout.EventTimeTimeout)
 
 
-def rate_limit(events: DataFrame, per_minute: int) -> DataFrame:
-    """A token bucket for each key of a stream (key, event_id, ts), in event time."""
+def keep_state_in_rocksdb(spark: SparkSession) -> None:
+    """Processors with timers need the RocksDB state store; the setting holds for streams that the session starts later."""
+    spark.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKSDB)
 
-    def step(key: tuple, parts: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        tokens, at = state.get if state.exists else (float(per_minute), None)
+
+class OneTimer(StatefulProcessor):
+    """A value for each key that ends by one event-time timer, moved whenever the key has new rows."""
+
+    STATE = ""
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle, self.held = handle, handle.getValueState("held", self.STATE)
+
+    def keep(self, value: tuple, until: int, timers: TimerValues) -> None:
+        """value stays until the watermark is past `until` (milliseconds)."""
+        for t in self.handle.listTimers():
+            self.handle.deleteTimer(t)
+        self.handle.registerTimer(max(until, timers.getCurrentWatermarkInMs() + 1))
+        self.held.update(value)
+
+    def close(self) -> None:
+        pass
+
+
+class Buckets(OneTimer):
+    """Token buckets in whole numbers, as in the batch operator. A full bucket is what a key begins with, so the state goes
+    once the watermark is past the time at which it has filled up."""
+
+    STATE = "level long, at long"
+
+    def __init__(self, per_minute: int) -> None:
+        self.rate, self.token, self.cap = per_minute, 60_000_000, per_minute * 60_000_000
+
+    def handleInputRows(self, key: tuple, rows: Iterator[pd.DataFrame], timerValues: TimerValues) -> Iterator[pd.DataFrame]:
+        level, at = self.held.get() if self.held.exists() else (self.cap, None)
         out = []
-        for r in _ordered(parts, "ts", "event_id").itertuples():
-            if at is not None:
-                tokens = min(float(per_minute), tokens + (r.ts - pd.Timestamp(at)).total_seconds() * per_minute / 60)
-            at, ok = r.ts.isoformat(), tokens >= 1
-            out.append((int(key[0]), r.event_id, ok, 0.0 if ok else (1 - tokens) * 60 / per_minute))
-            tokens -= ok
-        if at is not None:
-            state.update((tokens, at))
+        for r in _ordered(rows, "ts", "event_id").itertuples():
+            now = r.ts.value // 1000
+            level, at = level if at is None else min(self.cap, level + (now - at) * self.rate), now
+            ok = level >= self.token
+            out.append((int(key[0]), r.event_id, ok, 0.0 if ok else (self.token - level) / self.rate / 1e6))
+            level -= self.token * ok
+        full = at + -(-(self.cap - level) // self.rate)
+        self.keep((int(level), int(at)), -(-full // 1000), timerValues)
         yield pd.DataFrame(out, columns=["key", "event_id", "allowed", "wait_seconds"])
 
-    return events.groupBy("key").applyInPandasWithState(step, LIMITS, "tokens double, at string", "append", GroupStateTimeout.NoTimeout)
+    def handleExpiredTimer(self, key: tuple, timerValues: TimerValues, expiredTimerInfo: ExpiredTimerInfo) -> Iterator[pd.DataFrame]:
+        self.held.clear()
+        return iter([])
+
+
+def rate_limit(events: DataFrame, per_minute: int) -> DataFrame:
+    """A token bucket for each key of a stream (key, event_id, ts with a watermark), in event time. Keys whose bucket has
+    filled up again leave no state."""
+    keep_state_in_rocksdb(events.sparkSession)
+    return events.groupBy("key").transformWithStateInPandas(Buckets(per_minute), LIMITS, "append", "eventTime")
 
 
 def delivery_retries(outcomes: DataFrame) -> DataFrame:
@@ -98,7 +139,7 @@ def delivery_retries(outcomes: DataFrame) -> DataFrame:
 def scored_stream(assembled: DataFrame, transcripts: DataFrame, score, sink, checkpoint: str):
     """Scores sessions as they come to their end: score(transcripts of the batch's sessions, the batch) is written by
     sink(result, batch_id). assembled: assemble_sessions' rows; transcripts: a table, of which the rows of these sessions
-    are read. A batch that is run again has the same id, so that the sink can replace its rows."""
+    are read. A batch that is run again has the same id; batch_table() replaces its rows."""
 
     def step(batch: DataFrame, batch_id: int) -> None:
         ended = batch.select("session_id").distinct()
@@ -107,29 +148,57 @@ def scored_stream(assembled: DataFrame, transcripts: DataFrame, score, sink, che
     return assembled.writeStream.foreachBatch(step).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
-def assemble_sessions(arrivals: DataFrame, expected: int, wait_minutes: int = 60) -> DataFrame:
-    """session_id, slots, complete: a session once `expected` different slots (session_id, slot, ts) have come, or
-    incomplete once the watermark is wait_minutes past its latest one."""
+def batch_table(path: str):
+    """A sink for foreachBatch: each batch has a folder of its own under path, which a repeated batch overwrites as a whole.
+    Read it by batch_rows()."""
 
-    def step(key: tuple, parts: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        slots = set(state.get[0].split(",")) - {""} if state.exists else set()
-        if state.hasTimedOut:
-            state.remove()
-            yield pd.DataFrame([(int(key[0]), sorted(slots), False)], columns=["session_id", "slots", "complete"])
-            return
-        if "done" in slots:
-            return
-        rows = _ordered(parts, "ts")
-        slots |= set(rows["slot"])
-        if len(slots) >= expected:
-            state.update(("done",))
+    def write(rows: DataFrame, batch_id: int) -> None:
+        rows.write.mode("overwrite").parquet(f"{path}/batch={batch_id}")
+
+    return write
+
+
+def batch_rows(spark: SparkSession, path: str) -> DataFrame:
+    return spark.read.option("basePath", path).parquet(f"{path}/batch=*").drop("batch")
+
+
+class Assembly(OneTimer):
+    """The slots of a session that have come. A complete one is kept until the timer, so that documents that come again do
+    not open it anew; an incomplete one is given out by the timer."""
+
+    STATE = "slots string, complete boolean"
+
+    def __init__(self, expected: int, wait_minutes: int) -> None:
+        self.expected, self.wait = expected, wait_minutes * 60_000
+
+    def handleInputRows(self, key: tuple, rows: Iterator[pd.DataFrame], timerValues: TimerValues) -> Iterator[pd.DataFrame]:
+        if any(t <= timerValues.getCurrentWatermarkInMs() for t in self.handle.listTimers()):
+            yield from self.ended(key)  # rows of a batch come before its timers: what they meet has ended
+        held, complete = self.held.get() if self.held.exists() else ("", False)
+        own = pd.concat(list(rows))
+        slots = (set(held.split("\x1f")) - {""}) | set(own["slot"].dropna())
+        ready = not complete and len(slots) >= self.expected
+        until = own["ts"].max().value // 1_000_000 + self.wait
+        self.keep(("" if complete or ready else "\x1f".join(sorted(slots)), complete or ready), until, timerValues)
+        if ready:
             yield pd.DataFrame([(int(key[0]), sorted(slots), True)], columns=["session_id", "slots", "complete"])
-            return
-        state.update((",".join(sorted(slots)),))
-        until = int((rows["ts"].max() + pd.Timedelta(minutes=wait_minutes)).timestamp() * 1000)
-        state.setTimeoutTimestamp(max(until, state.getCurrentWatermarkMs() + 1))
 
-    return arrivals.groupBy("session_id").applyInPandasWithState(step, ASSEMBLED, "slots string", "append", GroupStateTimeout.EventTimeTimeout)
+    def handleExpiredTimer(self, key: tuple, timerValues: TimerValues, expiredTimerInfo: ExpiredTimerInfo) -> Iterator[pd.DataFrame]:
+        return self.ended(key)
+
+    def ended(self, key: tuple) -> Iterator[pd.DataFrame]:
+        held, complete = self.held.get()
+        self.held.clear()
+        if not complete:
+            yield pd.DataFrame([(int(key[0]), sorted(set(held.split("\x1f")) - {""}), False)], columns=["session_id", "slots", "complete"])
+
+
+def assemble_sessions(arrivals: DataFrame, expected: int, wait_minutes: int = 60) -> DataFrame:
+    """session_id, slots, complete of a stream of documents (session_id, slot, ts with a watermark): a session once `expected`
+    different slots have come, or incomplete once the watermark is wait_minutes past its latest one. State of either kind
+    ends by then. What comes for a session after that begins a new one."""
+    keep_state_in_rocksdb(arrivals.sparkSession)
+    return arrivals.groupBy("session_id").transformWithStateInPandas(Assembly(expected, wait_minutes), ASSEMBLED, "append", "eventTime")
 
 
 def sweep(stream: DataFrame, job, checkpoint: str):

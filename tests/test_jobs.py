@@ -3,6 +3,7 @@
 import datetime
 import json
 import math
+import os
 import random
 
 import numpy as np
@@ -144,7 +145,7 @@ def test_streams_equal_batch(spark, requests, tmp_path):
     got = run(spark, T.idempotent(source.withWatermark("ts", "3 days")), tmp_path, "verdicts")
     assert {tuple(r) for r in got.select("tenant_id", "key", "request_id", "verdict").collect()} == {tuple(r) for r in O.idempotent(requests).collect()}
     events = requests.select("key", F.col("request_id").alias("event_id"), "ts")
-    limits = run(spark, T.rate_limit(source.select("key", F.col("request_id").alias("event_id"), "ts"), 1), tmp_path, "limits")
+    limits = run(spark, T.rate_limit(source.select("key", F.col("request_id").alias("event_id"), "ts").withWatermark("ts", "3 days"), 1), tmp_path, "limits")
     want = {r.event_id: r for r in O.rate_limit(events, 1).collect()}
     for r in limits.collect():
         assert r.allowed == want[r.event_id].allowed and math.isclose(r.wait_seconds, want[r.event_id].wait_seconds, abs_tol=1e-6)
@@ -153,12 +154,72 @@ def test_streams_equal_batch(spark, requests, tmp_path):
     assert sum(seen) == 120
 
 
+def one_file_a_batch(spark, tmp_path, schema, batches):
+    """A stream of several micro-batches, in the order given."""
+    for i, rows in enumerate(batches):
+        path = tmp_path / f"w{i}"
+        spark.createDataFrame(rows, schema).coalesce(1).write.parquet(str(path))
+        part = next(path.glob("part-*.parquet"))
+        (tmp_path / "in").mkdir(exist_ok=True)
+        target = tmp_path / "in" / f"{i}.parquet"
+        part.rename(target)
+        os.utime(target, (1_700_000_000 + i, 1_700_000_000 + i))
+    return spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
+
+
+def held(spark, tmp_path, name):
+    return spark.read.format("statestore").option("stateVarName", "held").load(str(tmp_path / f"cp-{name}")).select("key.*", "value.*").collect()
+
+
 def test_session_assembly(spark, tmp_path):
     t = datetime.datetime(2024, 1, 1)
-    spark.createDataFrame([(1, "a", t), (1, "b", t), (2, "a", t), (1, "b", t)], "session_id long, slot string, ts timestamp").coalesce(1).write.parquet(str(tmp_path / "in"))
-    source = spark.readStream.schema("session_id long, slot string, ts timestamp").parquet(str(tmp_path / "in"))
+    at = lambda m: t + datetime.timedelta(minutes=m)
+    batches = [
+        [(1, "a", at(0)), (1, "b", at(1)), (2, "a", at(0)), (1, "b", at(2)), (3, None, at(0))],
+        [(1, "a", at(20)), (2, "a", at(25))],  # again, within the hour: neither a new session nor a new slot
+        [(9, "a", at(200))],
+        [(2, "b", at(201)), (9, "b", at(202))],  # after its end session 2 begins anew
+        [(8, "a", at(400))],
+    ]
+    source = one_file_a_batch(spark, tmp_path, "session_id long, slot string, ts timestamp", batches)
     got = run(spark, T.assemble_sessions(source.withWatermark("ts", "1 minute"), 2), tmp_path, "assembled").collect()
-    assert [(r.session_id, r.slots, r.complete) for r in got if r.complete] == [(1, ["a", "b"], True)]
+    assert sorted((r.session_id, r.slots, r.complete) for r in got) == [(1, ["a", "b"], True), (2, ["a"], False), (2, ["b"], False), (3, [], False), (9, ["a", "b"], True)]
+    assert [(r.session_id, r.slots, r.complete) for r in held(spark, tmp_path, "assembled")] == [(8, "a", False)]
+
+
+def test_full_buckets_leave_no_state(spark, tmp_path):
+    t = datetime.datetime(2024, 1, 1)
+    at = lambda s: t + datetime.timedelta(seconds=s)
+    batches = [[(1, i, at(i)) for i in range(6)] + [(2, 10, at(3))], [(1, 20, at(20)), (2, 21, at(21))], [(3, 30, at(600))], [(1, 40, at(601)), (4, 41, at(602))]]
+    source = one_file_a_batch(spark, tmp_path, "key long, event_id long, ts timestamp", batches)
+    got = run(spark, T.rate_limit(source.withWatermark("ts", "1 second"), 3), tmp_path, "buckets").collect()
+    want = O.rate_limit(spark.createDataFrame([r for b in batches for r in b], "key long, event_id long, ts timestamp"), 3).collect()
+    assert sorted((r.event_id, r.allowed, round(r.wait_seconds, 6)) for r in got) == sorted((r.event_id, r.allowed, round(r.wait_seconds, 6)) for r in want)
+    assert sum(not r.allowed for r in got) >= 3 and sorted(r.key for r in held(spark, tmp_path, "buckets")) == [1, 3, 4]
+
+
+def test_a_repeated_batch_leaves_the_same_table(spark, tmp_path):
+    t = datetime.datetime(2024, 1, 1)
+    batches = [[(1, "a", t), (1, "b", t)], [(2, "a", t), (2, "b", t), (3, "b", t)]]
+    source = one_file_a_batch(spark, tmp_path, "session_id long, slot string, ts timestamp", batches)
+    lines = spark.createDataFrame([(1, "x"), (1, "y"), (2, "z"), (7, "q")], "session_id long, text string")
+    out, write, broken = str(tmp_path / "out"), T.batch_table(str(tmp_path / "out")), []
+
+    def stopped_once(rows, batch_id):
+        write(rows, batch_id)
+        if batch_id == 1 and not broken:
+            broken.append(batch_id)
+            raise RuntimeError("stopped after its rows were written")
+
+    def go(sink):
+        score = lambda rows, batch: rows.groupBy("session_id").count().join(batch, "session_id")
+        T.scored_stream(T.assemble_sessions(source.withWatermark("ts", "1 minute"), 2), lines, score, sink, str(tmp_path / "cp")).awaitTermination()
+
+    with pytest.raises(Exception, match="stopped"):
+        go(stopped_once)
+    once = sorted(tuple(r) for r in T.batch_rows(spark, out).select("session_id", "count").collect())
+    go(stopped_once)
+    assert broken == [1] and sorted(tuple(r) for r in T.batch_rows(spark, out).select("session_id", "count").collect()) == once == [(1, 2), (2, 1)]
 
 
 def test_hot_keys_are_not_gathered_in_one_row(spark):
