@@ -130,10 +130,33 @@ def located(value: Column, text: Column) -> Column:
     return F.when(clean != "", F.regexp_substr(text, F.concat(F.lit("(?U)"), pattern)))
 
 
-def json_object(reply: Column, schema: str) -> Column:
-    """The object between the first { and the last } of a reply without its reasoning blocks and fences; null if bad."""
+def _bare_object(reply: Column) -> Column:
+    """What stands from the first { to the last } of a reply without its reasoning blocks and fences."""
     bare = F.regexp_replace(F.regexp_replace(reply, r"(?s)<think>.*?</think>", ""), r"```(?:json)?", "")
-    return let(F.regexp_substr(bare, F.lit(r"(?s)\{.*\}")), lambda j: F.when(j.isNotNull(), F.from_json(j, schema)))
+    return F.regexp_substr(bare, F.lit(r"(?s)\{.*\}"))
+
+
+def json_object(reply: Column, schema: str) -> Column:
+    """The object in a reply (_bare_object) by a schema; null if bad."""
+    return let(_bare_object(reply), lambda j: F.when(j.isNotNull(), F.from_json(j, schema)))
+
+
+def parsed_reply(reply: Column) -> Column:
+    """struct(object VARIANT, error): the object in a reply, whatever its shape, or why there is none: no_reply (null or
+    blank), no_object (no braces), not_json. A bad reply is a row with an error, never a failed job."""
+
+    def of(text: Column) -> Column:
+        parsed = F.try_parse_json(text)
+        blank = F.coalesce(F.trim(reply) == "", F.lit(True))
+        error = F.when(blank, "no_reply").when(text.isNull(), "no_object").when(parsed.isNull(), "not_json")
+        return F.struct(parsed.alias("object"), error.alias("error"))
+
+    return let(_bare_object(reply), of)
+
+
+def reply_value(parsed: Column, path: str, kind: str) -> Column:
+    """A value of parsed_reply by its path ($.a.b[0]) as a type; null where it is missing or of another kind."""
+    return F.try_variant_get(parsed["object"], path, kind)
 
 
 def span_confidence(pieces: Column, reply: Column, fragment: Column) -> Column:

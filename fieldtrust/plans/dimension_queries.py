@@ -5,13 +5,16 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from fieldtrust.functions import dates
 from fieldtrust.functions.dates import hijri_months
-from fieldtrust.functions.text import ARABIC_DIGITS, normalized
+from fieldtrust.functions.text import ARABIC_DIGITS, normalized, parsed_reply, reply_value
 from fieldtrust.operators import extract as X
 from fieldtrust.operators import synth as Y
 from fieldtrust.operators import validate as V
 from fieldtrust.plans.base import Registry, for_spark
+from fieldtrust.scratch import scratch_path
 from fieldtrust.sources import rulesets as L
+from fieldtrust.sources import tables as S
 
 R = Registry()
 
@@ -132,3 +135,52 @@ def _(spark: SparkSession, sf_dir: str) -> DataFrame:
         valid.alias("numbers_valid"),
         free.alias("names_free"),
     )
+
+
+#: Every seventh status is no code, every eleventh kind is missing (and becomes the default), every thirteenth confidence no number.
+SESSION_ROWS = "SELECT CAST(o_orderkey AS STRING) AS id, CASE WHEN o_orderkey % 17 <> 0 THEN CAST(o_custkey % 8 AS STRING) END AS tenant_id, CASE WHEN o_orderkey % 11 <> 0 THEN 'document' END AS kind, CASE WHEN o_orderkey % 7 = 0 THEN 'unheard' ELSE 'created' END AS status, CASE WHEN o_orderkey % 5 = 0 THEN '[\"a\"' ELSE '[\"a\"]' END AS slots, '1' AS ruleset_version, CASE WHEN o_orderkey % 13 = 0 THEN 'high' ELSE CAST(o_custkey % 100 AS STRING) END AS session_confidence FROM {orders}"
+
+
+@R.add(
+    "src_12_table_contracts",
+    "WITH fx AS (" + SESSION_ROWS + "), p AS (SELECT *, concat_ws(',', CASE WHEN status = 'unheard' THEN 'code:status' END, CASE WHEN NOT json_valid(slots) THEN 'json:slots' END, CASE WHEN tenant_id IS NULL THEN 'null:tenant_id' END, CASE WHEN TRY_CAST(session_confidence AS DOUBLE) IS NULL THEN 'type:session_confidence' END) AS problems FROM fx) "
+    "SELECT id, problems, CASE WHEN problems = '' THEN tenant_id END AS tenant_id, CASE WHEN problems = '' THEN coalesce(kind, 'kyc') END AS kind, CASE WHEN problems = '' THEN CAST(session_confidence AS DOUBLE) END AS session_confidence FROM p",
+)
+def _(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = scratch_path(spark, "tables")
+    S.append_table(for_spark(spark, sf_dir, SESSION_ROWS), "sessions", path)
+    good = S.scan_table(spark, "sessions", path).select("id", F.lit("").alias("problems"), "tenant_id", "kind", "session_confidence")
+    none = [F.lit(None).cast(t).alias(n) for n, t in (("tenant_id", "string"), ("kind", "string"), ("session_confidence", "double"))]
+    return good.unionByName(S.rejected_rows(spark, "sessions", path).select(F.get_json_object("raw", "$.id").alias("id"), F.array_join("problems", ",").alias("problems"), *none))
+
+
+REPLIES = (
+    "SELECT o_orderkey AS id, CASE o_orderkey % 8 WHEN 0 THEN NULL WHEN 1 THEN 'no object at all' WHEN 2 THEN '{{\"total\": ' || CAST(o_custkey AS STRING) WHEN 3 THEN '{{\"total\": }}' WHEN 4 THEN '<think>{{maybe}}</think>```json\n{{\"total\": ' || CAST(o_custkey AS STRING) || ', \"buyer\": {{\"name\": \"n\"}}, \"tags\": [\"x\", 2]}}\n```' "
+    "WHEN 5 THEN 'Here: {{\"total\": \"' || CAST(o_custkey AS STRING) || '\", \"buyer\": 7}} done' WHEN 6 THEN '  ' ELSE '{{\"total\": {{\"of\": 1}}, \"tags\": []}}' END AS reply FROM {orders}"
+)
+
+
+@R.add(
+    "txt_15_parse_json",
+    "WITH fx AS (" + REPLIES + "), o AS (SELECT id, reply, regexp_extract(replace(replace(regexp_replace(reply, '<think>.*?</think>', '', 'gs'), '```json', ''), '```', ''), '\\{{.*\\}}', 0, 's') AS j FROM fx), "
+    "v AS (SELECT id, CASE WHEN trim(coalesce(reply, '')) = '' THEN 'no_reply' WHEN j = '' THEN 'no_object' WHEN NOT json_valid(j) THEN 'not_json' END AS error, CASE WHEN json_valid(j) THEN j END AS j FROM o) "
+    "SELECT id, error, TRY_CAST(json_extract_string(j, '$.total') AS BIGINT) AS total, json_extract_string(j, '$.buyer.name') AS buyer, json_extract_string(j, '$.tags[0]') AS tag FROM v",
+)
+def _(spark: SparkSession, sf_dir: str) -> DataFrame:
+    parsed = for_spark(spark, sf_dir, REPLIES).select("id", parsed_reply(F.col("reply")).alias("r"))
+    value = lambda path, kind: reply_value(F.col("r"), path, kind)
+    return parsed.select("id", "r.error", value("$.total", "bigint").alias("total"), value("$.buyer.name", "string").alias("buyer"), value("$.tags[0]", "string").alias("tag"))
+
+
+PRINTED = "SELECT o_orderkey AS id, CAST(o_orderdate AS DATE) AS day, CASE WHEN o_orderkey % 2 = 0 THEN 'hijri' ELSE 'gregorian' END AS calendar FROM {orders}"
+
+
+@R.add(
+    "txt_18_format_date",
+    # a Hijri date is checked by reading it again: SQL has no such calendar
+    "WITH fx AS (" + PRINTED + ") SELECT id, CASE WHEN calendar = 'gregorian' THEN strftime(day, '%Y/%m/%d') END AS printed, calendar = 'hijri' AS marked, day AS read_again FROM fx",
+)
+def _(spark: SparkSession, sf_dir: str) -> DataFrame:
+    printed = dates.with_printed_date(for_spark(spark, sf_dir, PRINTED), "day", "calendar")
+    again = dates.with_parsed_date(printed, "printed")
+    return again.select("id", F.when(F.col("calendar") == "gregorian", F.col("printed")).alias("printed"), F.col("printed").contains("هـ").alias("marked"), F.col("parsed.value").alias("read_again"))

@@ -2,27 +2,83 @@
 
 from __future__ import annotations
 
+from typing import NamedTuple
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 MANIFEST = (
     "image string, session_id string, identity_id string, slot string, split string, as_of date, variants array<string>, human_expected boolean, fields map<string,string>, handwritten array<string>, digits string, "
     "font string, field_boxes map<string,array<double>>, printed_lines array<string>, condition map<string,string>, capture string, bucket string, gt_unreadable array<string>"
 )
 TRUTH = "variants array<string>, as_of date, documents map<string,struct<fields:map<string,string>,glare_over:string>>"
-#: Allowed values of coded columns; other rows go to the reject output.
+# fixed values: the relational tables. A column ends in ! where it may not be null; json columns hold JSON texts
+TABLES = {
+    "tenants": "id string!, name string!, created_at timestamp!",
+    "api_keys": "id string!, tenant_id string!, key_hash string!, label string!, created_at timestamp!, revoked_at timestamp",
+    "sessions": "id string!, tenant_id string!, kind string!, status string!, slots json!, ruleset_version string!, external_ref string, outcome string, session_confidence double, reasons json!, result_enc binary, final_outcome string, error string, created_at timestamp!, updated_at timestamp!, submitted_at timestamp, decided_at timestamp",
+    "documents": "id string!, tenant_id string!, session_id string!, slot string!, status string!, upload_key string!, object_key string, mime_type string!, sha256 string, created_at timestamp!, deleted_at timestamp",
+    "fields": "id bigint!, tenant_id string!, session_id string!, document_id string!, name string!, status string!, confidence double!, value_enc binary, value_hmac string, version int!",
+    "field_versions": "id bigint!, tenant_id string!, field_id bigint!, version int!, status string!, value_enc binary, source string!, actor string!, created_at timestamp!",
+    "checks": "id bigint!, tenant_id string!, session_id string!, code string!, severity string!, slot string, field string, created_at timestamp!",
+    "decisions": "id bigint!, tenant_id string!, session_id string!, outcome string!, session_confidence double, reasons json!, decided_by string!, pipeline_version string, created_at timestamp!",
+    "review_items": "id string!, tenant_id string!, session_id string!, status string!, reasons json!, created_at timestamp!, closed_at timestamp",
+    "review_actions": "id bigint!, tenant_id string!, review_item_id string!, actor string!, action string!, corrections_enc binary, retake_slots json!, note string, created_at timestamp!",
+    "webhooks": "id string!, tenant_id string!, url string!, secret_enc binary!, events array<string>!, active boolean!, created_at timestamp!",
+    "webhook_deliveries": "id bigint!, tenant_id string!, webhook_id string!, event string!, payload json!, status string!, locked_until timestamp, attempts int!, last_status string, next_attempt_at timestamp!, created_at timestamp!",
+    "idempotency_keys": "tenant_id string!, key string!, request_hash string!, response_status int, response_body json, created_at timestamp!",
+    "model_calls": "id bigint!, tenant_id string!, session_id string!, endpoint string!, model string!, purpose string!, prompt_sha256 string!, image_sha256 array<string>!, latency_ms int!, prompt_tokens int, completion_tokens int, ok boolean!, output_enc binary, error string, created_at timestamp!",
+    "reminders": "id string!, tenant_id string!, session_id string, slot string, field string, kind string!, title string!, due_at date!, notify_at date!, status string!, external_ref string, created_at timestamp!, sent_at timestamp",
+    "audit_log": "id bigint!, tenant_id string!, session_id string, at timestamp!, actor string!, event string!, detail json!, prev_hash string!, hash string!",
+    "jobs": "id bigint!, tenant_id string!, session_id string!, status string!, attempts int!, locked_until timestamp, error string, created_at timestamp!, updated_at timestamp!",
+}
+# fixed values: what a missing or null column becomes; a time is the moment of the write
+DEFAULTS = {
+    ("api_keys", "label"): "''", ("sessions", "kind"): "'kyc'", ("sessions", "reasons"): "'[]'", ("documents", "mime_type"): "'image/jpeg'", ("fields", "version"): "1",
+    ("decisions", "reasons"): "'[]'", ("review_items", "reasons"): "'[]'", ("review_actions", "retake_slots"): "'[]'", ("webhooks", "active"): "true",
+    ("webhook_deliveries", "status"): "'pending'", ("webhook_deliveries", "attempts"): "0", ("webhook_deliveries", "next_attempt_at"): "current_timestamp()",
+    ("model_calls", "image_sha256"): "cast(array() AS array<string>)", ("reminders", "status"): "'scheduled'", ("audit_log", "at"): "current_timestamp()", ("audit_log", "detail"): "'{}'",
+    ("jobs", "status"): "'queued'", ("jobs", "attempts"): "0", ("jobs", "updated_at"): "current_timestamp()", ("sessions", "updated_at"): "current_timestamp()",
+}
+# fixed values: coded columns
 CODES = {
     "sessions": {"kind": ["kyc", "document"], "status": ["created", "submitted", "processing", "needs_review", "completed", "retake_requested", "failed"]},
     "documents": {"status": ["awaiting_upload", "uploaded", "ingested", "superseded", "deleted"]},
     "field_versions": {"source": ["model", "reviewer"]},
     "review_items": {"status": ["open", "closed"]},
     "review_actions": {"action": ["approve", "reject", "request_retake"]},
-    "deliveries": {"status": ["pending", "delivered", "failed"]},
+    "webhook_deliveries": {"status": ["pending", "delivered", "failed"]},
     "reminders": {"kind": ["document_expiry", "custom"], "status": ["scheduled", "sent", "cancelled"]},
     "jobs": {"status": ["queued", "processing", "done", "failed"]},
 }
 
 
+class ColumnRule(NamedTuple):
+    name: str
+    kind: str
+    needed: bool
+    json: bool
+    default: str | None
+    codes: list[str] | None
+
+
+def contract(table: str) -> list[ColumnRule]:
+    """The columns of a table, in their order; an unknown table is an error."""
+    if table not in TABLES:
+        raise ValueError(f"unknown table: {table}")
+    out = []
+    for column in TABLES[table].split(", "):
+        name, kind = column.rstrip("!").split(" ")
+        default = DEFAULTS.get((table, name), "current_timestamp()" if name == "created_at" else None)
+        out.append(ColumnRule(name, "string" if kind == "json" else kind, column.endswith("!"), kind == "json", default, CODES.get(table, {}).get(name)))
+    return out
+
+
+def table_schema(table: str) -> StructType:
+    return StructType.fromDDL(", ".join(f"`{c.name}` {c.kind}" for c in contract(table)))
+
+
 def read_manifest(spark: SparkSession, path: str) -> DataFrame:
     """One JSON object a line, blank lines skipped, the schema given and never inferred."""
     return spark.read.schema(MANIFEST).json(path).where("image IS NOT NULL OR session_id IS NOT NULL")
@@ -59,21 +115,52 @@ def scan_images(spark: SparkSession, path: str) -> DataFrame:
     return files.select("path", F.sha2("content", 256).alias("sha256"), mime.alias("mime"), "length")
 
 
-def checked_rows(rows: DataFrame, table: str) -> tuple[DataFrame, DataFrame]:
-    """(rows that keep the table's contract, rejects)."""
-    good = F.lit(True)
-    for column, allowed in CODES.get(table, {}).items():
-        if column not in rows.columns:
-            continue
-        good = good & F.coalesce(F.col(column).isin(allowed), F.lit(False))
-    return rows.where(good), rows.where(~good)
-
-
-def append_table(rows: DataFrame, table: str, path: str) -> DataFrame:
-    """Appends the good rows to the tenant-partitioned table under path; gives the rejects."""
-    good, bad = checked_rows(rows, table)
-    good.write.mode("append").partitionBy("tenant_id").parquet(f"{path}/{table}")
-    return bad
+def checked_rows(rows: DataFrame, table: str) -> DataFrame:
+    """rows by the contract of a table: its columns in its types, problems (sorted codes, empty for a good row), and raw, a bad
+    row as it came (JSON).
+
+    null:<column> where a value is needed and no default stands in; type:<column> where it cannot be cast; code:<column>
+    for a value that is not listed; json:<column> for a text that is no JSON. Columns that the table lacks are passed over."""
+    columns, problems = [], []
+    for c in contract(table):
+        given = F.col(c.name) if c.name in rows.columns else F.lit(None)
+        value = given.try_cast(c.kind)
+        filled = value if c.default is None else F.when(given.isNull(), F.expr(c.default).cast(c.kind)).otherwise(value)
+        columns.append(filled.alias(c.name))
+        problems.append(F.when(given.isNotNull() & value.isNull(), f"type:{c.name}"))
+        if c.needed:
+            problems.append(F.when(filled.isNull() & given.isNull(), f"null:{c.name}"))
+        if c.codes:
+            problems.append(F.when(value.isNotNull() & ~value.isin(c.codes), f"code:{c.name}"))
+        if c.json:
+            problems.append(F.when(value.isNotNull() & F.try_parse_json(value).isNull(), f"json:{c.name}"))
+    found = F.array_sort(F.array_compact(F.array(*problems)))
+    return rows.select(*columns, found.alias("problems"), F.when(F.size(found) > 0, F.to_json(F.struct(*rows.columns))).alias("raw"))
+
+
+def append_table(rows: DataFrame, table: str, path: str) -> None:
+    """Appends rows to a table under path in one pass: good ones to its tenants' folders, the others, with their problems and
+    as they came, to a folder of rejects beside them."""
+    checked = checked_rows(rows, table).withColumn("accepted", F.size("problems") == 0)
+    tenant = ["tenant_id"] if "tenant_id" in checked.columns else []
+    checked.write.mode("append").partitionBy("accepted", *tenant).parquet(f"{path}/{table}")
+
+
+def _stored(spark: SparkSession, table: str, path: str) -> DataFrame:
+    schema = StructType([*table_schema(table).fields, *StructType.fromDDL("problems array<string>, raw string, accepted boolean").fields])
+    return spark.read.schema(schema).parquet(f"{path}/{table}")
+
+
+def scan_table(spark: SparkSession, table: str, path: str, tenant: str | None = None) -> DataFrame:
+    """The rows of a table in its own schema; those of one tenant by reading its folder alone."""
+    rows = _stored(spark, table, path).where("accepted")
+    rows = rows if tenant is None else rows.where(F.col("tenant_id") == tenant)
+    return rows.select(*[c.name for c in contract(table)])
+
+
+def rejected_rows(spark: SparkSession, table: str, path: str) -> DataFrame:
+    """problems, raw of the rows that append_table refused."""
+    return _stored(spark, table, path).where("NOT accepted").select("problems", "raw")
 
 
 def write_report(metrics: DataFrame, path: str, **run: str) -> None:

@@ -121,8 +121,35 @@ def test_sources(spark, tmp_path):
     assert len({r.sha256 for r in found}) == 2 and {r.mime for r in found} == {"image/png", "image/jpeg", "application/octet-stream"}
     todo = S.pending_images(spark.createDataFrame([("a", "1"), ("a", "2"), ("b", "1")], "reader string, sha256 string"), spark.createDataFrame([("a", "1", "ok"), ("a", "2", "ok"), ("a", "2", "unavailable")], "reader string, sha256 string, status string"))
     assert {tuple(r) for r in todo.collect()} == {("a", "2"), ("b", "1")}
-    bad = S.append_table(spark.createDataFrame([("t", "sent"), ("t", "odd")], "tenant_id string, status string"), "reminders", str(tmp_path / "tables"))
-    assert bad.count() == 1 and spark.read.parquet(str(tmp_path / "tables" / "reminders")).count() == 1
+
+
+def test_tables_with_contracts(spark, tmp_path):
+    assert len(S.TABLES) == 17 and all(S.table_schema(t).fieldNames() for t in S.TABLES)
+    assert all((t, c) in [(t, x.name) for x in S.contract(t)] for t, c in S.DEFAULTS) and all({*S.CODES[t]} <= {x.name for x in S.contract(t)} for t in S.CODES)
+    path = str(tmp_path / "tables")
+    rows = [("r1", "a", "custom", "t", "2026-01-31", "2026-01-01", "sent"), ("r2", "b", "custom", "t", "2026-01-31", "2026-01-01", None), ("r3", "a", "odd", "t", "31.1.", "2026-01-01", "gone"), ("r4", "a", None, "t", "2026-01-31", None, "sent")]
+    S.append_table(spark.createDataFrame([(*r, "extra") for r in rows], "id string, tenant_id string, kind string, title string, due_at string, notify_at string, status string, raw_of_theirs string"), "reminders", path)
+    got = S.scan_table(spark, "reminders", path)
+    assert got.schema.fieldNames() == S.table_schema("reminders").fieldNames() and got.schema["due_at"].dataType.typeName() == "date"
+    assert sorted((r.id, r.status, r.created_at is not None) for r in got.collect()) == [("r1", "sent", True), ("r2", "scheduled", True)]
+    assert {json.loads(r.raw)["id"]: r.problems for r in S.rejected_rows(spark, "reminders", path).collect()} == {"r3": ["code:kind", "code:status", "type:due_at"], "r4": ["null:kind", "null:notify_at"]}
+    assert json.loads(S.rejected_rows(spark, "reminders", path).where("raw LIKE '%r3%'").first().raw)["due_at"] == "31.1."
+    one = S.scan_table(spark, "reminders", path, "b")
+    assert [r.id for r in one.collect()] == ["r2"] and "PartitionFilters: [isnotnull(accepted" in one._jdf.queryExecution().toString() and "(tenant_id#" in one._jdf.queryExecution().toString().split("PartitionFilters:")[1].split("]")[0]
+    S.append_table(spark.createDataFrame([("x", "first", None), (None, "second", None), ("z", None, None)], "id string, name string, created_at timestamp"), "tenants", path)
+    assert [r.id for r in S.scan_table(spark, "tenants", path).collect()] == ["x"] and S.rejected_rows(spark, "tenants", path).count() == 2
+    S.append_table(spark.createDataFrame([("x", 1, "a", "e", '{"k": [1, 2]}'), ("x", 2, "a", "e", "{k")], "tenant_id string, id int, actor string, event string, detail string").withColumns({"prev_hash": F.lit("0"), "hash": F.lit("1")}), "audit_log", path)
+    assert [(r.id, r.detail) for r in S.scan_table(spark, "audit_log", path, "x").collect()] == [(1, '{"k": [1, 2]}')]
+    with pytest.raises(ValueError):
+        S.scan_table(spark, "nothing", path)
+
+
+def test_report_has_its_run(spark, tmp_path):
+    metrics = spark.createDataFrame([("exact", 0.5), ("cer", 0.25)], "metric string, value double")
+    S.write_report(metrics, str(tmp_path / "report"), run="r1", split="tune", manifest="abc")
+    S.write_report(metrics.where("metric = 'cer'"), str(tmp_path / "report2"), run="r2", split="test", manifest="abc")
+    got = spark.read.parquet(str(tmp_path / "report"))
+    assert {tuple(r) for r in got.select("metric", "value", "run", "split", "manifest").collect()} == {("exact", 0.5, "r1", "tune", "abc"), ("cer", 0.25, "r1", "tune", "abc")}
 
 
 @pytest.fixture
