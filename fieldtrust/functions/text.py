@@ -10,7 +10,7 @@ import unicodedata
 from collections.abc import Callable
 
 import pandas as pd
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -56,6 +56,13 @@ def normalized(c: Column) -> Column:
     return F.regexp_replace(text, r"(^| )عبد (?=\S)", "$1عبد")
 
 
+def with_normalized(df: DataFrame, column: str, out: str) -> DataFrame:
+    """df with the canonical form of a text column: its different values are folded once each and joined back, so that a
+    value costs Python the same however many rows hold it. Null gives ''."""
+    known = df.select(F.col(column).alias("_raw")).where("_raw is not null").distinct().select("_raw", normalized(F.col("_raw")).alias("_canonical"))
+    return df.join(known, F.col(column) == F.col("_raw"), "left").withColumn(out, F.coalesce("_canonical", F.lit(""))).drop("_raw", "_canonical")
+
+
 def tokens(c: Column) -> Column:
     """The space-separated words of a canonical text."""
     return F.filter(F.split(c, " "), lambda x: x != "")

@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from fieldtrust.functions.text import let, normalized, similarity
+from fieldtrust.functions.text import let, similarity, with_normalized
 
 KEY = ["session_id", "slot", "field", "grp"]
 #: Similarity to a cluster's first member from which a reading joins it.
@@ -35,7 +35,8 @@ def reader_status(readings: DataFrame) -> DataFrame:
 def reader_mode(readings: DataFrame, norm: Column | None = None) -> DataFrame:
     """One row for each reader that answered: its most frequent value (null is a vote; ties: the earliest sample), its
     canonical form, and the share of its samples that agree (null with a single sample)."""
-    ok = readings.where("status = 'ok'").withColumn("norm", normalized(F.col("value")) if norm is None else norm)
+    ok = readings.where("status = 'ok'")
+    ok = with_normalized(ok, "value", "norm") if norm is None else ok.withColumn("norm", norm)
     ok = ok.withColumn("norm", F.when(F.col("value").isNotNull(), F.col("norm")))
     votes = ok.groupBy(*KEY, "reader", "ord", "norm").agg(F.count("*").alias("n"), F.min("sample").alias("first"), F.min_by("value", "sample").alias("value"), F.bool_or(F.col("reason").eqNullSafe("illegible")).alias("illegible"), F.collect_set("reason").alias("reasons"), F.sum("line_conf").alias("conf_sum"), F.count("line_conf").alias("conf_n"))
     return votes.groupBy(*KEY, "reader", "ord").agg(
@@ -59,9 +60,9 @@ def clusters(votes: Column) -> Column:
     return let(votes, lambda v: F.aggregate(v, F.slice(F.array(v), 1, 0), place))
 
 
-def voted(modes: DataFrame, configured: int, primary: str) -> DataFrame:
+def voted(modes: DataFrame, configured: int, primary: str | Column) -> DataFrame:
     """One row for each field with the winning cluster: (size, holds the primary reader, holds a value that is not
-    invalid), the first of equals. modes: reader_mode with `valid` (null: no rule)."""
+    invalid), the first of equals. modes: reader_mode with `valid` (null: no rule). primary may depend on the key columns."""
     vote = F.struct("ord", "reader", "value", "norm", "valid")
     fields = modes.groupBy(*KEY).agg(
         F.array_sort(F.collect_list(F.when(F.col("value") != "", vote))).alias("votes"),
