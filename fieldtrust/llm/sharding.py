@@ -2,8 +2,8 @@
 
 Rows with equal texts form one atomic group. Groups are ordered by a hash of their text; a group larger than an even
 share goes first and has a shard to itself. The smallest capacity that lets the remaining groups be cut into the
-remaining shards is found by binary search with a greedy check. The cuts are then made within that capacity, each next to
-an even share of what is left, as greedy cuts would leave the last shard short.
+remaining shards is found by binary search with a greedy check. Of the cuts within that capacity those are then made whose
+smallest shard is largest, as greedy cuts would leave the last shard short.
 
 The search never sees all groups. It works on cells: ranges of the hash order with the sum of their sizes, at most
 CELLS of them. A cell may be cut anywhere (optimistic) or nowhere (pessimistic); where the two answers differ, the
@@ -12,7 +12,7 @@ cells at the cuts are read again in finer ranges until both agree, which makes t
 
 from __future__ import annotations
 
-from bisect import bisect_left, bisect_right
+from bisect import bisect_right
 from dataclasses import dataclass
 
 import numpy as np
@@ -23,6 +23,8 @@ from fieldtrust.llm.common import saved
 
 #: Ranges of the hash order that the driver holds at first, and by which one range is split when read again.
 CELL_BITS, FINER_BITS = 14, 6
+#: Cells that are read again at once, the largest first: at most OPEN_CELLS << FINER_BITS rows come back.
+OPEN_CELLS = 1024
 #: Rows of one slice, within which slots are numbered, and rows from which a group is dealt over several.
 SLICE_ROWS, HOT_ROWS = 200_000, 10_000
 #: Slices, and large groups, that are broadcast; more are joined by a shuffle.
@@ -57,27 +59,34 @@ def greedy(cells: Cells, capacity: int, whole: bool) -> list[tuple[int, int]] |
 
 
 def even(cells: Cells, shards: int, capacity: int) -> list[int]:
-    """Cells before which the shards after the first begin: next to even shares of what is left, no shard over capacity.
-    There must be such cuts between the cells."""
-    ends = [0, *np.cumsum(cells.size).tolist()]
-    total = ends[-1]
-    # least[j]: the first cell from which the rest fits j shards
-    least, at = [len(ends) - 1], total
-    for _ in range(shards):
-        k = bisect_left(ends, at - capacity)
-        least.append(k)
-        at = ends[k]
-    cuts, here = [], 0
-    for left in range(shards - 1, 0, -1):
-        if total <= ends[here]:
-            break
-        ideal = ends[here] + (total - ends[here]) / (left + 1)
-        k = bisect_left(ends, ideal)
-        k = k - 1 if k - 1 > here and ideal - ends[k - 1] <= ends[k] - ideal else k
-        low, high = max(least[left], here), bisect_right(ends, ends[here] + capacity) - 1
-        here = min(max(k, low), high)
-        cuts.append(here)
-    return cuts
+    """Cells before which the shards after the first begin: of all cuts between cells that keep every shard within the
+    capacity, some whose smallest shard is as large as can be. There must be such cuts.
+
+    For a least size, the ends that j shards can reach follow from those of j - 1 by one pass over the cells; the largest
+    feasible least size is found by binary search. Then the cuts are taken from the end, each next to an even share of what
+    comes before it."""
+    ends = np.concatenate(([0], np.cumsum(cells.size)))
+    total = int(ends[-1])
+
+    def reached(least: int) -> list[np.ndarray] | None:
+        low, high = np.searchsorted(ends, ends - capacity), np.searchsorted(ends, ends - least, side="right")
+        found = [np.zeros(len(ends), bool)]
+        found[0][0] = True
+        for _ in range(shards):
+            before = np.concatenate(([0], np.cumsum(found[-1])))
+            found.append(before[np.maximum(high, low)] > before[low])
+        return found if found[-1][-1] else None
+
+    least, most = 0, total // shards
+    while least < most:
+        middle = (least + most + 1) // 2
+        least, most = (middle, most) if reached(middle) else (least, middle - 1)
+    found, cuts, end = reached(least), [], len(ends) - 1
+    for j in range(shards - 1, 0, -1):
+        fit = np.flatnonzero(found[j] & (ends >= ends[end] - capacity) & (ends <= ends[end] - least))
+        end = int(fit[np.argmin(np.abs(ends[fit] - ends[end] * j / (j + 1)))])
+        cuts.append(end)
+    return cuts[::-1]
 
 
 def smallest(cells: Cells, shards: int, whole: bool) -> int:
@@ -148,7 +157,7 @@ def cut_positions(groups: DataFrame, shards: int) -> list[int]:
             open_cells = {int(i) for i in np.argsort(-cells.groups)[:1024] if cells.groups[i] > 1}
         if not open_cells:
             return evened(cells, groups, shards, most)
-        cells = refined(cells, open_cells, groups)
+        cells = refined(cells, set(sorted(open_cells, key=lambda i: -int(cells.size[i]))[:OPEN_CELLS]), groups)
     raise RuntimeError("the search for the capacity did not settle")
 
 

@@ -2,6 +2,7 @@
 
 import base64
 import hashlib
+import math
 import random
 import re
 import zlib
@@ -659,6 +660,31 @@ def test_even_cuts_leave_no_shard_short(spark, monkeypatch):
             assert min(loads) >= 0.95 * sum(sizes) / shards
 
 
+def test_smallest_shard_is_as_large_as_can_be(spark, monkeypatch):
+    """Heavy-tailed sizes: the capacity is the smallest, and under it the smallest shard the largest, by trying all cuts."""
+    rng = random.Random(8)
+    for shards, bits in ((6, 14), (9, 14), (6, 4)):
+        monkeypatch.setattr(sharding, "CELL_BITS", bits)
+        rows = sorted((rng.randrange(2**40), int(20 * rng.paretovariate(1.1))) for _ in range(90))
+        top = sum(n for _, n in rows) // shards
+        rows = [(p, min(n, top)) for p, n in rows]
+        ends = np.cumsum([0, *(n for _, n in rows)]).tolist()
+
+        def best(value, worse, shards=shards, ends=ends):
+            """The best worst shard over all cuts: value of a shard, the one of two values that counts."""
+            row = {k: value(ends[k]) for k in range(1, len(ends))}
+            for _ in range(shards - 1):
+                row = {k: max((worse(row[i], value(ends[k] - ends[i])) for i in row if i < k), default=-math.inf) for k in range(1, len(ends))}
+            return row[len(ends) - 1]
+
+        capacity = -best(lambda n: -n, min)
+        least = best(lambda n: n if n <= capacity else -math.inf, min)
+        cuts = sharding.cut_positions(spark.createDataFrame(rows, "pos long, size long"), shards)
+        sizes = [sum(n for p, n in rows if a <= p < b) for a, b in zip([0, *cuts], [*cuts, 2**40], strict=True)]
+        assert len(sizes) == shards and max(sizes) <= capacity
+        assert min(sizes) == least if bits == 14 else min(sizes) >= 0.8 * least
+
+
 def test_shards_of_large_groups(spark, monkeypatch):
     """Rows of small texts that are many: their group is dealt over several tasks."""
     monkeypatch.setattr(sharding, "HOT_ROWS", 20)
