@@ -6,10 +6,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from fieldtrust.functions import dates, names, text
+from fieldtrust.operators import classify as K
 from fieldtrust.operators import crossdoc as X
 from fieldtrust.operators import extract as E
 from fieldtrust.operators import validate as V
 from fieldtrust.plans.base import Registry, for_spark, table
+from fieldtrust.sources import rulesets as L
 
 R = Registry()
 
@@ -285,3 +287,57 @@ EXPIRY = "SELECT l_orderkey AS session_id, 'doc' || l_linenumber AS slot, 'expir
 )
 def _(spark: SparkSession, sf_dir: str) -> DataFrame:
     return X.after_today(fx(spark, sf_dir, EXPIRY), F.lit("1997-01-01").cast("date"))
+
+
+SPELLED = "SELECT p_partkey AS id, translate(lower(p_name), 'abdfhjklmnqrstwyzeioucgpvx', 'ابدفهجكلمنقرستويزثخذشغصضطظع') AS t FROM {part}"
+LATIN = "t"
+for _letter, _latin in names.LETTERS.items():
+    LATIN = f"replace({LATIN}, '{_letter}', '{_latin}')"
+
+
+@R.add("txt_09_transliterate", over(SPELLED, f"id, {LATIN} AS latin"))
+def _(spark: SparkSession, sf_dir: str) -> DataFrame:
+    known = text.with_normalized(fx(spark, sf_dir, SPELLED), "t", "norm")
+    return known.select("id", names.latin_spelling(F.col("norm")).alias("latin"))
+
+
+PIECES = "SELECT o_orderkey AS id, CAST(o_orderkey + 100000 AS STRING) AS number, -(o_orderkey % 7) / 10.0E0 AS sure, CASE o_orderkey % 4 WHEN 0 THEN CAST(o_orderkey + 100000 AS STRING) WHEN 1 THEN 'al: ' WHEN 2 THEN 'nowhere' ELSE ' end' END AS fragment FROM {orders}"
+
+
+@R.add("txt_16_span_confidence", over(PIECES, "id, round(CASE id % 4 WHEN 0 THEN exp(sure) WHEN 1 THEN exp((-0.5 - 0.25) / 2) WHEN 3 THEN exp(-1.0) END, 6) AS confidence"))
+def _(spark: SparkSession, sf_dir: str) -> DataFrame:
+    piece = lambda token, p: F.struct(token.alias("token"), p.alias("logprob"))
+    rows = fx(spark, sf_dir, PIECES)
+    pieces = F.array(piece(F.lit("total"), F.lit(-0.5)), piece(F.lit(": "), F.lit(-0.25)), piece(F.col("number"), F.col("sure").cast("double")), piece(F.lit(" end"), F.lit(-1.0)))
+    return rows.select("id", F.round(text.span_confidence(pieces, F.concat(F.lit("total: "), "number", F.lit(" end")), F.col("fragment")), 6).alias("confidence"))
+
+
+CARRIED = "SELECT DISTINCT l_orderkey AS session_id, CASE l_linenumber % 4 WHEN 0 THEN 'national_id_front' WHEN 1 THEN 'commercial_registration' WHEN 2 THEN 'tax_card' ELSE 'national_id_back' END AS slot, CASE l_partkey % 5 WHEN 0 THEN 'full_name_ar' WHEN 1 THEN 'owner_name_ar' WHEN 2 THEN 'holder_name_ar' WHEN 3 THEN 'business_name_ar' ELSE 'expiry_date' END AS field FROM {lineitem}"
+
+
+@R.add(
+    "xdc_01_resolve_refs",
+    "WITH fx AS (" + CARRIED + "), refs(rule, side, doc, name) AS (VALUES ('name_id_vs_license', 'left', 'national_id', 'full_name_ar'), ('name_id_vs_license', 'right', 'commercial_registration', 'owner_name_ar'), ('name_id_vs_tax', 'left', 'national_id', 'full_name_ar'), "
+    "('name_id_vs_tax', 'right', 'tax_card', 'holder_name_ar'), ('business_name_license_vs_tax', 'left', 'commercial_registration', 'business_name_ar'), ('business_name_license_vs_tax', 'right', 'tax_card', 'business_name_ar')) "
+    # national_id stands for its two sides, of which the front has the name
+    "SELECT session_id, rule, side, slot FROM fx JOIN refs ON field = name AND (slot = doc OR (starts_with(slot, doc || '_') AND slot = 'national_id_front'))",
+)
+def _(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rules = X.resolved(spark, L.load_ruleset(spark).pairs, L.field_specs(spark))
+    side = lambda s: rules.select("rule", F.lit(s).alias("side"), F.col(f"{s}_slot").alias("slot"), F.col(f"{s}_field").alias("field"))
+    return fx(spark, sf_dir, CARRIED).join(F.broadcast(side("left").unionByName(side("right"))), ["slot", "field"]).select("session_id", "rule", "side", "slot")
+
+
+SUPPLIED = "SELECT o_orderkey AS id, 'tax_card' AS type, (o_custkey % 10) / 10.0E0 AS confidence, CASE o_orderkey % 3 WHEN 0 THEN 1.58E0 WHEN 1 THEN 1.41E0 END AS aspect, CASE o_custkey % 4 WHEN 0 THEN 'commercial_registration' WHEN 1 THEN 'national_id_back' WHEN 2 THEN 'passport' END AS model_type, (o_custkey % 30) / 10.0E0 - 1 AS model_confidence FROM {orders}"
+
+
+@R.add(
+    "ext_08_reconcile_label",
+    "WITH fx AS (" + SUPPLIED + "), u AS (SELECT *, coalesce((model_type = 'commercial_registration' AND (aspect IS NULL OR aspect = 1.41)) OR (model_type = 'national_id_back' AND (aspect IS NULL OR aspect = 1.58)), false) AS used FROM fx) "
+    "SELECT id, CASE WHEN used THEN model_type ELSE type END AS type, round(CASE WHEN used THEN greatest(0, least(1, model_confidence)) ELSE confidence END, 6) AS confidence FROM u",
+)
+def _(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = fx(spark, sf_dir, SUPPLIED)
+    types = L.doc_types(spark).select(F.col("slot").alias("type"), "shape")
+    model = rows.where("model_type is not null").select("id", "model_type", F.col("model_confidence").cast("double"))
+    return K.reconciled(rows.select("id", "type", F.col("confidence").cast("double"), F.col("aspect").cast("double")), model, types, ["id"]).withColumn("confidence", F.round("confidence", 6))

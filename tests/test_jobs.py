@@ -14,6 +14,8 @@ from fieldtrust.operators import calibrate as C
 from fieldtrust.operators import crossdoc as X
 from fieldtrust.operators import merge as M
 from fieldtrust.operators import ops as O
+from fieldtrust.operators import review as V
+from fieldtrust.operators import synth as Y
 from fieldtrust.sources import rulesets as L
 from fieldtrust.sources import tables as S
 from fieldtrust.streaming import stateful as T
@@ -291,3 +293,30 @@ def test_scored_stream(spark, tmp_path):
     score = lambda rows, batch: rows.groupBy("session_id").count().join(batch, "session_id")
     T.scored_stream(T.assemble_sessions(source.withWatermark("ts", "1 minute"), 2), lines, score, lambda out, i: seen.update({i: out.collect()}), str(tmp_path / "cp")).awaitTermination()
     assert [(r.session_id, r["count"], r.complete) for rows in seen.values() for r in rows if r.session_id == 1] == [(1, 2, True)]
+
+
+def test_payloads_and_results_nest_a_session(spark):
+    fields = spark.createDataFrame([(1, "b", "y", "ok", "secret", 0.9), (1, "a", "x", "unreadable", None, 0.0), (2, "a", "x", "ok", "hidden", 0.5)], "session_id long, slot string, field string, status string, value string, confidence double")
+    payload = {r.session_id: json.loads(r.payload) for r in V.reviewer_payload(fields).collect()}
+    assert payload[1] == {"fields": [{"slot": "a", "field": "x", "status": "unreadable", "confidence": 0.0, "placeholder": "{field:a.x}"}, {"slot": "b", "field": "y", "status": "ok", "confidence": 0.9, "placeholder": "{field:b.y}"}]}
+    assert "secret" not in str(payload) and "hidden" not in str(payload)
+    decisions = spark.createDataFrame([(1, "human_review"), (2, "auto_pass"), (3, "auto_pass")], "session_id long, outcome string")
+    got = {r.session_id: r for r in V.session_result(decisions, fields).collect()}
+    assert [(f.slot, f.value) for f in got[1].fields] == [("a", None), ("b", "secret")] and got[2].outcome == "auto_pass" and got[3].fields is None
+
+
+def test_planned_variants(spark):
+    rows = Y.plan_variants(spark, 5000, 3).collect()
+    assert all((r.variants == ["clean"]) == (r.i % 5 < 2) for r in rows)
+    others = [r for r in rows if r.variants != ["clean"]]
+    assert {len(r.variants) for r in others} == {1, 2} and abs(sum(len(r.variants) == 1 for r in others) / len(others) - 0.7) < 0.03
+    assert all(r.variants == sorted(set(r.variants)) and set(r.variants) <= set(Y.VARIANTS) for r in others) and len({v for r in others for v in r.variants}) == len(Y.VARIANTS)
+    assert all(r.human_expected == any(Y.VARIANTS.get(v, False) for v in r.variants) for r in rows)
+    assert rows == Y.plan_variants(spark.newSession(), 5000, 3).collect() != Y.plan_variants(spark, 5000, 4).collect()
+
+
+def test_identifiers_are_found_by_their_hash(spark):
+    rows = spark.createDataFrame([("t", "id", "12 34", 1), ("t", "id", "١٢٣٤", 2), ("u", "id", "1234", 3), ("t", "id", None, 4), ("t", "name", "1234", 5)], "tenant_id string, field string, value string, session_id long")
+    hashed = rows.withColumn("hash", O.lookup_hash(F.lit("digits"), F.col("field"), F.col("value"), "key"))
+    asked = hashed.where("session_id = 1").unionByName(hashed.where("session_id = 1")).unionByName(hashed.where("session_id = 4"))
+    assert sorted(r.session_id for r in O.find_identifier(hashed, asked).collect()) == [1, 2]
