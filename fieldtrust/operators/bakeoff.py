@@ -26,11 +26,26 @@ def best_line_values(lines: DataFrame, fields: DataFrame) -> DataFrame:
 
 
 def reader_scores(best: DataFrame) -> DataFrame:
-    """reader, name_cer (clipped to 1), digit_exact (spaces ignored), date_exact."""
+    """reader, name_cer (clipped to 1), digit_exact (spaces ignored), date_exact. Where best has the script of its capture's
+    digits (digits: western or arabic_indic), digit_exact is of western ones and arabic_indic_digit_exact of the others."""
     bare = lambda c: F.replace(F.col(c), F.lit(" "), F.lit(""))
     exact = (bare("norm") == bare("norm_truth")).cast("double")
-    of = lambda g, v: F.avg(F.when(F.col("grp") == g, v))
-    return best.groupBy("reader").agg(of("names", F.least("cer", F.lit(1.0))).alias("name_cer"), of("digits", exact).alias("digit_exact"), of("dates", (F.col("norm") == F.col("norm_truth")).cast("double")).alias("date_exact"))
+    of = lambda g, v, more=F.lit(True): F.avg(F.when((F.col("grp") == g) & more, v))
+    indic = F.coalesce(F.col("digits") == "arabic_indic", F.lit(False)) if "digits" in best.columns else None
+    digits = [of("digits", exact).alias("digit_exact")] if indic is None else [of("digits", exact, ~indic).alias("digit_exact"), of("digits", exact, indic).alias("arabic_indic_digit_exact")]
+    return best.groupBy("reader").agg(of("names", F.least("cer", F.lit(1.0))).alias("name_cer"), *digits, of("dates", (F.col("norm") == F.col("norm_truth")).cast("double")).alias("date_exact"))
+
+
+def bucket_scores(best: DataFrame) -> DataFrame:
+    """reader, bucket, name_cer of names by the photo's quality (best with bucket; null: good)."""
+    names = best.where("grp = 'names'").withColumn("bucket", F.coalesce("bucket", F.lit("good")))
+    return names.groupBy("reader", "bucket").agg(F.avg(F.least("cer", F.lit(1.0))).alias("name_cer"))
+
+
+def image_counts(transcripts: DataFrame) -> DataFrame:
+    """reader, n_images, failed_images of transcripts (reader, capture, sample, status): an image failed if its first sample did."""
+    first = transcripts.groupBy("reader", "capture").agg(F.min_by("status", "sample").alias("status"))
+    return first.groupBy("reader").agg(F.count("*").alias("n_images"), F.count(F.when(~F.col("status").eqNullSafe(F.lit("ok")), 1)).alias("failed_images"))
 
 
 def pick_primary(scores: DataFrame, candidate: str) -> DataFrame:

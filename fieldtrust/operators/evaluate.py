@@ -26,19 +26,24 @@ def field_observations(truth: DataFrame, predicted: DataFrame, keys: list[str])
 
 
 def summary_columns() -> list[Column]:
-    """The measures of a group of observations (truth, value, exact, correct, cer, status)."""
+    """The measures of a group of observations (kind: the field's group, truth, value, exact, correct, cer, status). Matches
+    and coverage are over readable fields, error rates over those of them with a value: of names and texts, of digits, and
+    of all. A measure without any row is null."""
     readable, given = F.col("truth").isNotNull(), F.col("value").isNotNull()
+    rate = lambda *kinds: F.avg(F.when(readable & given & (F.col("kind").isin(*kinds) if kinds else F.lit(True)), F.col("cer")))
     return [
         F.count("*").alias("n"),
-        share(F.col("exact")).alias("exact"),
-        share(F.col("correct")).alias("normalised"),
+        share(F.col("exact"), readable).alias("exact"),
+        share(F.col("correct"), readable).alias("normalised"),
         share(given, readable).alias("coverage"),
-        F.avg(F.when(readable & given, F.col("cer"))).alias("cer"),
+        rate().alias("cer"),
+        rate("names", "text").alias("cer_text"),
+        rate("digits").alias("cer_digits"),
         share(~readable, ~given).alias("null_precision"),
         share(~given, ~readable).alias("null_recall"),
         share(given, ~readable).alias("hallucination"),
         F.count(F.when(~readable, 1)).alias("n_unreadable"),
-        share(F.col("correct"), F.col("status") == "ok").alias("ok_accuracy"),
+        share(F.col("correct"), given & (F.col("status") == "ok")).alias("ok_accuracy"),
     ]
 
 
@@ -138,10 +143,27 @@ def session_observations(observations: DataFrame) -> DataFrame:
     return observations.groupBy("session_id").agg(F.bool_or(F.col("required") & (~F.col("correct") | F.col("truth").isNull())).alias("needed"))
 
 
-def session_scores(observations: DataFrame) -> DataFrame:
-    """session_id, field_score, invented (sorted names) and hallucination_score of each session."""
-    invented = F.array_sort(F.collect_list(F.when(F.col("truth").isNull() & F.col("value").isNotNull(), F.col("field"))))
-    return observations.groupBy("session_id").agg(share(F.col("correct")).alias("field_score"), invented.alias("invented")).withColumn("hallucination_score", (F.size("invented") == 0).cast("double"))
+def session_scores(observations: DataFrame, routes: DataFrame | None = None) -> DataFrame:
+    """For each session: field_score (share of right fields) and wrong (sorted names), hallucination_score (share of
+    unreadable fields without a value; 1 if there are none) and invented, and, with routes (session_id, routed,
+    human_expected), routing_score: whether it was routed if and only if a person was needed, which an unreadable field,
+    also an optional one, or a wrong required one calls for. A session without a route (its run failed) scores 0 there."""
+    unreadable = F.col("truth").isNull()
+    names = lambda test: F.array_sort(F.collect_list(F.when(test, F.col("field"))))
+    bad = ~F.coalesce(F.col("correct"), F.lit(False))
+    found = observations.groupBy("session_id").agg(
+        share(F.col("correct")).alias("field_score"),
+        names(bad).alias("wrong"),
+        F.coalesce(share(F.col("value").isNull(), unreadable), F.lit(1.0)).alias("hallucination_score"),
+        names(unreadable & F.col("value").isNotNull()).alias("invented"),
+        names(bad & F.col("required")).alias("required_wrong"),
+        F.bool_or(unreadable).alias("_unreadable"),
+    )
+    if routes is None:
+        return found.drop("required_wrong", "_unreadable")
+    joined = found.join(routes.select("session_id", "routed", "human_expected"), "session_id", "left")
+    needed = F.coalesce("human_expected", F.lit(False)) | (F.size("required_wrong") > 0) | F.col("_unreadable")
+    return joined.withColumn("human_needed", needed).withColumn("routing_score", F.coalesce((F.col("routed") == F.col("human_needed")).cast("double"), F.lit(0.0))).drop("_unreadable", "human_expected")
 
 
 def split_of(rank: Column, n: Column) -> Column:

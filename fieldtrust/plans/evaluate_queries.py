@@ -16,8 +16,8 @@ R = Registry()
 SCORES = "SELECT d.doc_id AS id, (d.n_chars % 1000) / 1000.0E0 AS p, CAST(l.quality AS BIGINT) AS y, d.lang AS grp FROM {documents} d JOIN {labels} l ON d.doc_id = l.doc_id"
 
 OBSERVED = """
-SELECT id, id % 50 AS session_id, lang AS grp, source AS bucket, field, truth, value, status, routed, required, lower(truth) AS norm_truth, lower(value) AS norm_value
-FROM (SELECT doc_id AS id, lang, source, CASE WHEN doc_id % 2 = 0 THEN 'first' ELSE 'other' END AS field, doc_id % 2 = 0 AS required,
+SELECT id, id % 50 AS session_id, lang AS grp, source AS bucket, field, kind, truth, value, status, routed, required, lower(truth) AS norm_truth, lower(value) AS norm_value
+FROM (SELECT doc_id AS id, lang, source, CASE doc_id % 4 WHEN 0 THEN 'names' WHEN 1 THEN 'digits' WHEN 2 THEN 'text' ELSE 'dates' END AS kind, CASE WHEN doc_id % 2 = 0 THEN 'first' ELSE 'other' END AS field, doc_id % 2 = 0 AS required,
              doc_id % 7 < 3 AS routed, CASE WHEN doc_id % 5 = 0 THEN 'low_confidence' ELSE 'ok' END AS status,
              CASE WHEN doc_id % 9 = 0 THEN NULL ELSE w END AS truth,
              CASE WHEN doc_id % 11 = 0 THEN NULL WHEN doc_id % 4 = 1 THEN w || 'x' WHEN doc_id % 4 = 2 THEN lower(w) WHEN doc_id % 4 = 3 THEN substring(w, 2) ELSE w END AS value
@@ -30,11 +30,11 @@ OBS = (
     f"CASE WHEN truth IS NOT NULL AND value IS NOT NULL THEN ({CER})::DOUBLE END AS cer FROM fx)"
 )
 MEASURES = (
-    "count(*) AS n, round(avg(exact::INT), 6) AS exact, round(avg(correct::INT), 6) AS normalised, round(avg(CASE WHEN truth IS NOT NULL THEN (value IS NOT NULL)::INT END), 6) AS coverage, "
-    "round(avg(cer), 6) AS cer, round(avg(CASE WHEN value IS NULL THEN (truth IS NULL)::INT END), 6) AS null_precision, round(avg(CASE WHEN truth IS NULL THEN (value IS NULL)::INT END), 6) AS null_recall, "
-    "round(avg(CASE WHEN truth IS NULL THEN (value IS NOT NULL)::INT END), 6) AS hallucination, count(CASE WHEN truth IS NULL THEN 1 END) AS n_unreadable, round(avg(CASE WHEN status = 'ok' THEN correct::INT END), 6) AS ok_accuracy"
+    "count(*) AS n, round(avg(CASE WHEN truth IS NOT NULL THEN exact::INT END), 6) AS exact, round(avg(CASE WHEN truth IS NOT NULL THEN correct::INT END), 6) AS normalised, round(avg(CASE WHEN truth IS NOT NULL THEN (value IS NOT NULL)::INT END), 6) AS coverage, "
+    "round(avg(cer), 6) AS cer, round(avg(CASE WHEN kind IN ('names', 'text') THEN cer END), 6) AS cer_text, round(avg(CASE WHEN kind = 'digits' THEN cer END), 6) AS cer_digits, round(avg(CASE WHEN value IS NULL THEN (truth IS NULL)::INT END), 6) AS null_precision, round(avg(CASE WHEN truth IS NULL THEN (value IS NULL)::INT END), 6) AS null_recall, "
+    "round(avg(CASE WHEN truth IS NULL THEN (value IS NOT NULL)::INT END), 6) AS hallucination, count(CASE WHEN truth IS NULL THEN 1 END) AS n_unreadable, round(avg(CASE WHEN status = 'ok' AND value IS NOT NULL THEN correct::INT END), 6) AS ok_accuracy"
 )
-ROUNDED = ["exact", "normalised", "coverage", "cer", "null_precision", "null_recall", "hallucination", "ok_accuracy"]
+ROUNDED = ["exact", "normalised", "coverage", "cer", "cer_text", "cer_digits", "null_precision", "null_recall", "hallucination", "ok_accuracy"]
 
 
 def rounded(df: DataFrame, *names: str) -> DataFrame:
@@ -47,7 +47,7 @@ def scores(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def observations(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = for_spark(spark, sf_dir, OBSERVED)
-    truth = rows.select("id", "session_id", "grp", "bucket", "field", "required", "routed", "truth", "norm_truth")
+    truth = rows.select("id", "session_id", "grp", "bucket", "field", "kind", "required", "routed", "truth", "norm_truth")
     seen = E.field_observations(truth, rows.select("id", "value", "norm_value", "status"), ["id"])
     return seen.withColumn("cer", F.when(F.col("truth").isNotNull() & F.col("value").isNotNull(), character_error_rate(F.col("norm_truth"), F.col("norm_value"))))
 
@@ -214,13 +214,20 @@ def _(spark: SparkSession, sf_dir: str) -> DataFrame:
     return E.table_hash(table(spark, sf_dir, "customer").select("c_custkey", "c_mktsegment"))
 
 
+#: Every seventh session has no output; others are routed by their number.
+ROUTED = "SELECT DISTINCT doc_id % 50 AS session_id, doc_id % 50 % 3 = 0 AS routed, doc_id % 50 % 4 = 0 AS human_expected FROM {documents} WHERE doc_id % 50 % 7 <> 0"
+
+
 @R.add(
     "evl_17_session_scores",
-    OBS + " SELECT session_id, round(avg(correct::INT), 6) AS field_score, coalesce(string_agg(CASE WHEN truth IS NULL AND value IS NOT NULL THEN field END, ',' ORDER BY field), '') AS invented, "
-    "(count(CASE WHEN truth IS NULL AND value IS NOT NULL THEN 1 END) = 0)::INT::DOUBLE AS hallucination_score FROM obs GROUP BY session_id",
+    OBS + ", ro AS (" + ROUTED + "), s AS (SELECT session_id, round(avg(correct::INT), 6) AS field_score, string_agg(CASE WHEN NOT correct THEN field END, ',' ORDER BY field) AS wrong, string_agg(CASE WHEN truth IS NULL AND value IS NOT NULL THEN field END, ',' ORDER BY field) AS invented, "
+    "round(coalesce(avg(CASE WHEN truth IS NULL THEN (value IS NULL)::INT END), 1), 6) AS hallucination_score, string_agg(CASE WHEN NOT correct AND required THEN field END, ',' ORDER BY field) AS required_wrong, bool_or(truth IS NULL) AS unreadable FROM obs GROUP BY session_id) "
+    "SELECT s.session_id, field_score, coalesce(wrong, '') AS wrong, coalesce(invented, '') AS invented, hallucination_score, coalesce(required_wrong, '') AS required_wrong, routed, coalesce(human_expected, false) OR required_wrong IS NOT NULL OR unreadable AS human_needed, "
+    "CASE WHEN routed = (coalesce(human_expected, false) OR required_wrong IS NOT NULL OR unreadable) THEN 1.0E0 ELSE 0.0E0 END AS routing_score FROM s LEFT JOIN ro ON ro.session_id = s.session_id",
 )
 def _(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return rounded(E.session_scores(observations(spark, sf_dir)), "field_score").withColumn("invented", F.array_join("invented", ","))
+    found = rounded(E.session_scores(observations(spark, sf_dir), for_spark(spark, sf_dir, ROUTED)), "field_score", "hallucination_score")
+    return found.withColumns({c: F.array_join(c, ",") for c in ("wrong", "invented", "required_wrong")})
 
 
 @R.add("evl_18_average_score", OBS + ", s AS (SELECT session_id, CASE WHEN session_id % 5 = 0 THEN NULL ELSE avg(correct::INT) END AS v FROM obs GROUP BY session_id) SELECT round(avg(coalesce(v, 0)), 4) AS score FROM s")
@@ -232,7 +239,7 @@ def _(spark: SparkSession, sf_dir: str) -> DataFrame:
 HEADLINE = (
     ROUTES + ", "
     + BINS.replace("{{k}}", "15").removeprefix("WITH ").replace("fx AS", "sc AS", 1).replace("FROM fx", "FROM sc")
-    + ", br AS (SELECT avg((p - y) * (p - y)) AS brier FROM sc), f AS (SELECT avg(CASE WHEN truth IS NULL THEN (value IS NOT NULL)::INT END) AS hallucination_rate, count(CASE WHEN truth IS NULL THEN 1 END)::DOUBLE AS n_unreadable, avg(correct::INT) AS normalized_match, avg(exact::INT) AS exact_match, avg(CASE WHEN truth IS NOT NULL THEN (value IS NOT NULL)::INT END) AS coverage FROM obs), "
+    + ", br AS (SELECT avg((p - y) * (p - y)) AS brier FROM sc), f AS (SELECT avg(CASE WHEN truth IS NULL THEN (value IS NOT NULL)::INT END) AS hallucination_rate, count(CASE WHEN truth IS NULL THEN 1 END)::DOUBLE AS n_unreadable, avg(CASE WHEN truth IS NOT NULL THEN correct::INT END) AS normalized_match, avg(CASE WHEN truth IS NOT NULL THEN exact::INT END) AS exact_match, avg(CASE WHEN truth IS NOT NULL THEN (value IS NOT NULL)::INT END) AS coverage FROM obs), "
     "ro AS (SELECT count(*)::DOUBLE AS sessions, avg(routed::INT) AS review_rate, sum((routed AND needed)::INT) * 1.0E0 / nullif(sum(routed::INT), 0) AS precision, sum((routed AND needed)::INT) * 1.0E0 / nullif(sum(needed::INT), 0) AS recall, "
     "2.0E0 * sum((routed AND needed)::INT) / nullif(sum(routed::INT) + sum(needed::INT), 0) AS f1, avg((NOT routed)::INT) AS auto_pass_rate, avg(CASE WHEN NOT routed THEN needed::INT END) AS auto_pass_error FROM ses), "
     "ec AS (SELECT sum(n * abs(mean_p - mean_y)) / sum(n) AS ece FROM r), "

@@ -98,9 +98,22 @@ def _(spark: SparkSession, sf_dir: str) -> DataFrame:
     return best(spark, sf_dir).select("reader", "capture", "field", "value", F.round("cer", 6).alias("cer"))
 
 
-@R.add("evl_11_bakeoff_scores", BEST + " SELECT reader, round(name_cer, 6) AS name_cer, round(digit_exact, 6) AS digit_exact FROM sc")
+SHOWN = "SELECT o_orderkey AS capture, CASE WHEN o_custkey % 3 = 0 THEN 'arabic_indic' ELSE 'western' END AS digits, CASE o_custkey % 4 WHEN 0 THEN 'worst' WHEN 1 THEN 'medium' WHEN 2 THEN 'good' END AS bucket FROM {orders}"
+RUNS = "SELECT o_orderkey AS capture, r.reader, r.sample, CASE WHEN r.reader = 'a' AND r.sample = 0 AND o_custkey % 7 = 0 THEN 'failed' ELSE 'ok' END AS status FROM {orders} CROSS JOIN (VALUES ('a', 0), ('a', 1), ('b', 0)) AS r(reader, sample)"
+
+
+@R.add(
+    "evl_11_bakeoff_scores",
+    BEST + ", s AS (" + SHOWN + "), x AS (SELECT best.*, digits, coalesce(bucket, 'good') AS bucket FROM best JOIN s ON s.capture = best.capture), ok AS (SELECT reader, count(DISTINCT capture) AS n_images, count(DISTINCT CASE WHEN sample = 0 AND status <> 'ok' THEN capture END) AS failed_images FROM (" + RUNS + ") GROUP BY reader) "
+    "SELECT x.reader, 'all' AS bucket, round(avg(CASE WHEN grp = 'names' THEN least(cer, 1) END), 6) AS name_cer, round(avg(CASE WHEN grp = 'digits' AND digits = 'western' THEN (lower(value) = lower(truth))::INT END), 6) AS digit_exact, round(avg(CASE WHEN grp = 'digits' AND digits <> 'western' THEN (lower(value) = lower(truth))::INT END), 6) AS arabic_indic_digit_exact, any_value(n_images) AS n_images, any_value(failed_images) AS failed_images FROM x JOIN ok ON ok.reader = x.reader GROUP BY x.reader "
+    "UNION ALL SELECT reader, bucket, round(avg(least(cer, 1)), 6), NULL, NULL, NULL, NULL FROM x WHERE grp = 'names' GROUP BY reader, bucket",
+)
 def _(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return B.reader_scores(best(spark, sf_dir)).select("reader", F.round("name_cer", 6).alias("name_cer"), F.round("digit_exact", 6).alias("digit_exact"))
+    read = best(spark, sf_dir).join(fx(spark, sf_dir, SHOWN), "capture")
+    counts = B.image_counts(fx(spark, sf_dir, RUNS))
+    whole = B.reader_scores(read).drop("date_exact").join(counts, "reader").withColumn("bucket", F.lit("all"))
+    rows = whole.unionByName(B.bucket_scores(read), allowMissingColumns=True)
+    return rows.withColumns({c: F.round(c, 6) for c in ("name_cer", "digit_exact", "arabic_indic_digit_exact")})
 
 
 @R.add("evl_12_pick_primary", BEST + " SELECT grp, CASE WHEN (SELECT name_cer FROM sc WHERE reader = 'b') - (SELECT name_cer FROM sc WHERE reader = 'a') <= 0.05 OR grp IN ('digits', 'dates', 'enums') THEN 'b' ELSE 'a' END AS primary_reader FROM (VALUES ('names'), ('digits'), ('dates'), ('enums'), ('text')) AS g(grp)")

@@ -261,13 +261,13 @@ def _(spark: SparkSession, sf_dir: str) -> DataFrame:
     return V.enum_valid(values, members).select("id", "in_enum")
 
 
-#: Two documents of a session: the order and its first line; both carry a status and a day.
-DOCS = "SELECT o_orderkey AS session_id, 'card_front' AS slot, 'name' AS field, o_orderpriority AS value FROM {orders} UNION ALL SELECT l_orderkey, 'licence', 'owner', CASE WHEN l_orderkey % 3 = 0 THEN o_orderpriority WHEN l_orderkey % 3 = 1 THEN o_orderpriority || 's' ELSE l_returnflag END FROM {lineitem} JOIN {orders} ON o_orderkey = l_orderkey WHERE l_linenumber = 1"
+#: Two documents of a session: the order and the least value of its lines; both carry a status and a day.
+DOCS = "SELECT o_orderkey AS session_id, 'card_front' AS slot, 'name' AS field, o_orderpriority AS value FROM {orders} UNION ALL SELECT l_orderkey, 'licence', 'owner', CASE WHEN l_orderkey % 3 = 0 THEN o_orderpriority WHEN l_orderkey % 3 = 1 THEN o_orderpriority || 's' ELSE l_returnflag END FROM {lineitem} JOIN {orders} ON o_orderkey = l_orderkey"
 
 
 @R.add(
     "xdc_02_pair_rules",
-    "WITH l AS (SELECT l_orderkey, CASE WHEN l_orderkey % 3 = 0 THEN o_orderpriority WHEN l_orderkey % 3 = 1 THEN o_orderpriority || 's' ELSE l_returnflag END AS v, o_orderpriority AS p FROM {lineitem} JOIN {orders} ON o_orderkey = l_orderkey WHERE l_linenumber = 1), "
+    "WITH l AS (SELECT l_orderkey, CASE WHEN l_orderkey % 3 = 0 THEN o_orderpriority WHEN l_orderkey % 3 = 1 THEN o_orderpriority || 's' ELSE l_returnflag END AS v, o_orderpriority AS p FROM {lineitem} JOIN {orders} ON o_orderkey = l_orderkey), "
     "m AS (SELECT l_orderkey, min(v) AS v, min(p) AS p FROM l GROUP BY l_orderkey), s AS (SELECT o_orderkey AS session_id, v, round(CASE WHEN v = p THEN 1.0 ELSE 1 - levenshtein(lower(v), lower(p)) * 1.0E0 / greatest(length(v), length(p)) END, 3)::DOUBLE AS score FROM {orders} LEFT JOIN m ON l_orderkey = o_orderkey) "
     "SELECT session_id, 'owner_is_holder' AS rule, CASE WHEN v IS NULL THEN 'skipped' WHEN score >= 0.85 THEN 'match' ELSE 'mismatch' END AS status, CASE WHEN v IS NULL THEN NULL ELSE score END AS score FROM s",
 )
