@@ -154,7 +154,7 @@ def _(spark: SparkSession, sf_dir: str) -> DataFrame:
     return good.unionByName(S.rejected_rows(spark, "sessions", path).select(F.get_json_object("raw", "$.id").alias("id"), F.array_join("problems", ",").alias("problems"), *none))
 
 
-REPLIES = (
+MESSY_REPLIES = (
     "SELECT o_orderkey AS id, CASE o_orderkey % 8 WHEN 0 THEN NULL WHEN 1 THEN 'no object at all' WHEN 2 THEN '{{\"total\": ' || CAST(o_custkey AS STRING) WHEN 3 THEN '{{\"total\": }}' WHEN 4 THEN '<think>{{maybe}}</think>```json\n{{\"total\": ' || CAST(o_custkey AS STRING) || ', \"buyer\": {{\"name\": \"n\"}}, \"tags\": [\"x\", 2]}}\n```' "
     "WHEN 5 THEN 'Here: {{\"total\": \"' || CAST(o_custkey AS STRING) || '\", \"buyer\": 7}} done' WHEN 6 THEN '  ' ELSE '{{\"total\": {{\"of\": 1}}, \"tags\": []}}' END AS reply FROM {orders}"
 )
@@ -162,12 +162,12 @@ REPLIES = (
 
 @R.add(
     "txt_15_parse_json",
-    "WITH fx AS (" + REPLIES + "), o AS (SELECT id, reply, regexp_extract(replace(replace(regexp_replace(reply, '<think>.*?</think>', '', 'gs'), '```json', ''), '```', ''), '\\{{.*\\}}', 0, 's') AS j FROM fx), "
+    "WITH fx AS (" + MESSY_REPLIES + "), o AS (SELECT id, reply, regexp_extract(replace(replace(regexp_replace(reply, '<think>.*?</think>', '', 'gs'), '```json', ''), '```', ''), '\\{{.*\\}}', 0, 's') AS j FROM fx), "
     "v AS (SELECT id, CASE WHEN trim(coalesce(reply, '')) = '' THEN 'no_reply' WHEN j = '' THEN 'no_object' WHEN NOT json_valid(j) THEN 'not_json' END AS error, CASE WHEN json_valid(j) THEN j END AS j FROM o) "
     "SELECT id, error, TRY_CAST(json_extract_string(j, '$.total') AS BIGINT) AS total, json_extract_string(j, '$.buyer.name') AS buyer, json_extract_string(j, '$.tags[0]') AS tag FROM v",
 )
 def _(spark: SparkSession, sf_dir: str) -> DataFrame:
-    parsed = for_spark(spark, sf_dir, REPLIES).select("id", parsed_reply(F.col("reply")).alias("r"))
+    parsed = for_spark(spark, sf_dir, MESSY_REPLIES).select("id", parsed_reply(F.col("reply")).alias("r"))
     value = lambda path, kind: reply_value(F.col("r"), path, kind)
     return parsed.select("id", "r.error", value("$.total", "bigint").alias("total"), value("$.buyer.name", "string").alias("buyer"), value("$.tags[0]", "string").alias("tag"))
 
