@@ -17,7 +17,6 @@ need fewer documents and a smaller distance. Short lines count too, but only equ
 
 from __future__ import annotations
 
-import hashlib
 import re
 from collections.abc import Iterator
 
@@ -26,6 +25,7 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from xxhash import xxh3_64_intdigest
 
 from fieldtrust.llm.buckets import block_rows, dealt, joined
 from fieldtrust.llm.common import keep_ids, passing, saved, small_batches
@@ -58,12 +58,9 @@ LINES = "doc_id long, line_no int, n_tokens int, leaf long, template long, sketc
 TOKENS = "leaf long, template long, tokens binary"
 
 
-def _hash_bytes(data: bytes) -> int:
-    return int.from_bytes(hashlib.blake2b(data, digest_size=8).digest(), "little", signed=True)
-
-
-def _hash(text: str) -> int:
-    return _hash_bytes(text.encode("utf-8", "surrogatepass"))
+def _hash(data: str | bytes) -> int:
+    x = xxh3_64_intdigest(data)
+    return x - (1 << 64) if x >> 63 else x
 
 
 def _names(tokens: list[str]) -> tuple[int, int]:
@@ -88,11 +85,13 @@ def _mixed(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-def sketches(tokens: list[int], lengths: list[int]) -> np.ndarray:
-    """SKETCH minima of the three-token pieces of each line (the last pieces are shorter). tokens: hashes, each line's
-    followed by two zeros; lengths: with those."""
-    h, n = np.array(tokens, np.uint64), np.array(lengths)
+def sketches(tokens: list[str], lengths: list[int]) -> np.ndarray:
+    """SKETCH minima of the three-token pieces of each line (the last pieces are shorter) of the lines' tokens, one line
+    after another. Two zeros behind each line keep pieces within it."""
+    n = np.array(lengths) + 2
     ends = np.cumsum(n)
+    h = np.zeros(ends[-1], np.uint64)
+    h[np.arange(len(tokens)) + 2 * np.repeat(np.arange(len(n)), n - 2)] = np.fromiter(map(xxh3_64_intdigest, tokens), np.uint64, len(tokens))
     pieces = _mixed(h + _mixed(np.roll(h, -1) + _mixed(np.roll(h, -2))))
     out = np.empty((len(n), SKETCH), np.int64)
     for k in range(SKETCH):
@@ -106,7 +105,6 @@ def parsed_lines(docs: DataFrame) -> DataFrame:
     """LINES of docs, numbered from 0 among all lines of the text; short ones (a leaf each) only if they have a letter."""
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known: dict[str, int] = {}
         for batch in batches:
             out, flat, lengths = [], [], []
             for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
@@ -120,14 +118,8 @@ def parsed_lines(docs: DataFrame) -> DataFrame:
                         out.append((doc_id, i, len(t), same, same))
                     else:
                         continue
-                    if len(known) > 300_000:
-                        known = {}
-                    for x in t:
-                        if x not in known:
-                            known[x] = _hash(x) & 0xFFFFFFFFFFFFFFFF
-                    flat += [known[x] for x in t]
-                    flat += (0, 0)
-                    lengths.append(len(t) + 2)
+                    flat += t
+                    lengths.append(len(t))
             columns = list(zip(*out, strict=True)) if out else [()] * 5
             types = [pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.int64()]
             minima = sketches(flat, lengths) if out else np.empty((0, SKETCH), np.int64)
@@ -202,7 +194,7 @@ def block_names(leaf: int, tokens: bytes) -> list[int]:
     n = len(tokens) // 4
     blocks = n * (100 - SIMILAR) // 100 + 1
     ends = [4 * (DEPTH + (n - DEPTH) * k // blocks) for k in range(blocks + 1)]
-    return [_hash_bytes(b"%d %d %d " % (leaf, n, k) + tokens[a:b]) for k, (a, b) in enumerate(zip(ends, ends[1:], strict=False))]
+    return [_hash(b"%d %d %d " % (leaf, n, k) + tokens[a:b]) for k, (a, b) in enumerate(zip(ends, ends[1:], strict=False))]
 
 
 def grown_by_blocks(full: DataFrame) -> DataFrame:
