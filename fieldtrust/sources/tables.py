@@ -168,13 +168,30 @@ def write_report(metrics: DataFrame, path: str, **run: str) -> None:
     metrics.withColumns({k: F.lit(v) for k, v in run.items()}).write.mode("overwrite").partitionBy(*run).parquet(path)
 
 
-def export_eval_dataset(manifest: DataFrame) -> DataFrame:
-    """id, question, answer (JSON) of each session from its manifest rows."""
-    grouped = manifest.groupBy("session_id").agg(
-        F.max("as_of").alias("as_of"),
-        F.array_sort(F.collect_list(F.struct("slot", "capture"))).alias("documents"),
-        F.map_from_entries(F.array_sort(F.collect_list(F.struct("slot", "fields")), lambda a, b: F.when(a["slot"] < b["slot"], -1).when(a["slot"] > b["slot"], 1).otherwise(0))).alias("fields"),
-        F.array_sort(F.array_distinct(F.flatten(F.collect_list("variants")))).alias("variants"),
-        F.bool_or("human_expected").alias("human_expected"),
+def export_eval_dataset(manifest: DataFrame, specs: DataFrame) -> DataFrame:
+    """id, question, answer (JSON) of each attempt of a session (its captures with one suffix _c<k>, else clean).
+
+    The answer has the truth of every field that the slots' specs list, by slot.field in the specs' order, null where it is
+    not printed or unreadable on the photo; the required and the unreadable ones; the variants, the photos' quality by slot
+    and whether a person is expected. specs (slot, field, slot_order, field_order, required) is a dimension of a few rows."""
+    attempt = F.coalesce(F.nullif(F.regexp_extract("capture", r"_c([^_/.]+)(?:\.[^./]*)?$", 1), F.lit("")), F.lit("clean"))
+    rows = manifest.withColumns({"attempt": attempt, "gone": F.coalesce("gt_unreadable", F.array().cast("array<string>"))})
+    keys = ["session_id", "attempt"]
+    unreadable = F.array_contains("gone", F.col("field"))
+    each = rows.select(*keys, "slot", "fields", "gone").join(F.broadcast(specs.select("slot", "field", "slot_order", "field_order", "required")), "slot")
+    truth = F.struct("slot_order", "field_order", F.concat_ws(".", "slot", "field").alias("key"), F.when(~unreadable, F.try_element_at("fields", F.col("field"))).alias("value"), "required", unreadable.alias("gone"))
+    listed = each.groupBy(*keys).agg(F.array_sort(F.collect_list(truth)).alias("truth"))
+    page = F.array_sort(F.collect_list(F.struct("slot", "capture", "bucket")))
+    pages = rows.groupBy(*keys).agg(F.max("as_of").alias("as_of"), page.alias("pages"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("variants")))).alias("variants"), F.bool_or("human_expected").alias("human_expected"))
+    names = lambda test: F.transform(F.filter("truth", test), lambda t: t["key"])
+    answer = F.struct(
+        F.map_from_entries(F.transform("truth", lambda t: F.struct(t["key"], t["value"]))).alias("fields"),
+        names(lambda t: t["required"]).alias("required"),
+        names(lambda t: t["gone"]).alias("unreadable"),
+        "human_expected",
+        "variants",
+        F.transform("pages", lambda p: p["bucket"]).alias("buckets"),
     )
-    return grouped.select(F.col("session_id").alias("id"), F.to_json(F.struct("as_of", "documents")).alias("question"), F.to_json(F.struct("fields", "variants", "human_expected")).alias("answer"))
+    question = F.struct("as_of", F.transform("pages", lambda p: F.struct(p["slot"].alias("slot"), p["capture"].alias("capture"))).alias("documents"))
+    json = {"ignoreNullFields": "false"}
+    return pages.join(listed, keys, "left").withColumn("truth", F.coalesce("truth", F.slice(F.array(F.lit(None).cast(listed.schema["truth"].dataType.elementType)), 1, 0))).select(F.concat_ws("-", *keys).alias("id"), F.to_json(question, json).alias("question"), F.to_json(answer, json).alias("answer"))

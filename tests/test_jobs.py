@@ -111,8 +111,6 @@ def test_sources(spark, tmp_path):
     assert rows.count() == 6 and S.load_split(rows, "tune").count() == 3 and S.load_split(rows, "all").count() == 6
     S.write_manifest(rows, str(tmp_path / "out"))
     assert S.load_split(spark.read.json(str(tmp_path / "out")), "test").count() == 3
-    out = {r.id: r for r in S.export_eval_dataset(rows).collect()}
-    assert json.loads(out["s1"].answer)["human_expected"] is True and len(json.loads(out["s0"].question)["documents"]) == 2
     (tmp_path / "truth.json").write_text(json.dumps({"variants": [], "as_of": "2026-01-01", "documents": {"tax_card": {"fields": {"a": "1", "b": "2"}, "glare_over": "a"}}}, indent=1))
     assert {(r.slot, r.field, r.value, r.glare_over) for r in S.read_ground_truth(spark, str(tmp_path / "truth.json")).collect()} == {("tax_card", "a", "1", "a"), ("tax_card", "b", "2", "a")}
     images = tmp_path / "images"
@@ -146,6 +144,20 @@ def test_tables_with_contracts(spark, tmp_path):
         S.scan_table(spark, "nothing", path)
 
 
+def test_evaluation_export(spark):
+    page = lambda session, slot, capture, fields, gone=None, bucket=None: (session, slot, capture, datetime.date(2026, 1, 1), fields, gone, bucket, ["alef"] if session == "s1" else ["clean"], session == "s1")
+    rows = [page("s1", "tax_card", "a/s1_tax_c2.jpg", {"tax_number": "1", "holder_name_ar": "n", "issue_date": "d"}, ["tax_number"], "worst"), page("s1", "national_id_front", "a/s1_front_c2.jpg", {"sex": "M", "unknown": "x"}), page("s1", "tax_card", "a/s1_tax.png", {"tax_number": "1"}, [], "good"), page("s2", "other", "b.png", {"x": "1"})]
+    manifest = spark.createDataFrame(rows, "session_id string, slot string, capture string, as_of date, fields map<string,string>, gt_unreadable array<string>, bucket string, variants array<string>, human_expected boolean").repartition(3)
+    out = {r.id: (json.loads(r.question), json.loads(r.answer)) for r in S.export_eval_dataset(manifest, L.field_specs(spark)).collect()}
+    assert out.keys() == {"s1-2", "s1-clean", "s2-clean"}
+    question, answer = out["s1-2"]
+    assert question == {"as_of": "2026-01-01", "documents": [{"slot": "national_id_front", "capture": "a/s1_front_c2.jpg"}, {"slot": "tax_card", "capture": "a/s1_tax_c2.jpg"}]}
+    assert list(answer["fields"])[:2] == ["national_id_front.full_name_ar", "national_id_front.surname_ar"] and len(answer["fields"]) == 11 and "unknown" not in str(answer)
+    assert (answer["fields"]["tax_card.tax_number"], answer["fields"]["tax_card.holder_name_ar"], answer["fields"]["national_id_front.sex"], answer["fields"]["tax_card.expiry_date"]) == (None, "n", "M", None)
+    assert answer["unreadable"] == ["tax_card.tax_number"] and len(answer["required"]) == 9 and answer["buckets"] == [None, "worst"] and (answer["variants"], answer["human_expected"]) == (["alef"], True)
+    assert out["s1-clean"][1]["fields"]["tax_card.tax_number"] == "1" and out["s2-clean"][1]["fields"] == {} and out["s2-clean"][1]["required"] == []
+
+
 def test_report_has_its_run(spark, tmp_path):
     metrics = spark.createDataFrame([("exact", 0.5), ("cer", 0.25)], "metric string, value double")
     S.write_report(metrics, str(tmp_path / "report"), run="r1", split="tune", manifest="abc")
