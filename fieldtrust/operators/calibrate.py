@@ -181,8 +181,9 @@ def load_calibrators(spark, path: str, version: str) -> DataFrame:
 
 def with_confidence(fields: DataFrame, calibrators: DataFrame) -> DataFrame:
     """fields (grp, features) with confidence and threshold of their group's calibrator; groups without one use the
-    default. A handful of rows is broadcast."""
-    c = F.broadcast(calibrators.select("grp", "weights", "bias", "iso_x", "iso_y", "threshold"))
+    default. Up to MOST_GROUPS calibrators are broadcast."""
+    c = calibrators.select("grp", "weights", "bias", "iso_x", "iso_y", "threshold")
+    c = F.broadcast(c) if calibrators.count() <= MOST_GROUPS else c
     joined = fields.join(c, "grp", "left")
     w = F.coalesce("weights", F.array(*map(F.lit, M.WEIGHTS)))
     none = F.array().cast("array<double>")
