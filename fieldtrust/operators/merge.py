@@ -154,6 +154,20 @@ def _outcome(status: str, reason: str | None, keep: bool) -> Column:
     return F.struct(F.lit(status).alias("status"), F.lit(reason).cast("string").alias("reason"), F.lit(keep).alias("keep"))
 
 
+def provenance(readings: DataFrame) -> DataFrame:
+    """session_id, slot, field, candidates (MAP of reader#sample to its value), sources (MAP of reader#sample to the lines its
+    value stands in), box (x0 y0 x1 y1) and raw_partial of the first reading that has one, in the readers' order.
+
+    readings: of readers that answered, with lines ARRAY, x0 y0 x1 y1 and raw_partial; a reader's sample reads a field once.
+    A field holds as many entries as it has runs, a handful."""
+    name = F.concat_ws("#", "reader", F.col("sample").cast("string")).alias("name")
+    runs = F.array_sort(F.collect_list(F.struct("ord", "sample", name, "value", "lines")))
+    first = lambda what, test: F.min_by(what, F.when(test, F.struct("ord", "sample")))
+    grouped = readings.where("status = 'ok'").groupBy("session_id", "slot", "field").agg(runs.alias("runs"), first(F.struct("x0", "y0", "x1", "y1"), F.col("x0").isNotNull()).alias("box"), first("raw_partial", F.col("raw_partial").isNotNull()).alias("raw_partial"))
+    entries = lambda c, test: F.map_from_entries(F.transform(F.filter("runs", test), lambda r: F.struct(r["name"], r[c])))
+    return grouped.select("session_id", "slot", "field", entries("value", lambda r: r["value"].isNotNull()).alias("candidates"), entries("lines", lambda r: F.size(r["lines"]) > 0).alias("sources"), "box", "raw_partial")
+
+
 def medoid(votes: Column, n_readers: int) -> Column:
     """struct(value, agreement): of the votes in order the one that most others agree with, the first of equals."""
     counts = F.transform(votes, lambda v, i: F.struct(F.size(F.filter(votes, lambda w: similarity(v["norm"], w["norm"]) >= SAME)).alias("n"), (-i).alias("order"), v["value"].alias("value")))

@@ -144,11 +144,18 @@ def _(spark: SparkSession, sf_dir: str) -> DataFrame:
     return results(spark, sf_dir).select("session_id", "field", "value", "status", "confidence")
 
 
-@R.add("mrg_06_candidates", "WITH fx AS (" + READINGS + ") SELECT session_id, field, string_agg(reader || '#' || sample || '=' || value, ';' ORDER BY reader, sample) AS candidates FROM fx WHERE status = 'ok' AND value IS NOT NULL GROUP BY session_id, field")
+@R.add(
+    "mrg_06_candidates",
+    "WITH fx AS (" + READINGS + "), r AS (SELECT *, ord * 10 + sample AS line, CASE WHEN reader <> 'a' AND value IS NOT NULL THEN ord END AS x0, CASE WHEN reason = 'illegible' THEN reader || sample END AS raw FROM fx WHERE status = 'ok') "
+    "SELECT session_id, field, coalesce(string_agg(CASE WHEN value IS NOT NULL THEN reader || '#' || sample || '=' || value END, ';' ORDER BY ord, sample), '') AS candidates, coalesce(string_agg(CASE WHEN value IS NOT NULL THEN reader || '#' || sample || '=' || line END, ';' ORDER BY ord, sample), '') AS sources, "
+    "arg_min(raw, ord * 10 + sample) FILTER (raw IS NOT NULL) AS raw_partial, arg_min(x0, ord * 10 + sample) FILTER (x0 IS NOT NULL) AS x0 FROM r GROUP BY session_id, field",
+)
 def _(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = readings(spark, sf_dir).where("status = 'ok' AND value IS NOT NULL")
-    named = F.array_sort(F.collect_list(F.struct("reader", "sample", F.concat_ws("=", F.concat_ws("#", "reader", "sample"), "value").alias("text"))))
-    return rows.groupBy("session_id", "field").agg(F.array_join(F.transform(named, lambda x: x["text"]), ";").alias("candidates"))
+    line = F.when(F.col("value").isNotNull(), F.array((F.col("ord") * 10 + F.col("sample")).cast("string"))).otherwise(F.array().cast("array<string>"))
+    edge = F.when((F.col("reader") != "a") & F.col("value").isNotNull(), F.col("ord"))
+    rows = readings(spark, sf_dir).withColumns({"lines": line, **dict.fromkeys(("x0", "y0", "x1", "y1"), edge), "raw_partial": F.when(F.col("reason") == "illegible", F.concat("reader", F.col("sample").cast("string")))})
+    shown = lambda c, v: F.array_join(F.transform(F.map_entries(c), lambda e: F.concat_ws("=", e["key"], v(e["value"]))), ";")
+    return M.provenance(rows).select("session_id", "field", shown("candidates", lambda v: v).alias("candidates"), shown("sources", lambda v: F.array_join(v, "+")).alias("sources"), "raw_partial", F.col("box.x0").alias("x0"))
 
 
 @R.add(
