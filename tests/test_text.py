@@ -80,3 +80,10 @@ def test_dates(spark):
         assert (got[t] and (got[t].value, got[t].calendar, got[t].converted)) == (value and (value, calendar, calendar == "hijri")), t
     printed = dates.with_printed_date(spark.createDataFrame([(datetime.date(2024, 3, 11), "hijri"), (datetime.date(2031, 4, 2), "gregorian")], "d date, c string"), "d", "c")
     assert {r.printed for r in printed.collect()} == {"1445/09/01 هـ", "2031/04/02"}
+
+
+def test_every_day_of_the_hijri_calendar_is_printed(spark):
+    """The first of March after a short February too, whose month began in that February or in January."""
+    days = spark.sql("SELECT explode(sequence(DATE'1990-01-01', DATE'2035-12-31')) AS d, 'hijri' AS c")
+    got = dates.with_parsed_date(dates.with_printed_date(days, "d", "c"), "printed").collect()
+    assert len(got) == 16801 and all(r.printed.endswith("هـ") and r.parsed.value == r.d and r.parsed.calendar == "hijri" for r in got)
