@@ -19,7 +19,7 @@ import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import lru_cache
-from itertools import chain, filterfalse
+from itertools import chain, filterfalse, islice
 
 import numpy as np
 import pyarrow as pa
@@ -30,8 +30,11 @@ from pyspark.sql import functions as F
 from fieldtrust.llm.common import small_batches
 
 SCHEMA = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, loss_tokens long"
-#: Bound of the words whose ids a Python worker keeps (about 200 bytes each).
-WORDS_KEPT = 1_000_000
+#: Bound of the words whose ids a Python worker keeps (about 270 bytes each), but for those of one batch.
+WORDS_KEPT = 200_000
+#: Those that stay beyond it, and when a task is done: the first ones met, which hold the frequent ones. A worker, with its
+#: table, outlives the query.
+WORDS_STAY = 100_000
 #: Below this character lower case and composition are the same one by one.
 BEYOND_LATIN = re.compile("[^\x00-\u024f]")
 #: Words of which regular expression engines agree what is a letter, a number or white space.
@@ -128,12 +131,17 @@ class WordIds:
             for word, got in zip(own, self.tokenizer.encode_batch_fast(own, add_special_tokens=False), strict=True):
                 self.words[word] = np.array(got.ids, "<u4").tobytes()
 
+    def forget(self) -> None:
+        """Leaves the first WORDS_STAY words in the table."""
+        if len(self.words) > WORDS_STAY:
+            self.words = dict(islice(self.words.items(), WORDS_STAY))
+
     def ids(self, texts: list[str]) -> list[bytes]:
         if not self.by_word:
             return [np.array(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
         own = [self.plain(t).replace("\n", " ").split(" ") for t in texts]
         if len(self.words) > WORDS_KEPT:
-            self.words = {"": b""}
+            self.forget()
         new: set[str] = set()
         for w in own:
             new.update(filterfalse(self.words.__contains__, w))
@@ -340,6 +348,7 @@ def pack(docs: DataFrame, tokenizer_path: str, size: int = 2048, segments: int =
                 if len(open_items) >= window:
                     flush(False)
             yield batch_out()
+        words.forget()
         flush(True)
         yield batch_out()
 

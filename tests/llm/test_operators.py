@@ -9,6 +9,7 @@ import zlib
 from collections import defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from fieldtrust.llm import buckets, decontaminate, line_templates, minhash_dedup, packing, quality_fm, quality_rules, sharding, token_count, url_filter, warc
@@ -215,6 +216,24 @@ def test_each_limit_binds_alone(spark, binds):
         assert all(any(x == y for x, y in zip(s, limits, strict=True)) or s[0] & (s[0] - 1) == 0 for s in sums)
 
 
+def test_words_leave_the_worker_with_the_task(spark):
+    """A worker runs other queries later: its table keeps the first words only, and ids do not depend on that."""
+    path, words = tokenizer_file("word_bpe_49k.json"), packing.WORDS_STAY + 20_000
+    texts = [" ".join(f"q{k}x" for k in range(i, words, 100)) for i in range(100)]
+    one = packing.pack(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").coalesce(1), path)
+
+    def packed_and_left(batches):
+        table = packing.word_ids(path).words
+        yield from (pa.RecordBatch.from_arrays([pa.array([len(table)] * b.num_rows, pa.int64())], names=["left"]) for b in batches)
+
+    assert one.agg({"doc_tokens": "sum"}).first()[0] > words
+    assert spark.range(64).repartition(16).mapInArrow(packed_and_left, "left long").agg({"left": "max"}).first()[0] <= packing.WORDS_STAY
+    ids = packing.WordIds(path)
+    before = ids.ids(texts)
+    ids.forget()
+    assert len(ids.words) == packing.WORDS_STAY and ids.ids(texts) == before
+
+
 def test_word_ids_are_the_tokenizers():
     from tokenizers import Tokenizer
 
