@@ -14,15 +14,16 @@ Everything stays in the task that reads a document: no shuffle, and at most `win
 from __future__ import annotations
 
 import json
-import re
+import os
 import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import lru_cache
-from itertools import chain, filterfalse, islice
+from itertools import chain, pairwise, repeat
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -30,124 +31,145 @@ from pyspark.sql import functions as F
 from fieldtrust.llm.common import small_batches
 
 SCHEMA = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, loss_tokens long"
-#: Bound of the words whose ids a Python worker keeps (about 270 bytes each), but for those of one batch.
+#: Bound of the words whose ids a Python worker keeps, but for those of one round of texts.
 WORDS_KEPT = 200_000
 #: Those that stay beyond it, and when a task is done: the first ones met, which hold the frequent ones. A worker, with its
 #: table, outlives the query.
 WORDS_STAY = 100_000
-#: Below this character lower case and composition are the same one by one.
-BEYOND_LATIN = re.compile("[^\x00-\u024f]")
-#: Words of which regular expression engines agree what is a letter, a number or white space.
-SIMPLE = re.compile("[\x21-\x7e\xa1-\u024f]+")
-#: Parts of words that are encoded together, and texts or words in one call.
+#: Words of which regular expression engines agree what is a letter, a number or white space, and whose lower case is the
+#: same one by one.
+SIMPLE = r"\A[\x21-\x7e\x{a1}-\x{12f}\x{131}-\x{24f}]+\z"
+#: Pre-tokens that are encoded together, and texts or words in one call.
 TOGETHER, CALL = 256, 4096
+#: Bytes of Arrow batches whose texts are looked up together: a word is met once for each.
+ROUND_BYTES = 2 << 20
+
+
+def listed(ids: np.ndarray, ends: np.ndarray) -> pa.ListArray:
+    """Consecutive ids as lists that end at `ends`."""
+    return pa.ListArray.from_arrays(np.concatenate([[0], ends]).astype(np.int32), pa.array(ids, pa.uint32()))
 
 
 class WordIds:
     """Ids of texts as little-endian bytes, by a tokenizer whose pre-tokens never hold a space or a line feed.
 
-    Words are cut into pre-tokens by the tokenizer's own pattern, and new pre-tokens are encoded many at a time, with
-    spaces between them; as each ends in one token with the end-of-word mark, the ids come apart again. Whether a
-    tokenizer is of this kind is asked of it on load; others encode word by word, or text by text.
+    The different words of many texts are found by Arrow. They are cut into pre-tokens by the tokenizer's own pattern, and
+    new pre-tokens are encoded many at a time, with spaces between them; as each ends in one token with the end-of-word
+    mark, the ids come apart again. As they are cut and in lower case already, they go to the tokenizer's model alone.
+    Whether a tokenizer is of this kind is asked of it on load, with every character of such words; others encode word by
+    word, or text by text.
     """
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core
         self.tokenizer = Tokenizer.from_file(path)
-        self.words: dict[str, bytes] = {"": b""}
+        self._clear()
 
         def ids(text: str) -> list[int]:
             return self.tokenizer.encode(text, add_special_tokens=False).ids
 
         probe = "One two\nthree  4!"
         self.by_word = ids(probe) == [i for w in probe.replace("\n", " ").split(" ") for i in ids(w)]
-        self.lower = ids("\u00c0B c.") == ids("\u00e0b c.")
-        self.pattern, self.ends = self._splitter() if self.by_word and self.lower else (None, None)
+        self.pattern, self.ends, self.model = self._splitter() if self.by_word and ids("\u00c0B c.") == ids("\u00e0b c.") else (None, None, None)
         if self.pattern:
-            odd = "it's 1st,ab.c'd -- \u00e9t\u00e9's n'ayant x2y (z) ' 't"
-            if self._encoded_parts(self.pattern.findall(odd)) != [self._ids(x) for x in self.pattern.findall(odd)] or b"".join(self._encoded_parts(self.pattern.findall(odd))) != self._ids(odd):
+            every = [chr(c) for c in range(0x21, 0x250) if not 0x7F <= c <= 0xA0]
+            odd = ["it's 1st,ab.c'd -- \u00e9t\u00e9's n'ayant x2y (z) ' 't", *(f"{c} {c}{c} a{c}b 1{c}2 .{c}, {c}'{c}" for c in every)]
+            if self.ids(odd) != [np.array(ids(x), "<u4").tobytes() for x in odd]:
                 self.pattern = None
+            self._clear()
 
-    def _ids(self, text: str) -> bytes:
-        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
+    def _clear(self) -> None:
+        self.words, self.found = pa.array([""]), pa.array([[]], pa.list_(pa.uint32()))
 
     def _splitter(self) -> tuple:
-        """The pattern that cuts words into pre-tokens, and which ids end one; (None, None) if there is no such pattern."""
-        import regex
+        """The pattern that cuts words into pre-tokens, which ids end one, and a tokenizer of the same model that
+        cuts at spaces; three times None if there is no such pattern."""
+        from tokenizers import Tokenizer
+        from tokenizers.pre_tokenizers import ByteLevel, Sequence, WhitespaceSplit
 
         spec = json.loads(self.tokenizer.to_str())
         pre, suffix = spec.get("pre_tokenizer") or {}, spec["model"].get("end_of_word_suffix")
         steps = pre.get("pretokenizers", [pre])
         splits = [x for x in steps if x.get("type") == "Split" and x.get("invert") and x.get("behavior") == "Removed" and "Regex" in x.get("pattern", {})]
         if not suffix or len(splits) != 1 or any(x.get("type") not in ("Split", "ByteLevel") for x in steps):
-            return None, None
+            return None, None, None
+        pattern = splits[0]["pattern"]["Regex"]
+        try:
+            pc.match_substring_regex(pa.array(["a"]), pattern)
+        except pa.ArrowInvalid:  # not a pattern of Arrow's
+            return None, None, None
         ends = np.zeros(self.tokenizer.get_vocab_size(), bool)
         for token, i in self.tokenizer.get_vocab().items():
             ends[i] = token.endswith(suffix)
-        return regex.compile(splits[0]["pattern"]["Regex"]), ends
+        model = Tokenizer(self.tokenizer.model)  # the same one, in memory as well
+        model.pre_tokenizer = Sequence([WhitespaceSplit(), *(ByteLevel(x["add_prefix_space"], use_regex=x["use_regex"]) for x in steps if x["type"] == "ByteLevel")])
+        return pattern, ends, model
 
-    def _encoded_parts(self, parts: list[str]) -> list[bytes] | None:
+    def _encoded_parts(self, parts: pa.StringArray) -> pa.ListArray | None:
         """The ids of each pre-token; None if they do not come apart."""
-        out: list[bytes] = []
-        joined = [parts[i : i + TOGETHER] for i in range(0, len(parts), TOGETHER)]
-        for own, found in zip(joined, self.tokenizer.encode_batch_fast([" ".join(x) for x in joined], add_special_tokens=False), strict=True):
-            ids = np.array(found.ids, "<u4")
-            last = np.flatnonzero(self.ends[ids]) + 1
-            if len(last) != len(own) or last[-1] != len(ids):
-                return None
-            data, first = ids.tobytes(), 0
-            for end in last.tolist():
-                out.append(data[4 * first : 4 * end])
-                first = end
-        return out
-
-    def plain(self, text: str) -> str:
-        """A text with the same ids and fewer different words."""
-        if not self.lower or "<|" in text or BEYOND_LATIN.search(text):
-            return text
-        return text.lower()
-
-    def learn(self, words: set[str]) -> None:
-        """Puts new words into the table, and their pre-tokens, which are words as well."""
-        rest = words
+        if not len(parts):
+            return self.found[:0]
+        firsts = np.append(np.arange(0, len(parts), TOGETHER), len(parts)).astype(np.int32)
+        joined = pc.binary_join(pa.ListArray.from_arrays(firsts, parts), " ").to_pylist()
+        ids = [np.array(e.ids, "<u4") for e in self.model.encode_batch_fast(joined, add_special_tokens=False)]
+        last = [self.ends[x] for x in ids]
+        if [np.count_nonzero(x) for x in last] != np.diff(firsts).tolist() or not all(x[-1] for x in last):
+            return None
+        return listed(np.concatenate(ids), np.flatnonzero(np.concatenate(last)) + 1)
+
+    def _simple(self, words: pa.StringArray) -> pa.BooleanArray:
+        return pc.and_not(pc.match_substring_regex(words, SIMPLE), pc.match_substring(words, "<|"))
+
+    def _keep(self, words: pa.StringArray, found: pa.ListArray) -> None:
+        self.words, self.found = pa.concat_arrays([self.words, words]), pa.concat_arrays([self.found, found])
+
+    def learn(self, words: pa.StringArray) -> None:
+        """Puts new words into the table, each given once, and their pre-tokens, which are words as well."""
         if self.pattern:
-            simple = {w for w in words if SIMPLE.fullmatch(w) and "<|" not in w}
-            letters = set(filter(str.isalpha, simple))  # each is one pre-token
-            mixed = simple - letters
-            cut = self.pattern.findall
-            parts = letters.union(filterfalse(self.words.__contains__, set(chain.from_iterable(map(cut, mixed)))))
-            new = list(parts)
-            found = self._encoded_parts(new)
+            simple = self._simple(words)
+            letters = pc.and_(simple, pc.utf8_is_alpha(words))  # each is one pre-token
+            mixed = words.filter(pc.and_not(simple, letters))
+            cut = pc.split_pattern(pc.ascii_rtrim(pc.replace_substring_regex(mixed, self.pattern, r"\0 "), " "), " ")
+            parts = pa.concat_arrays([words.filter(letters), cut.flatten()]).unique()
+            parts = parts.filter(pc.index_in(parts, self.words).is_null())
+            found = self._encoded_parts(parts)
             if found is not None:
-                self.words.update(zip(new, found, strict=True))
-                get = self.words.__getitem__
-                for w in mixed:
-                    self.words[w] = b"".join(map(get, cut(w)))
-                rest = words - simple
-        rest = list(rest)
-        for i in range(0, len(rest), CALL):  # offsets are not needed, which the fast call leaves out
-            own = rest[i : i + CALL]
-            for word, got in zip(own, self.tokenizer.encode_batch_fast(own, add_special_tokens=False), strict=True):
-                self.words[word] = np.array(got.ids, "<u4").tobytes()
+                self._keep(parts, found)
+                got = self.found.take(pc.index_in(cut.flatten(), self.words))
+                whole = listed(got.flatten().to_numpy(), got.offsets.to_numpy()[cut.offsets.to_numpy()[1:]])
+                new = pc.index_in(mixed, parts).is_null()
+                self._keep(mixed.filter(new), whole.filter(new))
+                words = words.filter(pc.invert(simple))
+        for i in range(0, len(words), CALL):  # offsets are not needed, which the fast call leaves out
+            own = words[i : i + CALL]
+            self._keep(own, pa.array([e.ids for e in self.tokenizer.encode_batch_fast(own.to_pylist(), add_special_tokens=False)], self.found.type))
 
     def forget(self) -> None:
         """Leaves the first WORDS_STAY words in the table."""
-        if len(self.words) > WORDS_STAY:
-            self.words = dict(islice(self.words.items(), WORDS_STAY))
+        if len(self.words) > WORDS_STAY:  # taken, as a slice would hold the whole table
+            stay = pa.array(np.arange(WORDS_STAY))
+            self.words, self.found = self.words.take(stay), self.found.take(stay)
 
-    def ids(self, texts: list[str]) -> list[bytes]:
+    def ids(self, texts: list[str] | pa.Array) -> list[bytes]:
+        texts = texts if isinstance(texts, pa.Array) else pa.array(texts, pa.string())
         if not self.by_word:
-            return [np.array(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
-        own = [self.plain(t).replace("\n", " ").split(" ") for t in texts]
+            return [np.array(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch_fast(texts.to_pylist(), add_special_tokens=False)]
+        own = pc.split_pattern(pc.replace_substring(texts, "\n", " "), " ")
+        coded = own.flatten().dictionary_encode()
+        words = coded.dictionary
+        if self.pattern:  # in lower case there are fewer
+            words = pc.if_else(self._simple(words), pc.utf8_lower(words), words)
         if len(self.words) > WORDS_KEPT:
             self.forget()
-        new: set[str] = set()
-        for w in own:
-            new.update(filterfalse(self.words.__contains__, w))
-        self.learn(new)
-        get = self.words.__getitem__
-        return [b"".join(map(get, w)) for w in own]
+        at = pc.index_in(words, self.words)
+        if at.null_count:
+            self.learn(words.filter(at.is_null()).unique())
+            at = pc.index_in(words, self.words)
+        got = self.found.take(at.take(coded.indices))
+        data, ends = got.flatten().to_numpy().astype("<u4").tobytes(), 4 * got.offsets.to_numpy().astype(np.int64)[own.offsets.to_numpy()]
+        return [data[a:b] for a, b in pairwise(ends.tolist())]
 
 
 @lru_cache(maxsize=2)
@@ -278,6 +300,18 @@ def in_powers(pieces: list[Piece], limits: Limits) -> list[list[Piece]]:
     return out
 
 
+def rounds(batches: Iterator[pa.RecordBatch]) -> Iterator[list[pa.Array]]:
+    """Columns of consecutive batches of ROUND_BYTES together, at least; null texts are empty ones."""
+    own: list[pa.RecordBatch] = []
+    for batch in chain(batches, [None]):
+        if batch is not None:
+            own.append(batch)
+        if own and (batch is None or sum(b.nbytes for b in own) >= ROUND_BYTES):
+            ids, *texts = (pa.concat_arrays(x) for x in zip(*(b.columns for b in own), strict=True))
+            yield [ids, *(x.cast(pa.string()).fill_null("") for x in texts)]
+            own = []
+
+
 def pack(docs: DataFrame, tokenizer_path: str, size: int = 2048, segments: int = 512, loss: int | None = None, end_id: int = 1, window: int = 1024, prompt: str | None = None) -> DataFrame:
     """Pieces of the documents' ids (with end_id after each document) and their places in sequences.
 
@@ -332,10 +366,9 @@ def pack(docs: DataFrame, tokenizer_path: str, size: int = 2048, segments: int =
             rows = []
             return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], names=names)
 
-        for batch in batches:
-            found = words.ids([x or "" for x in batch.column(1).to_pylist()])
-            before = words.ids([x or "" for x in batch.column(2).to_pylist()]) if prompt else [b""] * len(found)
-            for doc_id, ids, asked in zip(batch.column(0).to_pylist(), found, before, strict=True):
+        for table in rounds(batches):
+            found, *before = (words.ids(x) for x in table[1:])
+            for doc_id, ids, asked in zip(table[0].to_pylist(), found, before[0] if prompt else repeat(b"", len(found)), strict=True):
                 whole = Piece(doc_id, 0, asked + ids + end, len(asked + ids) // 4 + 1, max(1, len(asked) // 4))
                 while (n := whole.fitting(limits.tokens, limits.loss)) < whole.length or n == limits.tokens:
                     one, whole = whole.cut(n)

@@ -5,6 +5,7 @@ import hashlib
 import math
 import random
 import re
+import time
 import zlib
 from collections import defaultdict
 
@@ -247,6 +248,34 @@ def test_word_ids_are_the_tokenizers():
         assert own.ids(part) == [np.array(e.ids, "<u4").tobytes() for e in tokenizer.encode_batch(part, add_special_tokens=False)]
 
 
+def test_word_ids_cost_less_than_the_tokenizer():
+    """Rare words, met with and without marks and capitals, in less than four tenths of the tokenizer's own CPU time."""
+    from tokenizers import Tokenizer
+
+    path, rng = tokenizer_file("word_bpe_49k.json"), random.Random(11)
+    tokenizer = Tokenizer.from_file(path)
+    rare = ["".join(rng.choice("aeiourstnlmdhé") for _ in range(rng.randint(3, 11))) for _ in range(20_000)]
+    texts = [" ".join(rng.choice((str, str.title))(w) + rng.choice(("", "", ",", ".")) for w in rng.choices(rare, k=150)) for _ in range(1000)]
+    costs = []
+    for _ in range(3):
+        own = packing.WordIds(path)
+        begun = time.process_time()
+        got = own.ids(texts)
+        between = time.process_time()
+        assert got == [np.array(e.ids, "<u4").tobytes() for e in tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+        costs.append((between - begun) / (time.process_time() - between))
+    assert min(costs) < 0.4, costs
+
+
+def test_rounds_of_batches():
+    """Small batches are looked up together, large ones alone; no row is lost, null texts are empty."""
+    batch = pa.RecordBatch.from_arrays([pa.array([1, None]), pa.array(["x" * 1000, None])], names=["doc_id", "text"])
+    large = pa.RecordBatch.from_arrays([pa.array([2]), pa.array(["y" * packing.ROUND_BYTES])], names=["doc_id", "text"])
+    got = [[c.to_pylist() for c in x] for x in packing.rounds(iter([batch, batch, large, batch]))]
+    assert got == [[[1, None] * 2 + [2], ["x" * 1000, ""] * 2 + ["y" * packing.ROUND_BYTES]], [[1, None], ["x" * 1000, ""]]]
+    assert not list(packing.rounds(iter([])))
+
+
 def test_decontamination_against_brute_force(spark, docs):
     rng = random.Random(9)
     base = [r.text for r in docs.collect() if r.text and len(r.text) > 200]
