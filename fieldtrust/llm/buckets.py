@@ -20,30 +20,44 @@ from fieldtrust.llm.common import saved
 BLOCK = 256
 #: Rows that go to Python in one piece, about; a block adds at most 2 * BLOCK of one bucket.
 DEALT_ROWS = 1000
+#: Edges up to which the star steps broadcast the minima and run in as many tasks as the session has cores: a step over
+#: so few rows costs what its tasks cost. More edges go through shuffle joins in all partitions.
+FEW_EDGES = 100_000
 
 
 def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
     """node, component (the smallest node reachable) of an undirected graph with edges a, b.
 
-    Alternating large-star and small-star steps until nothing changes; the table of each step is written out.
+    Alternating large-star and small-star steps until nothing changes; the table of each step is written out. In all of
+    them a > b, and no step adds edges.
     """
+    cores = edges.sparkSession.sparkContext.defaultParallelism
+
+    def gathered(table: DataFrame) -> DataFrame:
+        return table.coalesce(cores) if few else table
+
+    def beside(table: DataFrame) -> DataFrame:
+        return F.broadcast(table) if few else table
 
     def large_star(e: DataFrame) -> DataFrame:
-        both = e.select(F.col("a").alias("u"), F.col("b").alias("v")).union(e.select(F.col("b").alias("u"), F.col("a").alias("v")))
-        least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
-        return both.where("v > u").join(least, "u").select(F.col("v").alias("a"), F.col("m").alias("b")).where("a <> b").distinct()
+        up = e.select(F.col("b").alias("u"), F.col("a").alias("v"))
+        both = up.union(e.select(F.col("a").alias("u"), F.col("b").alias("v")))
+        least = gathered(both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m")))
+        out = up.join(beside(least), "u").select(F.col("v").alias("a"), F.col("m").alias("b"))
+        return out if few else out.distinct()  # few repeated edges cost less than a shuffle
 
     def small_star(e: DataFrame) -> DataFrame:
-        down = e.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v"))
-        least = down.groupBy("u").agg(F.min("v").alias("m"))
-        over = down.join(least, "u").where("v <> m").select(F.col("v").alias("a"), F.col("m").alias("b"))
-        return over.union(least.select(F.col("u").alias("a"), F.col("m").alias("b"))).distinct()
+        down = e.select(F.col("a").alias("u"), F.col("b").alias("v"))
+        least = gathered(down.groupBy("u").agg(F.min("v").alias("m")))
+        over = down.join(beside(least), "u").where("v <> m").select(F.col("v").alias("a"), F.col("m").alias("b"))
+        return gathered(over.union(least.select(F.col("u").alias("a"), F.col("m").alias("b"))).distinct())
 
     def mark(e: DataFrame) -> tuple:
         return tuple(e.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first())
 
     current = saved(edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "edges")
     before = mark(current)
+    few = before[0] <= FEW_EDGES
     for _ in range(rounds):
         if not before[0]:
             break
@@ -96,8 +110,8 @@ def joined(keys: DataFrame, percent: int, verified: Callable[[DataFrame], DataFr
     """node, component of the rows that are linked with any other.
 
     keys: node, size, key (a bucket), saved. Rows whose sizes differ by more than percent are never linked. verified
-    gives those of some pairs a, b that are links; in_blocks gives the links within the rows of block_rows, of which one
-    for each pair of components is enough.
+    gives those of some pairs a, b that are links, saved; in_blocks gives the links within the rows of block_rows, of which
+    one for each pair of components is enough. Where a step finds no link, the components stay as they are.
     """
     shared = keys.groupBy("key").agg(F.count("*").alias("n"), F.min("node").alias("lo"), F.max("node").alias("hi")).where("lo < hi").select("key", "n")
     members = saved(keys.join(shared, "key"), "members")
@@ -111,7 +125,9 @@ def joined(keys: DataFrame, percent: int, verified: Callable[[DataFrame], DataFr
         other = split.where("component = main").groupBy("key").agg(F.max(F.struct(F.xxhash64("node", F.lit(turn)).alias("order"), "node", "size")).alias("hub"))
         asked = split.where("component <> main").join(other, "key").select("node", F.col("hub.node").alias("hub"), "size", F.col("hub.size").alias("hub_size"))
         links = verified(pairs_with(asked, percent))
+        if links.isEmpty():
+            continue
         found = components(found.select(F.col("node").alias("a"), F.col("component").alias("b")).union(links))
         split = with_main(members, found)
     more = saved(in_blocks(split), "links")
-    return components(found.select(F.col("node").alias("a"), F.col("component").alias("b")).union(more))
+    return found if more.isEmpty() else components(found.select(F.col("node").alias("a"), F.col("component").alias("b")).union(more))

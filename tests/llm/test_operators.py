@@ -78,6 +78,47 @@ def test_components_of_paths_and_stars(spark):
     assert all(got.get(i, i) == 0 for i in range(61)) and all(got.get(i, i) == 100 for i in range(100, 140))
 
 
+@pytest.mark.parametrize("few", [0, 100_000])
+def test_components_of_random_graphs(spark, monkeypatch, few):
+    """By shuffle joins and by broadcast minima."""
+    monkeypatch.setattr(buckets, "FEW_EDGES", few)
+    rng = random.Random(5)
+    edges = [(rng.randrange(150), rng.randrange(150)) for _ in range(90)] * 2 + [(200, x) for x in range(201, 230)] + [(None, 3), (4, None)]
+    own = list(range(230))
+    for _ in range(30):
+        for a, b in edges:
+            if a is not None and b is not None:
+                own[a] = own[b] = min(own[a], own[b])
+    rows = buckets.components(spark.createDataFrame(edges, "a long, b long")).collect()
+    got = {r.node: r.component for r in rows}
+    assert len(got) == len(rows) and {x: got.get(x, x) for x in range(230)} == dict(enumerate(own))
+
+
+def test_components_of_a_small_graph_take_few_tasks(spark, monkeypatch):
+    """Whatever the number of shuffle partitions; a step that took all of them left a file for each."""
+    settings = {"spark.sql.shuffle.partitions": "40", "spark.sql.adaptive.coalescePartitions.enabled": "false"}
+    before = {k: spark.conf.get(k) for k in settings}
+    try:
+        for k, v in settings.items():
+            spark.conf.set(k, v)
+        out = buckets.components(spark.createDataFrame([(x, x + 300) for x in range(300)], "a long, b long"))
+        assert out.count() == 300 and len(out.inputFiles()) <= spark.sparkContext.defaultParallelism
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+
+
+def test_components_stay_where_no_link_is_found(spark, monkeypatch):
+    made = []
+    plain = buckets.components
+    monkeypatch.setattr(buckets, "components", lambda edges: made.append(1) or plain(edges))
+    keys = spark.createDataFrame([(n, 10, k) for n, k in [(1, 7), (2, 7), (3, 7), (4, 7)]], "node long, size long, key long")
+    none = spark.createDataFrame([], "a long, b long")
+    links = spark.createDataFrame([(2, 1)], "a long, b long")
+    found = buckets.joined(keys, 80, lambda pairs: pairs.intersect(links), lambda split: none)
+    assert [(r.node, r.component) for r in found.collect()] == [(2, 1)] and len(made) == 1
+
+
 def test_split_buckets_find_links_that_hubs_miss(spark, monkeypatch):
     """A chain of near copies in few buckets, with blocks of two members."""
     monkeypatch.setattr(buckets, "BLOCK", 2)
