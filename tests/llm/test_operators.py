@@ -388,6 +388,16 @@ def test_robust_outliers_go_and_clean_rows_stay(spark):
         assert not got[2000 + i]["kept"] and not got[2000 + i]["base_failed"], name
 
 
+def test_small_groups_of_outliers_are_judged(spark):
+    """Few rows of a source or of a language that all lie far out have distances too and go."""
+    rng = random.Random(5)
+    rows = [(i, " ".join(w[:-2] for w in words(rng, 80)) + ".", "en", f"s{i % 2}", 1) for i in range(300)]
+    odd = [(900 + i, " ".join(w + "%%%" for w in words(rng, 80)), lang, source, 1) for i, (lang, source) in enumerate([("en", "odd"), *[("en", "few")] * 3, ("xx", "own"), (None, None)])]
+    got = {r["doc_id"]: r for r in rows_of(quality_rules.judged(spark.createDataFrame(rows + odd, DOCS)))}
+    assert len(got) == 306 and not any(r["base_failed"] or r["distance"] is None for r in got.values())
+    assert not any(got[900 + i]["kept"] for i in range(6)) and sum(got[i]["kept"] for i in range(300)) >= 298
+
+
 def numpy_judged(vectors, groups, langs, prior):
     """Squared distances by the same rules, group after group in memory."""
     rank = lambda x, q: np.sort(x, axis=0)[max(0, -(-int(round(q * len(x) * 1e9)) // 10**9) - 1)]
