@@ -104,3 +104,13 @@ def test_empty_tables_nulls_and_very_long_texts(spark, tmp_path):
             docs = corpus_pipeline.saved(stage(spark, docs, str(tmp_path)), "stage")
         assert [(r.doc_id, r.text) for r in docs.collect()] == [(1, long_text)][:left]
         assert corpus_pipeline.packing(spark, docs, str(tmp_path)).select("doc_id").distinct().count() == left
+
+
+def test_small_groups_of_outliers_go(spark):
+    """Few rows of a source or language that all lie far out leave in the quality stage."""
+    rng = random.Random(15)
+    rows = [(i, text(rng), "en", f"s{i % 2}") for i in range(200)]
+    odd = [(900 + i, " ".join(word(rng) + "%%%" for _ in range(80)), lang, source) for i, (lang, source) in enumerate([("en", "odd"), ("xx", "own"), (None, None)])]
+    docs = spark.createDataFrame(rows + odd, "doc_id long, text string, lang string, source string")
+    kept = {r.doc_id for r in corpus_pipeline.quality(spark, docs, "").select("doc_id").collect()}
+    assert not kept & {900, 901, 902} and len(kept) >= 198
